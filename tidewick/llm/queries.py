@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import quality, sharding, url_reputation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_url_reputation": url_reputation.op4,
     "op7_feistel_sharding": sharding.op7,
+    "op10_ngram_quality": quality.op10,
+}
+ORACLES: dict[str, str] = {
+    "op4_url_reputation": url_reputation.OP4_SQL,
 }
-ORACLES: dict[str, str] = {}
