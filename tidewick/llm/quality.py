@@ -18,7 +18,7 @@ from .tables import table
 BUCKETS = 1 << 15
 SMOOTHING = 1.0
 #: Mean weight of an n-gram, in micro-nats, from which a document is kept.
-THRESHOLD = -60_000
+THRESHOLD = -70_000
 SYMBOLS = "#*$%&|<>"
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -33,15 +33,20 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def ngram_buckets(words: Column, buckets: int = BUCKETS) -> Column:
-    """The bucket of every unigram and bigram of an array of words."""
-    return _let(words, lambda ws: F.concat(
-        F.transform(ws, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")),
-        F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), lambda w, i: F.pmod(F.xxhash64(F.slice(ws, i + 1, 2)), F.lit(buckets)).cast("int")),
-    ))
+def word_hashes(text: Column) -> Column:
+    """A 64-bit hash of each word."""
+    return F.transform(words_of(text), lambda w: F.xxhash64(w))
 
 
-def repeated_words(words: Column, window: int = 5) -> Column:
+def ngram_buckets(hashes: Column, buckets: int = BUCKETS) -> Column:
+    """The bucket of every unigram and bigram, from the hashes of the words."""
+    return F.concat(
+        F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int")),
+        F.transform(F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0))), lambda h, i: F.pmod(F.xxhash64(h, F.get(hashes, i + 1)), F.lit(buckets)).cast("int")),
+    )
+
+
+def repeated_words(hashes: Column, window: int = 5) -> Column:
     """How many words lie in windows that are found twice or more in the text, the first included."""
 
     def covered(found: Column) -> Column:
@@ -52,12 +57,11 @@ def repeated_words(words: Column, window: int = 5) -> Column:
         start = F.struct(F.lit(-window).cast("int").alias("last"), F.lit(0).cast("long").alias("n"))
         return F.aggregate(places, start, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(p - a["last"], F.lit(window))).cast("long").alias("n")), lambda a: a["n"])
 
-    def count(ws: Column) -> Column:
-        hashes = F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - (window - 1), F.lit(0))), lambda w, i: F.xxhash64(F.slice(ws, i + 1, window)))
-        return _let(hashes, lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0).cast("long")).otherwise(
-            _let(F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("p")))), covered)))
-
-    return _let(words, count)
+    windows = F.transform(
+        F.slice(hashes, 1, F.greatest(F.size(hashes) - (window - 1), F.lit(0))), lambda h, i: F.xxhash64(h, *(F.get(hashes, i + k) for k in range(1, window)))
+    )
+    return _let(windows, lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0).cast("long")).otherwise(
+        _let(F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("p")))), covered)))
 
 
 def duplicate_lines(text: Column) -> Column:
@@ -72,8 +76,8 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS)
     `trusted` has the ids of trusted documents. Without any, all weights are 0. The result has `buckets` numbers.
     """
     marks = trusted.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().withColumn("_trusted", F.lit(1))
-    marked = docs.select("doc_id", "text").join(marks, "doc_id", "left").select(F.coalesce("_trusted", F.lit(0)).alias("t"), words_of(F.col("text")).alias("words"))
-    grams = marked.select("t", F.explode(ngram_buckets(F.col("words"), buckets)).alias("b"))
+    marked = docs.select("doc_id", "text").join(marks, "doc_id", "left").select(F.coalesce("_trusted", F.lit(0)).alias("t"), word_hashes(F.col("text")).alias("hashes"))
+    grams = marked.select("t", F.explode(ngram_buckets(F.col("hashes"), buckets)).alias("b"))
     rows = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("good")).collect()  # `buckets` rows at most
     raw, good = [0] * buckets, [0] * buckets
     for r in rows:
@@ -95,17 +99,17 @@ def quality(docs: DataFrame, trusted: DataFrame, threshold: int = THRESHOLD, buc
     weights = bucket_weights(docs, trusted, buckets)
     weight = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")  # one constant for the whole plan
     text = F.coalesce("text", F.lit(""))
-    ws = F.col("_words")
+    hs = F.col("_hashes")
     length = F.length(text)
-    ratio = _let(ngram_buckets(ws, buckets), lambda bs: F.aggregate(bs, F.lit(0).cast("long"), lambda s, b: s + F.get(weight, b), lambda s: s / F.greatest(F.size(bs), F.lit(1))))
-    out = docs.drop(*made).withColumn("_words", words_of(F.col("text"))).withColumns({
-        "n_words": F.size(ws).cast("long"),
+    ratio = _let(ngram_buckets(hs, buckets), lambda bs: F.aggregate(bs, F.lit(0).cast("long"), lambda s, b: s + F.get(weight, b), lambda s: s / F.greatest(F.size(bs), F.lit(1))))
+    out = docs.drop(*made).withColumn("_hashes", word_hashes(F.col("text"))).withColumns({
+        "n_words": F.size(hs).cast("long"),
         "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
         "n_symbols": (length - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": duplicate_lines(F.col("text")),
-        "n_repeat_words": repeated_words(ws),
+        "n_repeat_words": repeated_words(hs),
         "ratio": ratio,
-    }).drop("_words")
+    }).drop("_hashes")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("ratio") >= threshold))
 
