@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, sharding, url_reputation
+from . import decontamination, minhash, quality, sharding, substrings, url_reputation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_compact_windows": substrings.op2,
     "op4_url_reputation": url_reputation.op4,
+    "op5_spaced_seeds": decontamination.op5,
+    "op6_minhash_near_dedup": minhash.op6,
     "op7_feistel_sharding": sharding.op7,
     "op10_ngram_quality": quality.op10,
 }
 ORACLES: dict[str, str] = {
+    "op2_compact_windows": substrings.op2,
     "op4_url_reputation": url_reputation.OP4_SQL,
 }
