@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from . import tokens
 from .tables import table
 
-#: Places that must agree, fixed values: six of up to thirteen words.
-MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 8, 9), (0, 1, 4, 7, 8, 11), (0, 3, 4, 8, 10, 12))
+#: Places that must agree, fixed values. The last two together hit every stretch of 13 words of which two differ,
+#: whichever two; the first one serves items that are shorter than the others.
+MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 4, 6, 7), (0, 4, 7, 8, 9, 10))
 #: Items shorter than this are no evidence. A stretch of at most WINDOW words must agree in PERCENT of its words.
 LEAST_WORDS, WINDOW, PERCENT = 6, 13, 80
 #: Words of items in a block of the broadcast side (about 48 bytes each).

@@ -76,7 +76,8 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS)
     `trusted` has the ids of trusted documents. Without any, all weights are 0. The result has `buckets` numbers.
     """
     marks = trusted.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().withColumn("_trusted", F.lit(1))
-    marked = docs.select("doc_id", "text").join(marks, "doc_id", "left").select(F.coalesce("_trusted", F.lit(0)).alias("t"), word_hashes(F.col("text")).alias("hashes"))
+    # labels grow with the corpus, so they are never broadcast
+    marked = docs.select("doc_id", "text").join(marks.hint("merge"), "doc_id", "left").select(F.coalesce("_trusted", F.lit(0)).alias("t"), word_hashes(F.col("text")).alias("hashes"))
     grams = marked.select("t", F.explode(ngram_buckets(F.col("hashes"), buckets)).alias("b"))
     rows = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("good")).collect()  # `buckets` rows at most
     raw, good = [0] * buckets, [0] * buckets
