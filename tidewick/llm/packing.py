@@ -78,7 +78,15 @@ def fit(every: np.ndarray, counts: np.ndarray, steps: int = STEPS) -> np.ndarray
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
-    """Patterns and repeats that use every piece of the histogram exactly."""
+    """Patterns and repeats that use every piece of the histogram exactly.
+
+    Repeats are rounded down and the rest packed best-fit, or rounded to the nearest and what is left fitted anew a few
+    times before: whichever takes fewer sequences.
+    """
+    return min((_rounded(counts, capacity, up, rounds) for up, rounds in ((0, 1), (0.5, ROUNDS))), key=lambda found: sum(n for _, n in found))
+
+
+def _rounded(counts: dict[int, int], capacity: int, up: float, rounds: int) -> list[Pattern]:
     left = np.zeros(capacity + 1, np.int64)
     for length, count in counts.items():
         left[length] = count
@@ -86,7 +94,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
     if left[capacity]:
         out.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
-    for _ in range(ROUNDS):  # what rounding leaves is fitted again
+    for _ in range(rounds):
         present = np.flatnonzero(left)
         if not len(present):
             break
@@ -94,7 +102,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
         x = fit(every, left.astype(float))
         before = left.sum()
         for p in np.argsort(-x, kind="stable"):
-            times = int(x[p] + 0.5)
+            times = int(x[p] + up)
             if times < 1:
                 break
             parts = every[p][every[p] > 0]

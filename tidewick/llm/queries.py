@@ -6,17 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, minhash, quality, sharding, substrings, url_reputation
+from . import decontamination, html_text, minhash, packing, quality, sharding, substrings, token_files, toxicity, url_reputation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_text_density": html_text.op1,
     "op2_compact_windows": substrings.op2,
+    "op3_factorization_toxicity": toxicity.op3,
     "op4_url_reputation": url_reputation.op4,
     "op5_spaced_seeds": decontamination.op5,
     "op6_minhash_near_dedup": minhash.op6,
     "op7_feistel_sharding": sharding.op7,
+    "op8_pattern_packing": packing.op8,
+    "op9_elias_fano": token_files.op9,
     "op10_ngram_quality": quality.op10,
 }
 ORACLES: dict[str, str] = {
+    "op1_text_density": html_text.op1,
     "op2_compact_windows": substrings.op2,
+    "op3_factorization_toxicity": toxicity.op3,
     "op4_url_reputation": url_reputation.OP4_SQL,
 }
