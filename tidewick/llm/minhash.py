@@ -2,9 +2,12 @@
 
 Texts with equal shingle sets are one class from the start. Of each other class, one scan makes the signature. A bucket
 of a band links its members to its smallest one only, so a bucket of n classes makes n - 1 candidates, not n * n / 2;
-every candidate is confirmed on the full shingle sets. What a star can miss are links between members of one bucket
-that its centre is not linked to. So where the members of a bucket are still in several components, stars around other
-centres follow, and at last the remaining pairs of a bucket that lie in different components are confirmed one by one.
+every candidate is confirmed on the full shingle sets.
+
+What a star can miss are links between members of one bucket that its centre is not linked to. Where the members of a
+bucket lie in several components, an exact prefix filter finds the rest: if two sets are similar enough, they share one
+of their rarest shingles, and neither has more shingles of its own than the threshold allows. Rare shingles make short
+lists, so a large group of copies that have drifted apart makes few pairs.
 """
 
 from __future__ import annotations
@@ -101,6 +104,35 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     return found.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, linked boolean")
 
 
+def prefix_pairs(rest: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs a < b of `rest` (rep, comp) in different components, with all pairs that are similar enough among them.
+
+    All sets are sorted by one order, the rarest shingles first. Two sets of sizes x and y that share `percent` of their
+    union have their first common shingle among the first x - ceil(percent * x / 100) + 1 of the one, and likewise of the
+    other, with enough shingles behind it in both. Shingles of one set alone count as places but need no lists.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in tokens.slices(batches, "text"):
+            sets = shingle_sets(part.column("text"), n)
+            size = np.array([len(x) for x in sets], np.int32)
+            columns = [np.repeat(part.column(c).to_numpy(), size) for c in ("rep", "comp")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), *map(pa.array, columns), pa.array(np.repeat(size, size))], ["token", "rep", "comp", "size"])
+
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(rest, "rep").select("rep", "comp", "text")
+    held = texts.mapInArrow(spread, "token long, rep long, comp long, size int")
+    # `cross`: sets of several components have the shingle; without that it makes no pair
+    often = held.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("df > 1").selectExpr("token", "df", "c1 != c2 as cross")
+    sets = held.join(often, "token").groupBy("rep", "comp", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token", "cross"))).alias("list"))
+    sets = sets.withColumn("alone", F.col("size") - F.size("list"))
+    head = F.expr(f"size - cast(ceil({percent} * size / 100) as int) + 1 - alone")
+    heads = sets.withColumn("head", head).where("head > 0").select("rep", "comp", "size", "alone", F.posexplode(F.slice("list", 1, F.col("head"))).alias("at", "x"))
+    lists = heads.where("x.cross").select(F.col("x.token").alias("token"), "rep", "comp", "size", (F.col("size") - F.col("alone") - F.col("at")).alias("behind"))
+    other = lists.toDF("token", "rep2", "comp2", "size2", "behind2")
+    near = f"rep < rep2 and comp != comp2 and {100 + percent} * least(behind, behind2) >= {percent} * (size + size2) and 100 * least(size, size2) >= {percent} * greatest(size, size2)"
+    return lists.join(other, "token").where(near).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Rows doc_id, n_shingles, component_id, kept for `docs` (doc_id, text).
 
@@ -114,27 +146,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     linked = marks.where("n_shingles > 0 and doc_id is not null")
     # one class for each set; all rows of a class have the same keys, so any of them will do
     classes = settled(linked.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys")))
-    buckets = settled(classes.select("rep", F.col("n_shingles").alias("size"), F.explode("keys").alias("key")))
+    buckets = classes.select("rep", F.explode("keys").alias("key"))
     many = buckets.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).where("members > 1").select("key", "centre")
-    fits = 100 * F.least("size", "other") >= percent * F.greatest("size", "other")  # no pair of other sizes can be similar enough
-
-    def tested(pairs: DataFrame) -> DataFrame:
-        return settled(confirmed(pairs, docs, n, percent))
-
-    star = buckets.join(many, "key").where("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    found = tested(star)
-    while True:
-        comp = components(found.where("linked"))
-        # buckets of which the members lie in several components
-        placed = buckets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        split = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("key")
-        rest = placed.join(split, "key")
-        left = rest.select("key", F.col("rep").alias("a"), F.col("size").alias("other"), F.col("comp").alias("comp_a"))
-        pairs = rest.withColumnRenamed("rep", "b").join(left, "key").where("a < b and comp != comp_a").where(fits).select("a", "b").distinct()
-        new = settled(pairs.join(found.select("a", "b"), ["a", "b"], "left_anti"))
-        if new.isEmpty():
-            break
-        found = settled(found.union(confirmed(new, docs, n, percent)))
+    members = settled(buckets.join(many, "key"))
+    star = members.where("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    found = settled(confirmed(star, docs, n, percent))
+    comp = components(found.where("linked"))
+    placed = members.select("key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    split = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("key")
+    rest = settled(placed.join(split, "key").select("rep", "comp").distinct())
+    pairs = prefix_pairs(rest, docs, n, percent).join(found.select("a", "b"), ["a", "b"], "left_anti")
+    more = settled(confirmed(pairs, docs, n, percent).where("linked"))
+    if not more.isEmpty():
+        comp = components(found.where("linked").union(more))
     ids = classes.select("f1", "f2", "n_shingles", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
     out = marks.select("doc_id", "n_shingles", "f1", "f2").join(ids, ["f1", "f2", "n_shingles"], "left")
     own = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component_id"))
