@@ -100,19 +100,26 @@ def quality(docs: DataFrame, trusted: DataFrame, threshold: int = THRESHOLD, buc
     weights = bucket_weights(docs, trusted, buckets)
     weight = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")  # one constant for the whole plan
     text = F.coalesce("text", F.lit(""))
-    hs = F.col("_hashes")
+
+    def judged(hs: Column) -> Column:
+        ratio = _let(ngram_buckets(hs, buckets), lambda bs: F.aggregate(bs, F.lit(0).cast("long"), lambda s, b: s + F.get(weight, b), lambda s: s / F.greatest(F.size(bs), F.lit(1))))
+        found = F.struct(F.size(hs).cast("long").alias("n_words"), repeated_words(hs).alias("n_repeat_words"), ratio.alias("ratio"))
+
+        def verdict(x: Column) -> Column:
+            failed = (x["n_words"] < 10) | (100 * x["n_repeat_words"] > 20 * x["n_words"])
+            return F.struct(x["n_words"].alias("n_words"), x["n_repeat_words"].alias("n_repeat_words"), x["ratio"].alias("ratio"), failed.alias("base_failed"), (~failed & (x["ratio"] >= threshold)).alias("kept"))
+
+        return _let(found, verdict)
+
+    # one expression for all that needs the words, so that a filter on `kept` computes it once
+    out = docs.drop(*made).withColumn("_judged", _let(word_hashes(F.col("text")), judged))
     length = F.length(text)
-    ratio = _let(ngram_buckets(hs, buckets), lambda bs: F.aggregate(bs, F.lit(0).cast("long"), lambda s, b: s + F.get(weight, b), lambda s: s / F.greatest(F.size(bs), F.lit(1))))
-    out = docs.drop(*made).withColumn("_hashes", word_hashes(F.col("text"))).withColumns({
-        "n_words": F.size(hs).cast("long"),
+    plain = {
         "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
         "n_symbols": (length - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": duplicate_lines(F.col("text")),
-        "n_repeat_words": repeated_words(hs),
-        "ratio": ratio,
-    }).drop("_hashes")
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("ratio") >= threshold))
+    }
+    return out.select(*[c for c in out.columns if c != "_judged"], *[plain[c].alias(c) if c in plain else F.col(f"_judged.{c}").alias(c) for c in made])
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
