@@ -1,0 +1 @@
+"""Operators on bars: cleaning, patterns, indicators, features, models, signals, backtest."""

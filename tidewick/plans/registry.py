@@ -1,10 +1,216 @@
-"""All queries by name, and the SQL that each is compared with."""
+"""All queries by name, and the SQL that each is compared with.
+
+Every query reads the given tables; bars come from order lines as ticks. Doubles are rounded to four places on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import backtest, clean, features, indicators, model, patterns, signals
+from ..sources import bars as source
+from ..streaming import bars as live
+from .oracle import clipped, r, sql
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+KEY = ["symbol", "bar_date"]
+BAR = [*KEY, "open", "high", "low", "close", "volume"]
+BAR_SQL = f"symbol, bar_date, {r('open', 'high', 'low', 'close')}, volume"
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[(F.round(c, 4) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def query(name: str, oracle: str | None = None):
+    def add(fn: Query) -> Query:
+        QUERIES[name] = lambda spark, sf_dir: rounded(fn(spark, sf_dir))
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return fn
+
+    return add
+
+
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.tick_bars(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
+def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with an adjusted close: symbols that begin with R are split in two."""
+    return bars(spark, sf_dir).withColumn("adj_close", F.when(F.col("symbol").startswith("R"), F.col("close") * 0.5).otherwise(F.col("close")))
+
+
+def wild_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A series of large moves: the largest price per unit of each day."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    days = lines.groupBy(F.concat("l_returnflag", "l_linestatus").alias("symbol"), F.add_months(F.to_date("l_shipdate"), 336).alias("bar_date")).agg(
+        F.max(F.col("l_extendedprice") / F.col("l_quantity") / 7.0).alias("close"), F.sum("l_quantity").cast("long").alias("volume"))
+    return days.select(*KEY, (F.col("close") * 0.995).alias("open"), (F.col("close") * 1.01).alias("high"), (F.col("close") * 0.99).alias("low"), "close", "volume")
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.tag(bars(spark, sf_dir))
+
+
+def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.features(bars(spark, sf_dir))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.momentum_scorer(features.scoring_rows(bars(spark, sf_dir)))
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir).where("target_label is not null")
+
+
+def found_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.signals(scored(spark, sf_dir))
+
+
+def done_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.trades(found_signals(spark, sf_dir), bars(spark, sf_dir))
+
+
+# bars and cleaning
+
+query("bars_daily", sql("b", f"SELECT {BAR_SQL} FROM b"))(bars)
+query("load_min_history", sql("b", f"SELECT {BAR_SQL} FROM b WHERE symbol IN (SELECT symbol FROM b GROUP BY symbol HAVING count(*) >= 400)"))(lambda s, d: source.with_history(bars(s, d)))
+query("load_summary", sql("b", "SELECT symbol, count(*) AS n_rows, min(bar_date) AS first_date, max(bar_date) AS last_date FROM b GROUP BY symbol"))(lambda s, d: source.summary(bars(s, d)))
+query("clean_adjust", sql("clean", f"SELECT {BAR_SQL}, {r('adj_close')} FROM aj"))(lambda s, d: clean.adjust(raw_bars(s, d)))
+query("calendar_spine", sql("clean", "SELECT symbol, bar_date FROM sn"))(lambda s, d: clean.spine(bars(s, d)))
+query("missing_days", sql("clean", "SELECT symbol, bar_date FROM ms"))(lambda s, d: clean.missing_days(bars(s, d)))
+query("gap_runs", sql("clean", "SELECT symbol, run, min(bar_date) AS first_missing, max(bar_date) AS last_missing, count(*) AS n_days FROM mr GROUP BY symbol, run"))(lambda s, d: clean.gap_runs(bars(s, d)))
+query("gap_fill", sql("clean", f"SELECT {BAR_SQL}, {r('adj_close')} FROM gf"))(lambda s, d: clean.fill_gaps(clean.adjust(raw_bars(s, d))))
+_WILD = """WITH w AS (SELECT symbol, bar_date, close * 0.995::DOUBLE AS open, close * 1.01::DOUBLE AS high, close * 0.99::DOUBLE AS low, close, volume FROM (
+  SELECT l_returnflag || l_linestatus AS symbol, CAST(CAST(l_shipdate AS DATE) + INTERVAL 28 YEAR AS DATE) AS bar_date, max(l_extendedprice / l_quantity / 7.0::DOUBLE) AS close, CAST(sum(l_quantity) AS BIGINT) AS volume FROM lineitem GROUP BY ALL))
+"""
+query("clip_outliers", _WILD + f"SELECT {BAR_SQL} FROM ({clipped('w')})")(lambda s, d: clean.clip_outliers(wild_bars(s, d)))
+_VALID = "WHERE NOT (coalesce(high < low, false) OR coalesce(close <= 0, false) OR coalesce(volume = 0, false) OR coalesce(abs(high - low) < 1e-4 * abs(close), false))"
+query("valid_candles", sql("b", f"SELECT {BAR_SQL} FROM b {_VALID}"))(lambda s, d: clean.valid_candles(bars(s, d)))
+query("enforce_types", sql("b", f"SELECT {BAR_SQL} FROM b"))(lambda s, d: clean.enforce_types(bars(s, d).withColumn("volume", F.col("volume").cast("string"))))
+query("preprocess", sql("clean", f"SELECT {BAR_SQL}, {r('adj_close')} FROM (SELECT *, close AS adj_close FROM ({clipped('gf')}) {_VALID} QUALIFY count(*) OVER (PARTITION BY symbol) >= 60)"))(lambda s, d: clean.preprocess(raw_bars(s, d)))
+query("quality_audit", sql("n", """SELECT symbol, count(*) AS n_rows, count(*) FILTER (open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR volume IS NULL) AS n_null,
+  count(*) FILTER (open <= 0 OR high <= 0 OR low <= 0 OR close <= 0) AS n_not_positive, count(*) FILTER (date_diff('day', bar_date1, bar_date) > 5) AS n_gaps FROM n GROUP BY symbol"""))(lambda s, d: clean.quality_audit(bars(s, d)))
+
+# patterns
+
+_EVENT = f"symbol, name AS pattern_name, ptype AS pattern_type, direction, pstart AS pattern_start, bar_date AS pattern_end, num_candles, {r('strength')[:-len(' AS strength')]} AS pattern_strength, confirm AS volume_confirm, ptrend AS prior_trend"
+query("pattern_events", sql("pat", f"SELECT {_EVENT} FROM p WHERE name IS NOT NULL"))(lambda s, d: patterns.events(tagged(s, d)))
+query("pattern_counts", sql("pat", "SELECT symbol, name AS pattern_name, count(*) AS n FROM p WHERE name IS NOT NULL GROUP BY symbol, name"))(lambda s, d: patterns.counts(tagged(s, d)))
+_NAMES = "(SELECT unnest([" + ", ".join(f"'{n}'" for n in patterns.NAMES) + "]) AS pattern_name)"
+query("pattern_summary", sql("pat", f"""SELECT pattern_name, count(name) AS n, round(avg(btr), 4) + 0.0 AS avg_body_share, round(avg(vr), 4) + 0.0 AS avg_volume_ratio
+  FROM {_NAMES} LEFT JOIN p ON p.name = pattern_name GROUP BY pattern_name"""))(lambda s, d: patterns.summary(tagged(s, d)))
+query("rare_patterns", sql("pat", f"SELECT pattern_name, count(name) AS n, count(name) >= 50 AS kept FROM {_NAMES} LEFT JOIN p ON p.name = pattern_name GROUP BY pattern_name"))(lambda s, d: patterns.rare(tagged(s, d)))
+query("tag_bars", sql("pat", f"""SELECT {BAR_SQL}, coalesce(name, '') AS pattern_name, coalesce(direction, '') AS pattern_direction, coalesce(ptype, '') AS pattern_type, coalesce(ptrend, '') AS prior_trend,
+  round(coalesce(strength, 0), 4) + 0.0 AS pattern_strength, {', '.join(f"CAST(coalesce(name = '{n}', false) AS INT) AS pat_{n}" for n in patterns.NAMES)} FROM p"""))(
+    lambda s, d: patterns.flags(tagged(s, d)).drop("num_candles", "volume_confirm", "pattern_start", "volume_vs_average", "body_share"))
+for _name in patterns.NAMES:
+    query(f"pat_{_name}", sql("pat", f"SELECT symbol, bar_date, round(strength, 4) + 0.0 AS pattern_strength, ptrend AS prior_trend FROM p WHERE name = '{_name}'"))(
+        lambda s, d, n=_name: tagged(s, d).where(F.col("pattern_name") == n).select(*KEY, "pattern_strength", "prior_trend"))
+
+# indicators and features
+
+query("ema", sql("feat", f"SELECT symbol, bar_date, {r('ema_20', 'ema_50', 'ema_200')} FROM g"))(lambda s, d: indicators.ema(indicators.ema(indicators.ema(bars(s, d), 20), 50), 200).select(*KEY, "ema_20", "ema_50", "ema_200"))
+query("rsi", sql("feat", f"SELECT symbol, bar_date, {r('rsi_14')} FROM g"))(lambda s, d: indicators.rsi(bars(s, d)).select(*KEY, "rsi_14"))
+query("atr", sql("feat", f"SELECT symbol, bar_date, {r('atr_14')} FROM g"))(lambda s, d: indicators.atr(bars(s, d)).select(*KEY, "atr_14"))
+query("macd", sql("feat", f"SELECT symbol, bar_date, {r('macd_line', 'macd_signal', 'macd_hist')} FROM h"))(lambda s, d: indicators.macd(bars(s, d)).select(*KEY, "macd_line", "macd_signal", "macd_hist"))
+query("bollinger", sql("feat", f"SELECT symbol, bar_date, round(m20, 4) + 0.0 AS bbands_mid, {r('bbands_upper', 'bbands_lower')} FROM h"))(lambda s, d: indicators.bollinger(bars(s, d)).select(*KEY, "bbands_mid", "bbands_upper", "bbands_lower"))
+
+
+def _columns(names: list[str]) -> str:
+    return ", ".join(f"CAST({n} AS INT) AS {n}" if n in features.INTEGERS else r(n) for n in names)
+
+
+for _name, _step, _cols in (("price", features.price, features.PRICE), ("trend", features.trend, features.TREND), ("volatility", features.volatility, features.VOLATILITY), ("gap", features.gap, features.GAP), ("volume", features.volume, features.VOLUME), ("momentum", features.momentum, features.MOMENTUM), ("sr", features.levels, features.LEVELS)):
+    query(f"feat_{_name}", sql("feat", f"SELECT symbol, bar_date, {_columns(_cols)} FROM ft"))(lambda s, d, f=_step, c=_cols: f(bars(s, d)).select(*KEY, *c))
+query("feat_pattern", sql("feat", f"SELECT symbol, bar_date, {_columns(features.PATTERN)} FROM ft"))(lambda s, d: features.wide(bars(s, d)).select(*KEY, *features.PATTERN))
+query("target_label", sql("feat", f"SELECT symbol, bar_date, {r('forward_return_5d')}, target_label FROM ft"))(lambda s, d: features.target(features.volatility(bars(s, d))).select(*KEY, "forward_return_5d", "target_label"))
+query("target_distribution", sql("scored", "SELECT target_label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4) + 0.0 AS share FROM fr GROUP BY target_label"))(lambda s, d: features.label_shares(feature_rows(s, d)))
+query("features", sql("scored", f"SELECT {BAR_SQL}, name AS pattern_name, direction AS pattern_direction, {_columns(features.COLUMNS)}, {r('forward_return_5d')}, target_label FROM fr"))(feature_rows)
+
+# models
+
+_SPLIT = """(SELECT *, CASE WHEN bar_date <= (SELECT CAST(max(bar_date) - to_months(CASE WHEN date_diff('day', min(bar_date), max(bar_date)) // 30 < 24 THEN CAST(greatest(1, floor(date_diff('day', min(bar_date), max(bar_date)) // 30 * 0.25)) AS INT) ELSE 6 END) AS DATE) FROM fr)
+  THEN 'train' ELSE 'test' END AS part FROM fr)"""
+query("time_split", sql("scored", f"SELECT symbol, bar_date, part FROM {_SPLIT}"))(lambda s, d: model.time_split(feature_rows(s, d)).select(*KEY, "part"))
+_SCALED = ["body_size", "atr_14", "rsi_14", "volume_ratio"]
+query("standardize", sql("scored", "SELECT symbol, bar_date, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 4) + 0.0 AS {c}" for c in _SCALED) + " FROM fr"))(lambda s, d: model.standardize(feature_rows(s, d).select(*KEY, *_SCALED), _SCALED))
+query("class_weights", sql("scored", "SELECT target_label, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 4) + 0.0 AS weight FROM fr GROUP BY target_label"))(lambda s, d: model.class_weights(feature_rows(s, d)))
+query("ensemble_argmax", sql("scored", f"SELECT symbol, bar_date, {r('p_bear', 'p_neutral', 'p_bull')}, prediction FROM sp"))(lambda s, d: scored(s, d).select(*KEY, "p_bear", "p_neutral", "p_bull", "prediction"))
+query("confusion_matrix", sql("scored", "SELECT target_label, prediction, count(*) AS n FROM st GROUP BY ALL"))(lambda s, d: model.confusion_matrix(judged(s, d)))
+query("class_report", sql("scored", """SELECT label, round(p, 4) + 0.0 AS precision, round(q, 4) + 0.0 AS recall, round(CASE WHEN p + q = 0 THEN 0 ELSE 2 * p * q / (p + q) END, 4) + 0.0 AS f1, support, round(a, 4) + 0.0 AS accuracy FROM (
+  SELECT label, coalesce(count(*) FILTER (target_label = label AND prediction = label) / nullif(count(*) FILTER (prediction = label), 0), 0)::DOUBLE AS p, coalesce(count(*) FILTER (target_label = label AND prediction = label) / nullif(count(*) FILTER (target_label = label), 0), 0)::DOUBLE AS q,
+    count(*) FILTER (target_label = label) AS support, count(*) FILTER (target_label = prediction) / count(*) AS a FROM st, (SELECT unnest([-1, 0, 1]) AS label) GROUP BY label)"""))(lambda s, d: model.class_report(judged(s, d)))
+query("auc_ovr", sql("scored", """SELECT label, round((sum(rk) FILTER (hit) - count(*) FILTER (hit) * (count(*) FILTER (hit) + 1) / 2) / (count(*) FILTER (hit) * count(*) FILTER (NOT hit)), 4) + 0.0 AS auc FROM (
+  SELECT label, hit, rank() OVER (PARTITION BY label ORDER BY score) + (count(*) OVER (PARTITION BY label, score) - 1) / 2 AS rk FROM (
+    SELECT -1 AS label, round(p_bear, 9) AS score, target_label = -1 AS hit FROM st UNION ALL SELECT 0, round(p_neutral, 9), target_label = 0 FROM st UNION ALL SELECT 1, round(p_bull, 9), target_label = 1 FROM st)) GROUP BY label"""))(lambda s, d: model.auc_ovr(judged(s, d)))
+query("pattern_accuracy", sql("scored", "SELECT name AS pattern_name, count(*) AS n, round(avg(CAST(target_label = prediction AS INT)), 4) + 0.0 AS accuracy FROM st WHERE name IS NOT NULL GROUP BY name HAVING count(*) >= 5"))(lambda s, d: model.pattern_accuracy(judged(s, d)))
+query("tier_accuracy", sql("scored", "SELECT CASE WHEN greatest(p_bear, p_neutral, p_bull) >= 0.7 THEN 'HIGH' WHEN greatest(p_bear, p_neutral, p_bull) >= 0.55 THEN 'MEDIUM' ELSE 'LOW' END AS tier, CAST(pattern_strength > 0 AS INT) AS has_pattern, count(*) AS n, round(avg(CAST(target_label = prediction AS INT)), 4) + 0.0 AS accuracy FROM st GROUP BY 1, 2"))(lambda s, d: model.tier_accuracy(judged(s, d)))
+query("predict_point", sql("scored", f"SELECT symbol, bar_date, {r('p_bear', 'p_neutral', 'p_bull')}, prediction FROM sp WHERE symbol = 'AF' AND bar_date = (SELECT max(bar_date) FROM sp WHERE symbol = 'AF')"))(
+    lambda s, d: signals.latest_rows(scored(s, d).where("symbol = 'AF'")).select(*KEY, "p_bear", "p_neutral", "p_bull", "prediction"))
+
+
+@query("model_predict")
+def model_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of the fitted ensemble on the test part."""
+    split = model.time_split(feature_rows(spark, sf_dir)).persist()
+    fitted = model.train(split.where("part = 'train'"))
+    return model.predict(fitted, split.where("part = 'test'")).select(*KEY, "target_label", "p_bear", "p_neutral", "p_bull", "prediction")
+
+
+# signals
+
+_CONTEXT = ["trend_context", "rsi_zone", "volume_confirmation", "volatility_state", "near_support", "near_resistance", "gap_present", "ema_alignment"]
+_FLAGS = ["high_volume", "strong_trend", "momentum_confirmation", "level_reaction", "sideways_market", "candle_too_small", "candle_too_large"]
+_SIGNAL = ["signal", "signal_strength", "confidence_score", "pattern_detected", "stoploss_method", "reject_signal", "reject_reason"]
+_SIGNAL_R = ["p_bull", "p_bear", "p_neutral", "continuation_probability", "reversal_probability", "confidence_value", "entry_price", "stoploss", "risk_pct", "pattern_strength"]
+for _name, _plain, _num in (("signal_context", _CONTEXT, []), ("signal_flags", _FLAGS, []), ("derived_probs", [], ["continuation_probability", "reversal_probability"]), ("confidence", ["confidence_score"], ["confidence_value"]), ("classify", ["signal", "signal_strength"], []), ("stoploss", ["signal", "stoploss_method"], ["entry_price", "stoploss", "risk_pct"]), ("rejection", ["reject_signal", "reject_reason"], []), ("signals", [*_SIGNAL, *_CONTEXT, *_FLAGS], _SIGNAL_R)):
+    query(_name, sql("sig", "SELECT " + ", ".join(["symbol", "bar_date", *_plain, *([r(*_num)] if _num else [])]) + " FROM si"))(lambda s, d, c=(*_plain, *_num): found_signals(s, d).select(*KEY, *c))
+_REPORT = ["signal", "signal_strength", "confidence_score", "pattern_detected"]
+query("daily_report", sql("sig", f"SELECT symbol, bar_date, CAST(place AS INT) AS rank, {', '.join(_REPORT)}, {r('confidence_value', 'entry_price', 'stoploss', 'risk_pct')} FROM rp"))(
+    lambda s, d: signals.daily_report(found_signals(s, d)).select(*KEY, "rank", *_REPORT, "confidence_value", "entry_price", "stoploss", "risk_pct"))
+query("report_text", sql("sig", """SELECT bar_date, CAST(place AS INT) AS rank, concat_ws(' ', rpad(symbol, 14, ' '), rpad(pattern_detected, 22, ' '), rpad(coalesce(direction, 'neutral'), 9, ' '), lpad(format('{:.1f}', p_bull * 100), 5, ' ') || '%', lpad(format('{:.1f}', p_bear * 100), 5, ' ') || '%',
+  lpad(format('{:.1f}', confidence_value * 100), 5, ' ') || '%', lpad(confidence_score, 6, ' '), rpad(signal, 6, ' '), rpad(signal_strength, 9, ' '), lpad(format('{:.2f}', entry_price), 9, ' '), lpad(format('{:.2f}', stoploss), 9, ' '), lpad(format('{:.2f}', risk_pct), 5, ' ') || '%') AS line FROM rp"""))(
+    lambda s, d: signals.report_text(signals.daily_report(found_signals(s, d))))
+query("eod_summary", sql("sig", """SELECT bar_date, count(*) AS signals_generated, count(*) FILTER (reject_signal) AS signals_rejected, count(*) FILTER (NOT reject_signal AND place <= 20) AS valid_signals,
+  count(*) FILTER (NOT reject_signal AND signal = 'BUY') AS buy_signals, count(*) FILTER (NOT reject_signal AND signal = 'SELL') AS sell_signals, count(*) FILTER (NOT reject_signal AND signal = 'HOLD') AS hold_signals,
+  count(*) FILTER (NOT reject_signal AND place <= 20 AND confidence_score = 'HIGH') AS high_confidence, count(*) FILTER (NOT reject_signal AND place <= 20 AND confidence_score = 'MEDIUM') AS medium_confidence,
+  count(*) FILTER (NOT reject_signal AND place <= 20 AND confidence_score = 'LOW') AS low_confidence FROM rk GROUP BY bar_date"""))(lambda s, d: signals.eod_summary(found_signals(s, d)))
+query("latest_row", sql("feat", f"SELECT {BAR_SQL}, {r('ema_20', 'rsi_14')} FROM ft QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_date DESC) = 1"))(lambda s, d: signals.latest_rows(features.wide(bars(s, d))).select(*BAR, "ema_20", "rsi_14"))
+
+# backtest
+
+_TRADE = ["entry_price", "exit_price", "stoploss", "target", "raw_return_pct", "net_return_pct", "confidence_value", "pattern_strength", "entry_open"]
+_TRADE_SQL = f"symbol, signal_date, entry_date, exit_date, direction, exit_reason, win, pattern_detected, confidence_score, {r(*_TRADE)}"
+query("next_trading_day", sql("trades", "SELECT symbol, bar_date, (SELECT min(d) FROM td WHERE d > bar_date) AS next_day FROM b"))(lambda s, d: backtest.next_trading_days(bars(s, d).select(*KEY)))
+query("circuit", sql("trades", "SELECT symbol, bar_date, circuit FROM ci"))(lambda s, d: backtest.circuits(bars(s, d)).select(*KEY, "circuit"))
+query("trade_sim", sql("trades", f"SELECT {_TRADE_SQL} FROM tr"))(done_trades)
+query("portfolio_curve", sql("curve", f"SELECT CAST(seq AS INT) AS seq, signal_date, symbol, shares, {r('notional', 'pnl')}, round(value, 4) + 0.0 AS portfolio_after FROM cu"))(lambda s, d: backtest.portfolio(done_trades(s, d)))
+query("drawdown", sql("curve", f"SELECT CAST(seq AS INT) AS seq, {r('portfolio_after', 'peak', 'drawdown')} FROM dr"))(lambda s, d: backtest.drawdown(backtest.portfolio(done_trades(s, d))))
+
+
+@query("bt_metrics", sql("curve", """SELECT count(*) AS total_trades, count(*) FILTER (x > 0) AS wins, count(*) FILTER (x <= 0) AS losses, round(round(count(*) FILTER (x > 0) / count(*) * 100, 2), 4) + 0.0 AS win_rate_pct,
+  round(coalesce(avg(x) FILTER (x > 0), 0) * 100, 3) + 0.0 AS avg_win_pct, round(coalesce(avg(x) FILTER (x <= 0), 0) * 100, 3) + 0.0 AS avg_loss_pct, round(sum(x) FILTER (x > 0) / abs(sum(x) FILTER (x <= 0)), 3) + 0.0 AS profit_factor,
+  round((SELECT least(min(drawdown), 0) FROM dr) * 100, 2) + 0.0 AS max_drawdown_pct, round(avg(x) / (stddev_pop(x) + 1e-9) * sqrt(252), 3) + 0.0 AS sharpe_ratio,
+  round((pow((SELECT max_by(value, seq) FROM cu) / 1000000, 252 / (count(*) + 1)) - 1) * 100, 2) + 0.0 AS cagr_pct, round((SELECT max_by(value, seq) FROM cu), 2) + 0.0 AS final_equity,
+  round(((SELECT max_by(value, seq) FROM cu) / 1000000 - 1) * 100, 2) + 0.0 AS total_return_pct FROM (SELECT net_return_pct / 100 AS x FROM tr)"""))
+def bt_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = done_trades(spark, sf_dir)
+    return backtest.metrics(done, backtest.portfolio(done))
+
+
+for _name, _by, _least in (("pattern_winrates", "pattern_detected", 2), ("confidence_winrates", "confidence_score", 1)):
+    query(_name, sql("trades", f"SELECT {_by}, count(*) AS n, round(avg(CAST(win AS INT)) * 100, 1) + 0.0 AS win_rate_pct FROM tr GROUP BY {_by} HAVING count(*) >= {_least}"))(lambda s, d, b=_by, n=_least: backtest.win_rates(done_trades(s, d), b, n))
+query("cum_return", sql("n", "SELECT symbol, bar_date, round(exp(sum(ln(1 + (close / close1 - 1))) OVER (PARTITION BY symbol ORDER BY bar_date)), 4) + 0.0 AS cumulative FROM n"))(
+    lambda s, d: backtest.cumulative_return(bars(s, d).withColumn("ret", F.col("close") / F.lag("close").over(indicators.by_symbol()) - 1), "ret").select(*KEY, "cumulative"))
+query("prob_hist", sql("scored", "SELECT CAST(least(floor(p_bull * 50), 49) AS INT) AS bin, count(*) AS n FROM sp GROUP BY 1"))(lambda s, d: backtest.histogram(scored(s, d), "p_bull"))
+query("hourly_event_bars", """SELECT event_type AS symbol, date_trunc('hour', ts) AS bar_time, round(min(value), 4) + 0.0 AS low, round(max(value), 4) + 0.0 AS high, round(arg_min(value, (ts, event_id)), 4) + 0.0 AS open, round(arg_max(value, (ts, event_id)), 4) + 0.0 AS close, count(*) AS volume FROM events GROUP BY 1, 2""")(
+    lambda s, d: live.hourly_bars(s.read.parquet(f"{d}/events.parquet")))
