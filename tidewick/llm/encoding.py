@@ -53,19 +53,19 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian, of `type`."""
         split = [_chunks(t) for t in texts]
-        new = {c for chunks in split if chunks for c in chunks if c not in self.known}
+        found = [None if chunks is None else list(map(self.known.get, chunks)) for chunks in split]
+        gaps = [[] if got is None else [i for i, ids in enumerate(got) if ids is None] for got in found]
+        new = {chunks[i] for chunks, at in zip(split, gaps, strict=True) for i in at}
         if new:
-            before = len(self.known)
-            self._learn(sorted(new))
-            if len(self.known) < before + len(new):  # it started afresh
-                missing = {c for chunks in split if chunks for c in chunks if c not in self.known}
-                self._learn(sorted(missing))
-        get = self.known.__getitem__
-        out = [b"" if chunks is None else b"".join(map(get, chunks)) for chunks in split]
+            self._learn(list(new))
+            for chunks, got, at in zip(split, found, gaps, strict=True):
+                for i in at:
+                    got[i] = self.known[chunks[i]]
+        out = [b"" if got is None else b"".join(got) for got in found]
         odd = [i for i, chunks in enumerate(split) if chunks is None]
         if odd:
-            for i, found in zip(odd, self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True):
-                out[i] = np.array(found.ids, self.type).tobytes()
+            for i, ids in zip(odd, self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True):
+                out[i] = np.array(ids.ids, self.type).tobytes()
         return out
 
     def ended(self, texts: list[str], end: int) -> list[np.ndarray]:
