@@ -51,7 +51,7 @@ def wild_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A series of large moves: the largest price per unit of each day."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     days = lines.groupBy(F.concat("l_returnflag", "l_linestatus").alias("symbol"), F.add_months(F.to_date("l_shipdate"), 336).alias("bar_date")).agg(
-        F.max(F.col("l_extendedprice") / F.col("l_quantity") / 7.0).alias("close"), F.sum("l_quantity").cast("long").alias("volume"))
+        F.max(F.col("l_extendedprice") / F.col("l_quantity") / 7.389056).alias("close"), F.sum("l_quantity").cast("long").alias("volume"))
     return days.select(*KEY, (F.col("close") * 0.995).alias("open"), (F.col("close") * 1.01).alias("high"), (F.col("close") * 0.99).alias("low"), "close", "volume")
 
 
@@ -90,7 +90,7 @@ query("missing_days", sql("clean", "SELECT symbol, bar_date FROM ms"))(lambda s,
 query("gap_runs", sql("clean", "SELECT symbol, run, min(bar_date) AS first_missing, max(bar_date) AS last_missing, count(*) AS n_days FROM mr GROUP BY symbol, run"))(lambda s, d: clean.gap_runs(bars(s, d)))
 query("gap_fill", sql("clean", f"SELECT {BAR_SQL}, {r('adj_close')} FROM gf"))(lambda s, d: clean.fill_gaps(clean.adjust(raw_bars(s, d))))
 _WILD = """WITH w AS (SELECT symbol, bar_date, close * 0.995::DOUBLE AS open, close * 1.01::DOUBLE AS high, close * 0.99::DOUBLE AS low, close, volume FROM (
-  SELECT l_returnflag || l_linestatus AS symbol, CAST(CAST(l_shipdate AS DATE) + INTERVAL 28 YEAR AS DATE) AS bar_date, max(l_extendedprice / l_quantity / 7.0::DOUBLE) AS close, CAST(sum(l_quantity) AS BIGINT) AS volume FROM lineitem GROUP BY ALL))
+  SELECT l_returnflag || l_linestatus AS symbol, CAST(CAST(l_shipdate AS DATE) + INTERVAL 28 YEAR AS DATE) AS bar_date, max(l_extendedprice / l_quantity / 7.389056::DOUBLE) AS close, CAST(sum(l_quantity) AS BIGINT) AS volume FROM lineitem GROUP BY ALL))
 """
 query("clip_outliers", _WILD + f"SELECT {BAR_SQL} FROM ({clipped('w')})")(lambda s, d: clean.clip_outliers(wild_bars(s, d)))
 _VALID = "WHERE NOT (coalesce(high < low, false) OR coalesce(close <= 0, false) OR coalesce(volume = 0, false) OR coalesce(abs(high - low) < 1e-4 * abs(close), false))"
