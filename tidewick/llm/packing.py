@@ -31,7 +31,10 @@ Pattern = tuple[tuple[int, ...], int]
 
 
 def patterns(present: np.ndarray, capacity: int) -> np.ndarray:
-    """Patterns of one to three of the lengths present, as rows padded with 0: the third length is the largest that fits."""
+    """Patterns of one to three of the lengths present, as rows padded with 0: the last length is the largest that fits.
+
+    Patterns that leave more than a fiftieth of a sequence empty are none: their lengths are packed best-fit.
+    """
     n = len(present)
     i, j = np.triu_indices(n)
     rest = capacity - present[i] - present[j]
@@ -44,11 +47,7 @@ def patterns(present: np.ndarray, capacity: int) -> np.ndarray:
     rows.append(np.column_stack([present[two], present[k[two]], np.zeros(two.sum(), np.int64)]))
     rows.append(np.column_stack([present, np.zeros((n, 2), np.int64)]))
     every = np.concatenate(rows)
-    waste = capacity - every.sum(axis=1)
-    least = np.full(capacity + 1, capacity)
-    for c in range(3):
-        np.minimum.at(least, every[:, c], waste)
-    return every[waste <= np.maximum(2, least[every[:, 0]])]
+    return every[capacity - every.sum(axis=1) <= capacity // 50]
 
 
 def fit(every: np.ndarray, counts: np.ndarray, steps: int = STEPS) -> np.ndarray:
@@ -99,6 +98,8 @@ def _rounded(counts: dict[int, int], capacity: int, up: float, rounds: int) -> l
         if not len(present):
             break
         every = patterns(present, capacity)
+        if not len(every):
+            break
         x = fit(every, left.astype(float))
         before = left.sum()
         for p in np.argsort(-x, kind="stable"):
