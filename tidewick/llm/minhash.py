@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .graph import components
-from .tables import settled, table
+from .tables import settled, stored, table
 
 BINS, ROWS = 128, 4
 _rng = np.random.Generator(np.random.PCG64(99))
@@ -149,14 +149,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     buckets = classes.select("rep", F.explode("keys").alias("key"))
     many = buckets.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).where("members > 1").select("key", "centre")
     members = settled(buckets.join(many, "key"))
+    # only texts that share a bucket are looked at again
+    some = stored(docs.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"))
     star = members.where("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    found = settled(confirmed(star, docs, n, percent))
+    found = settled(confirmed(star, some, n, percent))
     comp = components(found.where("linked"))
     placed = members.select("key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     split = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("key")
     rest = settled(placed.join(split, "key").select("rep", "comp").distinct())
-    pairs = prefix_pairs(rest, docs, n, percent).join(found.select("a", "b"), ["a", "b"], "left_anti")
-    more = settled(confirmed(pairs, docs, n, percent).where("linked"))
+    pairs = prefix_pairs(rest, some, n, percent).join(found.select("a", "b"), ["a", "b"], "left_anti")
+    more = settled(confirmed(pairs, some, n, percent).where("linked"))
     if not more.isEmpty():
         comp = components(found.where("linked").union(more))
     ids = classes.select("f1", "f2", "n_shingles", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
