@@ -108,11 +108,12 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str
     """Adds host, path, rule and verdict to `pages` (page_id, url); `outcomes` has rows url, bad (0 or 1).
 
     Null urls and urls without `://` have an empty host, for which outcomes are pooled like for any other. Hosts that
-    have no outcome at all are judged by the priors above them. Pages keep their repeats.
+    have no outcome at all are judged by the priors above them. Pages keep their repeats; columns of these names are
+    replaced, all others pass through. An empty table stays empty.
     """
     host, path = host_and_path(F.col("url"))
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
-    judged = pages.withColumn("host", host).withColumn("path", path).withColumn("rule", rule).withColumn("_ruled", ruled)
+    judged = pages.drop("host", "path", "rule", "verdict", "bound").withColumn("host", host).withColumn("path", path).withColumn("rule", rule).withColumn("_ruled", ruled)
     known = outcomes.select(host_and_path(F.col("url"))[0].alias("host"), "bad")
     unlabelled = judged.select("host", F.lit(None).cast("int").alias("bad"))
     reputation = host_reputation(known.unionByName(unlabelled)).select("host", (F.col("bound") > max_bad).alias("_blocked"), "bound")
