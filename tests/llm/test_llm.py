@@ -309,3 +309,25 @@ def test_pipeline(spark, tmp_path, copies):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == {0, 2, 4, 5, 6, 50, 51, 52, 53, 54}
+
+
+@pytest.mark.parametrize("changed", [(), (2,)])
+def test_passages_around_a_stock_phrase_of_a_smaller_document(spark, changed):
+    # many smaller documents have the phrase alone; in one of them the phrase stands early and the passage later
+    stock = prose(40, 900)
+    rows = [(i, prose(40, 910 + i) + " " + stock + " " + prose(60, 930 + i)) for i in range(12)]
+    rows.append((12, prose(40, 950) + " " + stock + " " + prose(70, 951) + " " + prose(6, 952) + " " + stock + " " + prose(6, 953) + " " + prose(40, 954)))
+    for k in range(20):
+        passage = (prose(6, 1000 + k) + " " + stock + " " + prose(6, 1100 + k)).split()
+        copy = passage.copy()
+        for c in changed:
+            copy[c] = "changed"
+        rows += [(100 + 2 * k, prose(50, 1200 + k) + " " + " ".join(passage) + " " + prose(50, 1300 + k)), (101 + 2 * k, prose(30, 1400 + k) + " " + " ".join(copy) + " " + prose(70, 1500 + k))]
+    rows.append((200, prose(30, 960) + " " + prose(6, 952) + " " + stock + " " + prose(6, 953) + " " + prose(50, 961)))
+    found = substrings.repeated_passages(docs(spark, rows)).collect()
+    cover = {(r.doc_id, r.source_id): (r.start_word, r.end_word) for r in found}
+    for k in range(20):
+        a, b = cover[101 + 2 * k, 100 + 2 * k]
+        assert a <= 30 + 8 and b >= 82, k
+    assert cover[200, 12][0] <= 30 and cover[200, 12][1] >= 82
+    assert {d for d, _ in cover} == {101 + 2 * k for k in range(20)} | {200}

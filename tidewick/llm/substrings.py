@@ -10,6 +10,11 @@ A window's signature is its token together with the one five words on, or back f
 functions look which way, the token's own hash says), so ten equal words are needed to meet; in repetitive stretches the
 whole passage from the token on signs as well. Each signature links its windows to the one in the smallest document
 only: a passage in n documents makes n - 1 candidates.
+
+That star misses passages whose signature is a stock phrase which the smallest document has without the passage. So
+where three windows or more share a signature, all passages around them that aren't explained yet are looked at again:
+equal ones link to the smallest document that has them, similar ones meet by an exact prefix filter over their rarest
+shingles. Shingles of a stock phrase are frequent, so they make no pairs.
 """
 
 from __future__ import annotations
@@ -175,15 +180,36 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, hashes: int =
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     # read twice: computing the windows again costs less than keeping them
     found = windows(texts, min_words, hashes)
-    shared = found.groupBy("key").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("most")).where("source_id < most").select("key", "source_id")
+    shared = found.groupBy("key").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("most"), (F.count("*") > 2).alias("wide")).where("source_id < most").select("key", "source_id", "wide")
     near = stored(found.join(shared, "key"))
     first = near.where("doc_id = source_id").groupBy("key").agg(F.min("spot").alias("spot2")).select("key", "spot2")
     pairs = near.where("doc_id > source_id").join(first, "key").selectExpr(
         "doc_id", "source_id", "(spot >> 32) - (spot2 >> 32) as shift", "(spot >> 32) - ((spot >> 16) & 65535) as lo", "(spot >> 32) + (spot & 65535) as hi"
     )
+    spans = settled(_spans(pairs))
+    ids = spans.select("doc_id").union(spans.select(F.col("source_id").alias("doc_id"))).distinct()
+    some = stored(texts.join(ids, "doc_id", "left_semi"))
+    star = settled(_verified(spans, some, t, percent))
+    more = settled(_spans(_unexplained(near.where("wide"), star, some, t, percent)))
+    if more.isEmpty():
+        return star
+    # a pair that is looked at again is verified at all its offsets at once
+    before = spans.toDF("doc_id", "source_id", "lo1", "hi1", "shifts1")
+    both = more.join(before, ["doc_id", "source_id"], "left").selectExpr(
+        "doc_id", "source_id", "least(lo, lo1) as lo", "greatest(hi, hi1) as hi", "if(shifts1 is null, shifts, array_union(shifts, shifts1)) as shifts"
+    )
+    return star.join(more.select("doc_id", "source_id"), ["doc_id", "source_id"], "left_anti").unionByName(_verified(both, some, t, percent))
+
+
+def _spans(pairs: DataFrame) -> DataFrame:
+    """One row doc_id, source_id, lo, hi, shifts for each pair of documents of `pairs` (doc_id, source_id, shift, lo, hi)."""
     # intervals of one pair of documents at one offset merge; then all intervals of the pair meet in one row
     merged = pairs.groupBy("doc_id", "source_id", "shift").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    spans = settled(merged.groupBy("doc_id", "source_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_set("shift").alias("shifts")))
+    return merged.groupBy("doc_id", "source_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_set("shift").alias("shifts"))
+
+
+def _verified(spans: DataFrame, texts: DataFrame, t: int, percent: int) -> DataFrame:
+    """The passages of pairs of documents around their `spans`; texts by id from `texts`."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tokens.slices(batches, "text"):
@@ -206,13 +232,108 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, hashes: int =
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "source_id", "start_word", "end_word", "start_char", "end_char"])
 
-    ids = spans.select("doc_id").union(spans.select(F.col("source_id").alias("doc_id"))).distinct()
-    some = stored(texts.join(ids, "doc_id", "left_semi"))
-    both = spans.join(some, "doc_id").join(some.select(F.col("doc_id").alias("source_id"), F.col("text").alias("source_text")), "source_id")
+    both = spans.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("source_id"), F.col("text").alias("source_text")), "source_id")
     kind = "doc_id long, source_id long, start_word long, end_word long, start_char long, end_char long"
     return both.select("doc_id", "source_id", "lo", "hi", "shifts", "text", "source_text").mapInArrow(verify, kind)
 
 
+def _covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of n places lie in one of the ranges [start, end)."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, ends, -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def _count(mask: np.ndarray, t: int) -> np.ndarray:
+    """How many of mask[i : i + t] are set, for every i."""
+    total = np.concatenate([[0], np.cumsum(mask)])
+    return total[t:] - total[:-t]
+
+
+def _unexplained(members: DataFrame, star: DataFrame, texts: DataFrame, t: int, percent: int) -> DataFrame:
+    """Rows doc_id, source_id, shift, lo, hi: places around `members` (doc_id, spot) to be verified besides those in `star`.
+
+    Stretches of t shingles around a member that no passage of `star` covers are open. An open stretch needs all but
+    t - need of its shingles in another document, and so does the stretch there; sorted by one order, the rarest shingles
+    first, two such stretches share one of their first t - need + 1. Equal stretches count as one, that of the smallest
+    document, so n copies make n - 1 candidates.
+    """
+    need = -(-2 * t * percent // (100 + percent))
+    slack = t - need
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in tokens.slices(batches, "text"):
+            s, _, bounds = tokens.Words(part.column("text")).shingles(SHINGLE)
+            ids, spots, starts, ends = (part.column(c).to_pylist() for c in ("doc_id", "spots", "starts", "ends"))
+            rows = []
+            for i, d in enumerate(ids):
+                n, x = int(bounds[i + 1] - bounds[i]), np.array(spots[i], np.int64)
+                c = x >> 32
+                inside = _covered(n, c - np.minimum((x >> 16) & 65535, t - 1), c + np.minimum(x & 65535, t - 1) + 1)
+                known = _covered(n, np.array(starts[i] or [], np.int64), np.array(ends[i] or [], np.int64) - SHINGLE + 1)
+                whole = _count(inside, t) == t
+                opened = np.flatnonzero(whole & (_count(known, t) < t))
+                whole = np.flatnonzero(whole)
+                at = np.flatnonzero(_covered(n, whole, whole + t))
+                rows.append((s[bounds[i] + at], np.full(len(at), d), at, _covered(n, opened, opened + t)[at]))
+            if rows:
+                token, d, at, is_open = (np.concatenate(x) for x in zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(d), pa.array(at.astype(np.int32)), pa.array(is_open)], ["token", "doc_id", "place", "open"])
+
+    spots = members.groupBy("doc_id").agg(F.collect_set("spot").alias("spots"))
+    known = star.groupBy("doc_id").agg(F.collect_list("start_word").alias("starts"), F.collect_list("end_word").alias("ends"))
+    held = texts.join(spots, "doc_id").join(known, "doc_id", "left").mapInArrow(mark, "token long, doc_id long, place int, open boolean").repartition("token")
+    often = held.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("low"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("high")).where("low < high").select("token", "df")
+    lists = held.join(often, "token").groupBy("doc_id").agg(F.collect_list(F.struct("place", "df", "token", "open")).alias("list"))
+    lists = stored(lists.where(F.size("list") >= need))
+
+    def stretches(only_open: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    d, x = batch.column("doc_id")[i].as_py(), batch.column("list")[i].values
+                    place, df, token, is_open = (x.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                    order = np.lexsort((token, df))
+                    low = int(place.min()) - slack
+                    rank = np.full(int(place.max()) - low + slack + 1, -1)  # shingles of one document alone come first
+                    rank[place[order] - low] = np.arange(len(order))
+                    token, place = token[order], place[order]
+                    count = _count(rank >= 0, t)
+                    closed = np.zeros(len(rank), bool)
+                    closed[place - low] = ~is_open[order]
+                    opened = _count(closed, t) == 0
+                    good = np.flatnonzero((count >= need) & (opened if only_open else True))
+                    for at in np.array_split(good, max(1, len(good) // 4096)):
+                        if not len(at):
+                            continue
+                        near = rank[at[:, None] + np.arange(t)]
+                        head = np.partition(near, slack, axis=1)[:, : slack + 1]
+                        row, col = np.nonzero(head >= 0)
+                        head = head[row, col]
+                        if only_open:
+                            yield pa.RecordBatch.from_arrays([pa.array(np.unique(token[head]))], ["token"])
+                            continue
+                        mark = (tokens.mix(token[near].view(np.uint64)) * _PLACES[:t]).sum(axis=1, dtype=np.uint64)
+                        mark = pa.array(tokens.mix(mark).view(np.int64)[row], mask=(count[at] < t)[row])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(token[head]), pa.array(np.full(len(row), d)), pa.array(place[head].astype(np.int64)), pa.array(opened[at][row]), pa.array((at + low)[row].astype(np.int64)), mark],
+                            ["token", "doc_id", "place", "open", "at", "mark"],
+                        )
+
+        return run
+
+    asked = stored(lists.mapInArrow(stretches(True), "token long").distinct())
+    heads = stored(lists.mapInArrow(stretches(False), "token long, doc_id long, place long, open boolean, at long, mark long").join(asked, "token", "left_semi"))
+    equal = heads.where("mark is not null").groupBy("mark").agg(F.min(F.struct("doc_id", "at")).alias("least")).selectExpr("mark", "least.doc_id as source_id", "least.at as at2")
+    heads = heads.join(equal, "mark", "left")
+    copies = heads.where("open and source_id < doc_id").selectExpr("doc_id", "source_id", "at - at2 as shift", "at as lo", f"at + {t} as hi")
+    own = heads.where("source_id is null or source_id = doc_id").select("token", "doc_id", "place", "open").distinct()
+    other = own.selectExpr("token", "doc_id as source_id", "place as place2").distinct()
+    similar = own.where("open").join(other, "token").where("source_id < doc_id").selectExpr("doc_id", "source_id", "place - place2 as shift", f"place - {t} as lo", f"place + {t} as hi")
+    return copies.union(similar)
+
+
 def cut_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """`docs` without the passages (doc_id, start_char, end_char); where passages overlap, all they cover goes.
 
