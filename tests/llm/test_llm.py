@@ -261,6 +261,15 @@ def test_html(spark):
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract(pages).collect()) == [(0, "", 0)] + [(1, html_text.main_text(PAGE), 37)] * 2
 
 
+def test_notices_longer_than_the_article_stay_cut():
+    assert html_text.main_text(f"<body><div class=ad>{prose(30, 413)}</div><article><h1>Title</h1><p>Title.</article>") == "Title\nTitle."
+
+
+def test_comments_that_are_articles_stay_cut_beside_the_article():
+    page = f"<body><div class=has-sidebar><article><div class='post related-enabled'><p>{prose(40, 414)}</div></article><div id=comments><article>{prose(30, 415)}</article></div></div>"
+    assert html_text.main_text(page) == prose(40, 414)
+
+
 def test_urls(spark):
     rows = [(1, "http://Www.Example.com/en/12?x"), (2, "https://example.com/en/7#t"), (3, "http://a.example.net/de/81"), (4, "http://b.net/de/1"), (5, "http://bad.biz/1"), (6, None), (7, "nothing"), (8, "http://x.org"), (9, "http://notexample.com/en/7")]
     pages = spark.createDataFrame(rows, "page_id long, url string")
@@ -331,3 +340,13 @@ def test_passages_around_a_stock_phrase_of_a_smaller_document(spark, changed):
         assert a <= 30 + 8 and b >= 82, k
     assert cover[200, 12][0] <= 30 and cover[200, 12][1] >= 82
     assert {d for d, _ in cover} == {101 + 2 * k for k in range(20)} | {200}
+
+
+@pytest.mark.parametrize("start, end", [
+    ('<body><div class="content-sidebar-wrap">', "</div>"), ('<body><div id="page" class="has-sidebar">', "</div>"), ('<body><div class="post related-enabled">', "</div>"),
+    ("<head><title>t</title><body>", ""), ("<head><meta charset=utf-8><title>t</title>", ""), ('<body><form id="aspnetForm">', "</form>"),
+])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_wrappers_open_heads_and_page_wide_forms_keep_the_text(start, end, tag):
+    page = f"<html>{start}<{tag}><p>{prose(40, 410)}<p>{prose(30, 411)}</{tag}><div class=sidebar>{prose(5, 412)}</div><form><p>mail</form>{end}</html>"
+    assert html_text.main_text(page) == prose(40, 410) + "\n" + prose(30, 411)

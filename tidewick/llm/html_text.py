@@ -3,7 +3,9 @@
 For every node of a page's tree, the characters per tag of its subtree are weighed by how few of them are link text
 (composite text density). A node's density sum adds up its children's densities; the subtree with the largest sum is
 the article, and the smallest density on its way up to the body is the threshold from which other subtrees count too.
-Scripts, menus, forms, notices and the like are cut from the tree beforehand by element, role and class.
+Scripts, menus, forms, notices and the like are cut from the tree beforehand by element, role and class; what names only
+its wrapper (role, class, id, form) doesn't cut an element that holds an article or main element or, in pages without
+any, most of the plain text.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ _BLOCKS = frozenset(
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 _CUT = frozenset("head script style noscript template svg nav footer aside form button select textarea iframe object menu dialog canvas audio video title".split())
+#: What may stand in a head; any other element ends it.
+_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head".split())
 _CUT_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar form".split())
 _CUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising banner sponsor sponsored promo promotion sidebar comment comments commentlist disqus "
@@ -45,33 +49,39 @@ _CUT_WORDS = frozenset(
 class Node:
     __slots__ = ("tag", "parent", "items", "cut", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool):
+    def __init__(self, tag: str, parent: Node | None, cut: int):
         self.tag, self.parent, self.items, self.cut = tag, parent, [], cut
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def _cut(tag: str, attributes: str, inside: bool) -> bool:
+#: Cut whatever it holds; cut unless it turns out to hold the article.
+ALWAYS, UNLESS_MAIN = 2, 1
+
+
+def _cut(tag: str, attributes: str, inside: bool) -> int:
     """Whether an element is no part of an article; inside: it stands in an article or main element."""
-    if tag in _CUT or (tag == "header" and not inside):
-        return True
+    if (tag in _CUT and tag != "form") or (tag == "header" and not inside):
+        return ALWAYS
+    if attributes and tag not in ("html", "body", "article", "main") and _HIDDEN.search(attributes):
+        return ALWAYS
+    if tag == "form":
+        return UNLESS_MAIN
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    if _HIDDEN.search(attributes):
-        return True
+        return 0
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         words = [w.lower() for w in _WORD.findall(a or b or c)]
         if name.lower() == "role":
             if not _CUT_ROLES.isdisjoint(words):
-                return True
+                return UNLESS_MAIN
         elif name.lower() != "itemprop" and (not _CUT_WORDS.isdisjoint(words) or (words == ["header"] and not inside)):
-            return True
-    return False
+            return UNLESS_MAIN
+    return 0
 
 
 def parse(page: str) -> Node:
     """The tree of a page, however broken: elements that are never closed end with what holds them."""
-    root = node = Node("body", None, False)
+    root = node = Node("body", None, 0)
     at, size = 0, len(page)
     articles = 0
     while at < size:
@@ -79,6 +89,8 @@ def parse(page: str) -> Node:
         if m is None:
             break
         if m.start() > at:
+            if node.tag == "head" and not page[at : m.start()].isspace():
+                node = node.parent
             node.items.append(page[at : m.start()])
         at = m.end()
         tag = m[2]
@@ -99,8 +111,15 @@ def parse(page: str) -> Node:
             elif tag == "p":
                 node.items.append(None)
             continue
+        if tag == "body":
+            up = node
+            while up is not root and up.tag != "head":
+                up = up.parent
+            node = up.parent if up.tag == "head" else node
         if tag in ("html", "body"):
             continue
+        if node.tag == "head" and tag not in _HEAD:
+            node = node.parent
         ends = _ENDS.get(tag)
         up = node
         if ends:
@@ -123,10 +142,48 @@ def parse(page: str) -> Node:
             articles += tag in ("article", "main")
             node = new
     if at < size:
+        if node.tag == "head" and not page[at:].isspace():
+            node = node.parent
         node.items.append(page[at:])
     return root
 
 
+def _spare(root: Node) -> None:
+    """Takes back the cut of elements around an article or main element, if none stands elsewhere, and of those that hold
+    most of the plain text of the article or main element they stand in (in pages without any: of the page)."""
+    nodes = [root]
+    for node in nodes:
+        nodes += [x for x in node.items if isinstance(x, Node) and x.cut != ALWAYS]
+    if not any(node.cut for node in nodes):
+        return
+    plain = dict.fromkeys(map(id, nodes), 0)
+    holds = set()
+    for node in reversed(nodes):
+        if node.tag == "a":
+            plain[id(node)] = 0
+        else:
+            plain[id(node)] += sum(len(" ".join(x.split())) for x in node.items if isinstance(x, str))
+        if node.parent is not None:
+            plain[id(node.parent)] += plain[id(node)]
+            if node.tag in ("article", "main") or id(node) in holds:
+                holds.add(id(node.parent))
+    while holds:
+        seen = [root]
+        for node in seen:
+            seen += [x for x in node.items if isinstance(x, Node) and not x.cut]
+        if any(node.tag in ("article", "main") for node in seen):
+            break
+        for node in seen:
+            for x in node.items:
+                if isinstance(x, Node) and id(x) in holds and x.cut != ALWAYS:
+                    x.cut = 0
+    within = {id(root): None if holds else root}
+    for node in nodes[1:]:
+        scope = within[id(node)] = node if node.tag in ("article", "main") else within[id(node.parent)]
+        if node.cut and scope is not None and 2 * plain[id(node)] > plain[id(scope)]:
+            node.cut = 0
+
+
 def _uncut(root: Node) -> list[Node]:
     """The nodes that stay, parents before children."""
     out = [root]
@@ -241,7 +298,9 @@ def main_text(page: str | None) -> str:
     """The main text of a page; empty for null and for pages without any."""
     if not page:
         return ""
-    nodes = _uncut(parse(page))
+    root = parse(page)
+    _spare(root)
+    nodes = _uncut(root)
     _weigh(nodes)
     return text_of(select(nodes))
 
