@@ -350,3 +350,11 @@ def test_passages_around_a_stock_phrase_of_a_smaller_document(spark, changed):
 def test_wrappers_open_heads_and_page_wide_forms_keep_the_text(start, end, tag):
     page = f"<html>{start}<{tag}><p>{prose(40, 410)}<p>{prose(30, 411)}</{tag}><div class=sidebar>{prose(5, 412)}</div><form><p>mail</form>{end}</html>"
     assert html_text.main_text(page) == prose(40, 410) + "\n" + prose(30, 411)
+
+
+def test_thresholds_choose_beside_an_article():
+    parts = [prose(60, 420 + k) for k in range(4)]
+    two = f"<main><article><p>{parts[0]}<p>{parts[1]}</article><article><p>{parts[2]}<p>{parts[3]}</article></main>"
+    assert html_text.main_text(two) == "\n".join(parts)
+    beside = f"<article><p>{parts[0]}<p>{parts[1]}</article><div><p>{parts[2]}<p>{parts[3]}</div><ul><li><a href=1>one</a><li><a href=2>two</a></ul>"
+    assert html_text.main_text(beside) == "\n".join(parts)

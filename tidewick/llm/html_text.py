@@ -3,6 +3,7 @@
 For every node of a page's tree, the characters per tag of its subtree are weighed by how few of them are link text
 (composite text density). A node's density sum adds up its children's densities; the subtree with the largest sum is
 the article, and the smallest density on its way up to the body is the threshold from which other subtrees count too.
+Each subtree chosen is widened to the article or main element it stands in.
 Scripts, menus, forms, notices and the like are cut from the tree beforehand by element, role and class; what names only
 its wrapper (role, class, id, form) doesn't cut an element that holds an article or main element or, in pages without
 any, most of the plain text.
@@ -227,6 +228,18 @@ def _largest(top: Node) -> Node:
     return best
 
 
+def _home(node: Node) -> Node:
+    """The nearest article around a node (or itself), else the outermost main element, else the node."""
+    home, up = node, node
+    while up is not None:
+        if up.tag == "article":
+            return up
+        if up.tag == "main":
+            home = up
+        up = up.parent
+    return home
+
+
 def select(nodes: list[Node]) -> list[Node]:
     """The subtrees that make up the article, in page order."""
     body = nodes[0]
@@ -234,20 +247,11 @@ def select(nodes: list[Node]) -> list[Node]:
     threshold, up = main.density, main
     while up is not None:
         threshold, up = min(threshold, up.density), up.parent
-    home, up = None, main
-    while up is not None:
-        if up.tag in ("article", "main"):
-            home = up
-            if up.tag == "article":
-                break
-        up = up.parent
-    if home is not None:
-        return [home]
-    marked: set[int] = {id(main)}
+    marked: set[int] = {id(_home(main))}
     todo = [body]
     for node in todo:
         if node.density >= threshold:
-            marked.add(id(_largest(node)))
+            marked.add(id(_home(_largest(node))))
         todo += [x for x in node.items if isinstance(x, Node)]
     out = []
 
