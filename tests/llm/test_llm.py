@@ -358,3 +358,9 @@ def test_thresholds_choose_beside_an_article():
     assert html_text.main_text(two) == "\n".join(parts)
     beside = f"<article><p>{parts[0]}<p>{parts[1]}</article><div><p>{parts[2]}<p>{parts[3]}</div><ul><li><a href=1>one</a><li><a href=2>two</a></ul>"
     assert html_text.main_text(beside) == "\n".join(parts)
+
+
+def test_oracles_are_sql_of_registered_queries():
+    import __spark_entry__ as entry
+
+    assert all(isinstance(x, str) for x in entry.oracle_sql().values()) and set(entry.oracle_sql()) <= set(entry.queries())

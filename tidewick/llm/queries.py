@@ -21,8 +21,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_quality": quality.op10,
 }
 ORACLES: dict[str, str] = {
-    "op1_text_density": html_text.op1,
-    "op2_compact_windows": substrings.op2,
-    "op3_factorization_toxicity": toxicity.op3,
     "op4_url_reputation": url_reputation.OP4_SQL,
 }
