@@ -228,8 +228,16 @@ def test_packed_pieces(spark):
 @given(st.lists(st.integers(0, 3000), min_size=0, max_size=300))
 def test_elias_fano(gaps):
     v = np.concatenate([[0], np.cumsum(np.array(gaps, np.int64))]).astype(np.int64)
-    e = token_files.EliasFano.encoded(v, int(v[-1]))
+    e = token_files.EliasFano.encoded(v)
     assert e.all().tolist() == v.tolist() == [e.select(i) for i in range(len(v))]
+    assert all(e.between(a, b).tolist() == v[a:b].tolist() for a in range(0, len(v), 37) for b in (a, a + 1, (a + len(v)) // 2, len(v)) if a <= b <= len(v))
+
+
+def test_token_files_keep_any_ids_and_equal_ones(spark, tmp_path):
+    rows = [(i, f"text {k}") for k, i in enumerate([-(2**63), 2**63 - 1, 5, 5, 5, None, None, -7])] + [(5, "text 2")]
+    manifest = token_files.write_token_files(docs(spark, rows), str(tmp_path / "out"), shards=2)
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens) for r in token_files.read_token_files(manifest).collect())
+    assert got == sorted((i is not None, i or 0, len(x) + 1) for (i, _), x in zip(rows, encoded([t for _, t in rows]), strict=True))
 
 
 def test_token_files_round_trip(spark, tmp_path):

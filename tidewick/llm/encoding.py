@@ -1,30 +1,24 @@
 """Token ids of whole texts, by a public tokenizer's file, for tasks that encode many texts.
 
 Byte-level BPE never joins over a space that stands alone before a word, nor over a line break. So the ids of a text
-are those of its chunks, and chunks recur: each is encoded once while it is in a bounded cache of the worker. Texts
-with other white space than single spaces and line breaks go to the tokenizer as they are.
+are those of its pieces (a word with the space or line break before it), and pieces recur: a worker encodes each once
+while it is in a bounded cache of two generations. Texts with other white space than single spaces and line breaks
+between words go to the tokenizer as they are.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 from functools import lru_cache
 
 import numpy as np
 
-#: Chunks a worker keeps; the cache starts afresh beyond that.
-CACHE = 600_000
-_CHUNK = re.compile(r" ?[^ \n]+|\n")
-
-
-def _chunks(text: str) -> list[str] | None:
-    """The text's chunks; None where white space is other than single spaces and line breaks between words."""
-    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1].isspace() or text[-1:].isspace():
-        return None
-    found = _CHUNK.findall(text)
-    return found if len(text.split()) == len(found) - text.count("\n") else None
-
+#: Pieces of a generation of a worker's cache; a full one becomes the older one, whose pieces come back when met again.
+CACHE = 400_000
+#: Pieces that are sent to the tokenizer as one text.
+TOGETHER = 300
+#: Bytes of texts to encode at once: few enough to stay in a processor's own memory.
+SLICE_BYTES = 200_000
 
 
 class Encoder:
@@ -35,34 +29,47 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) + len(chunks) > CACHE:
-            self.known.clear()
-        for k in range(0, len(chunks), 20_000):
-            some = chunks[k : k + 20_000]
-            found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids, of = np.array(found.ids, self.type), np.array(found.word_ids, np.int64)
-            ends = np.searchsorted(of, np.arange(len(some)), "right").tolist()
-            raw, w, at = ids.tobytes(), self.type.itemsize, 0
-            for chunk, end in zip(some, ends, strict=True):
-                self.known[chunk] = raw[at * w : end * w]
-                at = end
+        self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.known: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Makes all of `pieces` known; None stands for a piece with white space within it or with nothing else."""
+        if len(self.known) + len(pieces) > CACHE:
+            self.older, self.known = self.known, {}
+        new = []
+        for piece in pieces:
+            if piece in self.older:
+                self.known[piece] = self.older[piece]
+            elif len(piece.split()) != 1 or piece[-1].isspace() or piece.lstrip("\n")[0].isspace():
+                self.known[piece] = None
+            else:
+                new.append(piece)
+        for k in range(0, len(new), TOGETHER):
+            some = new[k : k + TOGETHER]
+            # each piece behind a line break, whose id none of the pieces has
+            text = "".join([p if p[0] == "\n" else f"\n {p}" for p in some])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
+            edges = [*np.flatnonzero(ids == self.line_break).tolist(), len(ids)]
+            raw, w = ids.tobytes(), self.type.itemsize
+            for piece, a, b in zip(some, edges[:-1], edges[1:], strict=True):
+                self.known[piece] = raw[(a if piece[0] == "\n" else a + 1) * w : b * w]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian, of `type`."""
-        split = [_chunks(t) for t in texts]
-        found = [None if chunks is None else list(map(self.known.get, chunks)) for chunks in split]
-        gaps = [[] if got is None else [i for i, ids in enumerate(got) if ids is None] for got in found]
-        new = {chunks[i] for chunks, at in zip(split, gaps, strict=True) for i in at}
+        # a line break before the text makes its first word a piece like those after other line breaks
+        split = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
+        found = [list(map(self.known.get, pieces, pieces)) for pieces in split]
+        new = {x for got in found for x in got if type(x) is str}
         if new:
             self._learn(list(new))
-            for chunks, got, at in zip(split, found, gaps, strict=True):
-                for i in at:
-                    got[i] = self.known[chunks[i]]
-        out = [b"" if got is None else b"".join(got) for got in found]
-        odd = [i for i, chunks in enumerate(split) if chunks is None]
+            found = [[self.known[x] if type(x) is str else x for x in got] for got in found]
+        out, odd, w = [b""] * len(texts), [], self.type.itemsize
+        for i, got in enumerate(found):
+            if None in got:
+                odd.append(i)
+            else:
+                out[i] = b"".join(got)[w:]
         if odd:
             for i, ids in zip(odd, self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True):
                 out[i] = np.array(ids.ids, self.type).tobytes()

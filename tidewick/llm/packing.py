@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .encoding import encoder
+from .encoding import SLICE_BYTES, encoder
 from .tables import settled, table
 
 CAPACITY, END, TOKENIZER = 1024, 2, "byte_bpe_50k.json"
@@ -160,7 +160,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, name: str
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, seen = encoder(name), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for some in tokens.slices(batches, "text"):
+        for some in tokens.slices(batches, "text", SLICE_BYTES):
             rows = []
             for doc, ids in zip(some.column("doc_id").to_pylist(), own.ended([t or "" for t in some.column("text").to_pylist()], end), strict=True):
                 first = (len(ids) - 1) % capacity + 1
