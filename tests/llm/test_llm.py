@@ -200,8 +200,21 @@ def encoded(texts):
 
 def test_encoder_equals_the_tokenizer():
     texts = ["  a b", "a  b\nc", "a\n\nb", "x \ny", "é b c", " lead", "trail ", "<|endoftext|> hi", "don't 've", "a\tb", "中文 字 12 3½", "a\x1cb", "", " ", "\n", "a b　d", "a b", prose(200, 70)]
+    texts += ["a\nb\nc", "a\n", "\na", "x\u00a0y z", "x\u00a0 z", "it's 's\n're ok's", "end.\n(Next) 12,5 %", None, "1 2\n3", "#$% ## a", *[prose(30, 71 + k) for k in range(5)]]
     own = Encoder("byte_bpe_50k.json")
-    assert [np.frombuffer(x, own.type).tolist() for x in own.encode(texts)] == encoded(texts)
+    for _ in range(2):
+        assert [x.tolist() for x in own.encode(pa.array(texts))] == encoded(texts)
+        assert [x.tolist() for x in own.ended(pa.array(texts), 7)] == [[*x, 7] for x in encoded(texts)]
+    assert own.encode(pa.array([], pa.string())) == [] and [len(x) for x in own.encode(pa.array([None, ""], pa.string()))] == [0, 0]
+
+
+def test_encoder_compares_bytes_where_hashes_are_equal(monkeypatch):
+    monkeypatch.setattr(tokens, "mix", lambda h: h & np.uint64(3))
+    monkeypatch.setattr("tidewick.llm.encoding.CACHE", 3)
+    texts = [prose(6, 80 + k) for k in range(6)]
+    own = Encoder("byte_bpe_50k.json")
+    for _ in range(2):
+        assert [x.tolist() for x in own.encode(pa.array(texts))] == encoded(texts)
 
 
 def test_packed_pieces(spark):

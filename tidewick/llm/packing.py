@@ -162,7 +162,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, name: str
         own, part, seen = encoder(name), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for some in tokens.slices(batches, "text", SLICE_BYTES):
             rows = []
-            for doc, ids in zip(some.column("doc_id").to_pylist(), own.ended([t or "" for t in some.column("text").to_pylist()], end), strict=True):
+            for doc, ids in zip(some.column("doc_id").to_pylist(), own.ended(some.column("text"), end), strict=True):
                 first = (len(ids) - 1) % capacity + 1
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 wide = ids.astype("<u4")

@@ -209,7 +209,7 @@ def write_token_files(docs: DataFrame, folder: str, end: int = END, name: str =
         path = f"{folder}/shard-{context.partitionId():06d}-{context.taskAttemptId()}.bin"
         for part in tokens.slices(batches, "text", SLICE_BYTES):
             out = out or ShardWriter(path, own.type.itemsize)
-            out.add(part.column("doc_id"), own.ended([t or "" for t in part.column("text").to_pylist()], end))
+            out.add(part.column("doc_id"), own.ended(part.column("text"), end))
         if out:
             n, ids = out.close()
             yield pa.RecordBatch.from_arrays([pa.array([context.partitionId()], pa.int32()), pa.array([path]), pa.array([n], pa.int64()), pa.array([ids], pa.int64())], ["shard", "path", "docs", "ids"])
