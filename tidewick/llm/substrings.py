@@ -12,9 +12,12 @@ whole passage from the token on signs as well. Each signature links its windows
 only: a passage in n documents makes n - 1 candidates.
 
 That star misses passages whose signature is a stock phrase which the smallest document has without the passage. So
-where three windows or more share a signature, all passages around them that aren't explained yet are looked at again:
-equal ones link to the smallest document that has them, similar ones meet by an exact prefix filter over their rarest
-shingles. Shingles of a stock phrase are frequent, so they make no pairs.
+signatures that three windows or more share are looked at again. A stretch counts there if windows of enough hash
+functions over it are shared, and is open if no passage found so far covers it. The stretches of all documents that
+share a signature with an open one meet once more in stars, this time by what is rare among them: equal stretches link
+to the smallest document that has them, and each rare shingle of an open stretch (one of those of which two similar
+stretches must share one) to the smallest document that has it there. So n stretches make a few times n candidates,
+however many of them are alike.
 """
 
 from __future__ import annotations
@@ -30,8 +33,12 @@ from . import tokens
 from .tables import settled, stored, table
 
 SHINGLE = 5
-#: Words of a passage at least, hash functions, and windows that must agree; similarity of passages in percent.
+#: Words of a passage at least, hash functions, and similarity of passages in percent.
 MIN_WORDS, HASHES, PERCENT = 50, 4, 80
+#: Hash functions whose windows over a stretch must be shared for a second look at it.
+AGREE = 2
+#: Bits for how far a window reaches to either side.
+_REACH = 14
 
 _U = np.uint64
 _PLACES = np.random.Generator(np.random.PCG64(6)).integers(1, 2**63, 4096, dtype=np.uint64) * _U(2) + _U(1)
@@ -83,9 +90,10 @@ def compact_windows(v: np.ndarray, bounds: np.ndarray, t: int) -> tuple[np.ndarr
 
 
 def windows(docs: DataFrame, min_words: int = MIN_WORDS, hashes: int = HASHES) -> DataFrame:
-    """Rows key, doc_id, spot for all compact windows of `docs`; spot holds c, c - l and r - c in 32, 16 and 16 bits.
+    """Rows key, doc_id, spot for all compact windows of `docs`; spot holds c, the hash function, c - l and r - c in 32, 4,
+    14 and 14 bits.
 
-    Only what a window wider than 65535 tokens to one side reaches is cut; the windows within it cover that text too.
+    Only what a window wider than 16383 tokens to one side reaches is cut; the windows within it cover that text too.
     """
     t = min_words - SHINGLE + 1
 
@@ -113,7 +121,8 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS, hashes: int = HASHES) -
                 again = (ahead[:, 1:] == ahead[:, :1]).any(axis=1)
                 whole = whole[again]
                 key = np.concatenate([key, tokens.mix((tokens.mix(ahead[again]) * _PLACES[:t]).sum(axis=1, dtype=np.uint64))])
-                spot = ((c - bounds[of]) << 32) | (np.minimum(c - l, 65535) << 16) | np.minimum(r - c, 65535)
+                most = (1 << _REACH) - 1
+                spot = ((c - bounds[of]) << 32) | (k << 2 * _REACH) | (np.minimum(c - l, most) << _REACH) | np.minimum(r - c, most)
                 row = np.concatenate([np.arange(len(c)), whole])
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[of[row]]), pa.array(spot[row].astype(np.int64))], ["key", "doc_id", "spot"])
 
@@ -184,7 +193,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, hashes: int =
     near = stored(found.join(shared, "key"))
     first = near.where("doc_id = source_id").groupBy("key").agg(F.min("spot").alias("spot2")).select("key", "spot2")
     pairs = near.where("doc_id > source_id").join(first, "key").selectExpr(
-        "doc_id", "source_id", "(spot >> 32) - (spot2 >> 32) as shift", "(spot >> 32) - ((spot >> 16) & 65535) as lo", "(spot >> 32) + (spot & 65535) as hi"
+        "doc_id", "source_id", "(spot >> 32) - (spot2 >> 32) as shift", f"(spot >> 32) - ((spot >> {_REACH}) & {(1 << _REACH) - 1}) as lo", f"(spot >> 32) + (spot & {(1 << _REACH) - 1}) as hi"
     )
     spans = settled(_spans(pairs))
     ids = spans.select("doc_id").union(spans.select(F.col("source_id").alias("doc_id"))).distinct()
@@ -251,87 +260,102 @@ def _count(mask: np.ndarray, t: int) -> np.ndarray:
     return total[t:] - total[:-t]
 
 
-def _unexplained(members: DataFrame, star: DataFrame, texts: DataFrame, t: int, percent: int) -> DataFrame:
-    """Rows doc_id, source_id, shift, lo, hi: places around `members` (doc_id, spot) to be verified besides those in `star`.
+def _ranges(spots: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash function, first start and last start of the stretches of t shingles for which each window speaks."""
+    most = (1 << _REACH) - 1
+    c = spots >> 32
+    return (spots >> 2 * _REACH) & 15, c - np.minimum((spots >> _REACH) & most, t - 1), c - t + 1 + np.minimum(spots & most, t - 1)
 
-    Stretches of t shingles around a member that no passage of `star` covers are open. An open stretch needs all but
-    t - need of its shingles in another document, and so does the stretch there; sorted by one order, the rarest shingles
-    first, two such stretches share one of their first t - need + 1. Equal stretches count as one, that of the smallest
-    document, so n copies make n - 1 candidates.
+
+def _unexplained(members: DataFrame, star: DataFrame, texts: DataFrame, t: int, percent: int, agree: int = AGREE) -> DataFrame:
+    """Rows doc_id, source_id, shift, lo, hi: places around `members` (key, doc_id, spot) to be verified besides those in `star`.
+
+    An open stretch needs all but t - need of its shingles in another document, and so does the stretch there; sorted by
+    one order, the rarest shingles first, two such stretches share one of their first t - need + 1.
     """
     need = -(-2 * t * percent // (100 + percent))
     slack = t - need
 
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i in range(batch.num_rows):
+                d, held = batch.column("doc_id")[i].as_py(), batch.column("held")[i].values
+                key, spot = (held.field(k).to_numpy() for k in range(2))
+                known = [np.array(batch.column(c)[i].as_py() or [], np.int64) for c in ("starts", "ends")]
+                function, first, last = _ranges(spot, t)
+                n = int(last.max()) + t
+                shared = np.zeros(n - t + 1, np.int64)
+                for k in np.unique(function):
+                    shared += _covered(len(shared), first[function == k], last[function == k] + 1)
+                inside = np.minimum(known[0], n), np.minimum(known[1] - SHINGLE + 1, n)
+                good = np.concatenate([[0], np.cumsum(shared >= agree)])
+                is_open = np.concatenate([[0], np.cumsum((shared >= agree) & (_count(_covered(n, *inside), t) < t))])
+                held = good[last + 1] > good[first]
+                rows.append((key[held], np.full(held.sum(), d), first[held], last[held], is_open[last[held] + 1] > is_open[first[held]]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], ["key", "doc_id", "first", "last", "open"])
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tokens.slices(batches, "text"):
             s, _, bounds = tokens.Words(part.column("text")).shingles(SHINGLE)
-            ids, spots, starts, ends = (part.column(c).to_pylist() for c in ("doc_id", "spots", "starts", "ends"))
             rows = []
-            for i, d in enumerate(ids):
-                n, x = int(bounds[i + 1] - bounds[i]), np.array(spots[i], np.int64)
-                c = x >> 32
-                inside = _covered(n, c - np.minimum((x >> 16) & 65535, t - 1), c + np.minimum(x & 65535, t - 1) + 1)
-                known = _covered(n, np.array(starts[i] or [], np.int64), np.array(ends[i] or [], np.int64) - SHINGLE + 1)
-                whole = _count(inside, t) == t
-                opened = np.flatnonzero(whole & (_count(known, t) < t))
-                whole = np.flatnonzero(whole)
-                at = np.flatnonzero(_covered(n, whole, whole + t))
-                rows.append((s[bounds[i] + at], np.full(len(at), d), at, _covered(n, opened, opened + t)[at]))
+            for i, d in enumerate(part.column("doc_id").to_pylist()):
+                x = part.column("held")[i].values
+                first, last, is_open = (x.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                n = int(bounds[i + 1] - bounds[i])
+                at = np.flatnonzero(_covered(n, first, last + t))
+                rows.append((s[bounds[i] + at].view(np.int64), np.full(len(at), d), at.astype(np.int32), _covered(n, first[is_open], last[is_open] + t)[at]))
             if rows:
-                token, d, at, is_open = (np.concatenate(x) for x in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(d), pa.array(at.astype(np.int32)), pa.array(is_open)], ["token", "doc_id", "place", "open"])
-
-    spots = members.groupBy("doc_id").agg(F.collect_set("spot").alias("spots"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], ["token", "doc_id", "place", "open"])
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                d, x = batch.column("doc_id")[i].as_py(), batch.column("list")[i].values
+                place, df, token, is_open = (x.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                order = np.lexsort((token, df))
+                token, place, is_open = token[order], place[order].astype(np.int64), is_open[order]
+                low = int(place.min()) - slack
+                rank = np.full(int(place.max()) - low + slack + 1, -1)  # shingles of one document alone come first
+                rank[place - low] = np.arange(len(order))
+                count = _count(rank >= 0, t)
+                closed = np.zeros(len(rank), bool)
+                closed[place[~is_open] - low] = True
+                opened = _count(closed, t) == 0
+                heads, marks = [], []
+                good = np.flatnonzero(count >= need)
+                for at in np.array_split(good, max(1, len(good) // 4096)):
+                    near = rank[at[:, None] + np.arange(t)]
+                    head = np.partition(near, slack, axis=1)[:, : slack + 1] if len(at) else near
+                    heads.append(np.unique(head[head >= 0]))
+                    full = count[at] == t
+                    sign = tokens.mix((tokens.mix(token[near[full]].view(np.uint64)) * _PLACES[:t]).sum(axis=1, dtype=np.uint64))
+                    marks.append((sign.view(np.int64), at[full] + low, opened[at[full]]))
+                heads = np.unique(np.concatenate(heads))
+                sign, at, full = (np.concatenate(x) for x in zip(*marks, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat([False, True], [len(heads), len(sign)])), pa.array(np.concatenate([token[heads], sign])), pa.array(np.full(len(heads) + len(sign), d)),
+                        pa.array(np.concatenate([place[heads], at])), pa.array(np.concatenate([is_open[heads], full])),
+                    ],
+                    ["whole", "sign", "doc_id", "place", "open"],
+                )
+
+    held = members.groupBy("doc_id").agg(F.collect_list(F.struct("key", "spot")).alias("held"))
     known = star.groupBy("doc_id").agg(F.collect_list("start_word").alias("starts"), F.collect_list("end_word").alias("ends"))
-    held = texts.join(spots, "doc_id").join(known, "doc_id", "left").mapInArrow(mark, "token long, doc_id long, place int, open boolean").repartition("token")
+    places = stored(held.join(known, "doc_id", "left").select("doc_id", "held", "starts", "ends").mapInArrow(judge, "key long, doc_id long, first long, last long, open boolean"))
+    asked = places.where("open").select("key").distinct()
+    near = places.join(asked, "key", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("first", "last", "open")).alias("held"))
+    held = texts.join(near, "doc_id").select("doc_id", "text", "held").mapInArrow(mark, "token long, doc_id long, place int, open boolean").repartition("token")
     often = held.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("low"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("high")).where("low < high").select("token", "df")
-    lists = held.join(often, "token").groupBy("doc_id").agg(F.collect_list(F.struct("place", "df", "token", "open")).alias("list"))
-    lists = stored(lists.where(F.size("list") >= need))
-
-    def stretches(only_open: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    d, x = batch.column("doc_id")[i].as_py(), batch.column("list")[i].values
-                    place, df, token, is_open = (x.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-                    order = np.lexsort((token, df))
-                    low = int(place.min()) - slack
-                    rank = np.full(int(place.max()) - low + slack + 1, -1)  # shingles of one document alone come first
-                    rank[place[order] - low] = np.arange(len(order))
-                    token, place = token[order], place[order]
-                    count = _count(rank >= 0, t)
-                    closed = np.zeros(len(rank), bool)
-                    closed[place - low] = ~is_open[order]
-                    opened = _count(closed, t) == 0
-                    good = np.flatnonzero((count >= need) & (opened if only_open else True))
-                    for at in np.array_split(good, max(1, len(good) // 4096)):
-                        if not len(at):
-                            continue
-                        near = rank[at[:, None] + np.arange(t)]
-                        head = np.partition(near, slack, axis=1)[:, : slack + 1]
-                        row, col = np.nonzero(head >= 0)
-                        head = head[row, col]
-                        if only_open:
-                            yield pa.RecordBatch.from_arrays([pa.array(np.unique(token[head]))], ["token"])
-                            continue
-                        mark = (tokens.mix(token[near].view(np.uint64)) * _PLACES[:t]).sum(axis=1, dtype=np.uint64)
-                        mark = pa.array(tokens.mix(mark).view(np.int64)[row], mask=(count[at] < t)[row])
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(token[head]), pa.array(np.full(len(row), d)), pa.array(place[head].astype(np.int64)), pa.array(opened[at][row]), pa.array((at + low)[row].astype(np.int64)), mark],
-                            ["token", "doc_id", "place", "open", "at", "mark"],
-                        )
-
-        return run
-
-    asked = stored(lists.mapInArrow(stretches(True), "token long").distinct())
-    heads = stored(lists.mapInArrow(stretches(False), "token long, doc_id long, place long, open boolean, at long, mark long").join(asked, "token", "left_semi"))
-    equal = heads.where("mark is not null").groupBy("mark").agg(F.min(F.struct("doc_id", "at")).alias("least")).selectExpr("mark", "least.doc_id as source_id", "least.at as at2")
-    heads = heads.join(equal, "mark", "left")
-    copies = heads.where("open and source_id < doc_id").selectExpr("doc_id", "source_id", "at - at2 as shift", "at as lo", f"at + {t} as hi")
-    own = heads.where("source_id is null or source_id = doc_id").select("token", "doc_id", "place", "open").distinct()
-    other = own.selectExpr("token", "doc_id as source_id", "place as place2").distinct()
-    similar = own.where("open").join(other, "token").where("source_id < doc_id").selectExpr("doc_id", "source_id", "place - place2 as shift", f"place - {t} as lo", f"place + {t} as hi")
-    return copies.union(similar)
+    lists = held.join(often, "token").groupBy("doc_id").agg(F.collect_list(F.struct("place", "df", "token", "open")).alias("list")).where(F.size("list") >= need)
+    signs = stored(lists.mapInArrow(stretches, "whole boolean, sign long, doc_id long, place long, open boolean"))
+    least = signs.groupBy("whole", "sign").agg(F.min(F.struct("doc_id", "place")).alias("least"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("high")).where("least.doc_id < high")
+    least = least.selectExpr("whole", "sign", "least.doc_id as source_id", "least.place as place2")
+    return signs.where("open").join(least, ["whole", "sign"]).where("source_id < doc_id").selectExpr(
+        "doc_id", "source_id", "place - place2 as shift", f"if(whole, place, place - {t}) as lo", f"place + {t} as hi"
+    )
 
 
 def cut_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
