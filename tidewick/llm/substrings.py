@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .tables import settled, stored, table
+from .tables import Scratch, table
 
 SHINGLE = 5
 #: Words of a passage at least, hash functions, and similarity of passages in percent.
@@ -187,27 +187,27 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, hashes: int =
     """
     t = min_words - SHINGLE + 1
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    scratch = Scratch(docs.sparkSession)
     # read twice: computing the windows again costs less than keeping them
     found = windows(texts, min_words, hashes)
     shared = found.groupBy("key").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("most"), (F.count("*") > 2).alias("wide")).where("source_id < most").select("key", "source_id", "wide")
-    near = stored(found.join(shared, "key"))
+    near = scratch(found.join(shared, "key"))
     first = near.where("doc_id = source_id").groupBy("key").agg(F.min("spot").alias("spot2")).select("key", "spot2")
+    reach = (1 << _REACH) - 1
     pairs = near.where("doc_id > source_id").join(first, "key").selectExpr(
-        "doc_id", "source_id", "(spot >> 32) - (spot2 >> 32) as shift", f"(spot >> 32) - ((spot >> {_REACH}) & {(1 << _REACH) - 1}) as lo", f"(spot >> 32) + (spot & {(1 << _REACH) - 1}) as hi"
+        "doc_id", "source_id", "(spot >> 32) - (spot2 >> 32) as shift", f"(spot >> 32) - ((spot >> {_REACH}) & {reach}) as lo", f"(spot >> 32) + (spot & {reach}) as hi"
     )
-    spans = settled(_spans(pairs))
+    spans = scratch(_spans(pairs))
     ids = spans.select("doc_id").union(spans.select(F.col("source_id").alias("doc_id"))).distinct()
-    some = stored(texts.join(ids, "doc_id", "left_semi"))
-    star = settled(_verified(spans, some, t, percent))
-    more = settled(_spans(_unexplained(near.where("wide"), star, some, t, percent)))
-    if more.isEmpty():
-        return star
+    some = scratch(texts.join(ids.hint("merge"), "doc_id", "left_semi"))
+    star = scratch(_verified(spans, some, t, percent))
+    more = scratch(_spans(_unexplained(near.where("wide"), star, some, t, percent, scratch)))
     # a pair that is looked at again is verified at all its offsets at once
     before = spans.toDF("doc_id", "source_id", "lo1", "hi1", "shifts1")
     both = more.join(before, ["doc_id", "source_id"], "left").selectExpr(
         "doc_id", "source_id", "least(lo, lo1) as lo", "greatest(hi, hi1) as hi", "if(shifts1 is null, shifts, array_union(shifts, shifts1)) as shifts"
     )
-    return star.join(more.select("doc_id", "source_id"), ["doc_id", "source_id"], "left_anti").unionByName(_verified(both, some, t, percent))
+    return scratch.keep(star.join(more.select("doc_id", "source_id"), ["doc_id", "source_id"], "left_anti").unionByName(_verified(both, some, t, percent)))
 
 
 def _spans(pairs: DataFrame) -> DataFrame:
@@ -267,7 +267,7 @@ def _ranges(spots: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return (spots >> 2 * _REACH) & 15, c - np.minimum((spots >> _REACH) & most, t - 1), c - t + 1 + np.minimum(spots & most, t - 1)
 
 
-def _unexplained(members: DataFrame, star: DataFrame, texts: DataFrame, t: int, percent: int, agree: int = AGREE) -> DataFrame:
+def _unexplained(members: DataFrame, star: DataFrame, texts: DataFrame, t: int, percent: int, scratch: Scratch, agree: int = AGREE) -> DataFrame:
     """Rows doc_id, source_id, shift, lo, hi: places around `members` (key, doc_id, spot) to be verified besides those in `star`.
 
     An open stretch needs all but t - need of its shingles in another document, and so does the stretch there; sorted by
@@ -344,13 +344,13 @@ def _unexplained(members: DataFrame, star: DataFrame, texts: DataFrame, t: int,
 
     held = members.groupBy("doc_id").agg(F.collect_list(F.struct("key", "spot")).alias("held"))
     known = star.groupBy("doc_id").agg(F.collect_list("start_word").alias("starts"), F.collect_list("end_word").alias("ends"))
-    places = stored(held.join(known, "doc_id", "left").select("doc_id", "held", "starts", "ends").mapInArrow(judge, "key long, doc_id long, first long, last long, open boolean"))
+    places = scratch(held.join(known, "doc_id", "left").select("doc_id", "held", "starts", "ends").mapInArrow(judge, "key long, doc_id long, first long, last long, open boolean"))
     asked = places.where("open").select("key").distinct()
     near = places.join(asked, "key", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("first", "last", "open")).alias("held"))
     held = texts.join(near, "doc_id").select("doc_id", "text", "held").mapInArrow(mark, "token long, doc_id long, place int, open boolean").repartition("token")
     often = held.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("low"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("high")).where("low < high").select("token", "df")
     lists = held.join(often, "token").groupBy("doc_id").agg(F.collect_list(F.struct("place", "df", "token", "open")).alias("list")).where(F.size("list") >= need)
-    signs = stored(lists.mapInArrow(stretches, "whole boolean, sign long, doc_id long, place long, open boolean"))
+    signs = scratch(lists.mapInArrow(stretches, "whole boolean, sign long, doc_id long, place long, open boolean"))
     least = signs.groupBy("whole", "sign").agg(F.min(F.struct("doc_id", "place")).alias("least"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("high")).where("least.doc_id < high")
     least = least.selectExpr("whole", "sign", "least.doc_id as source_id", "least.place as place2")
     return signs.where("open").join(least, ["whole", "sign"]).where("source_id < doc_id").selectExpr(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,19 +13,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def releasing(spark: SparkSession) -> Iterator[None]:
+    """Within it, an action's shuffle files go when the action ends, as what it made is in reliable storage by then."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """`df` computed once and kept in reliable storage, in the folder the cluster names in spark.checkpoint.dir."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with releasing(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """`df` computed once and written as a compressed table in the shared folder; for wide results that are read often."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return written(df, f"{shared_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}")
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    with releasing(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables between the steps of one operator, in a folder of their own that goes when its result is kept."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return written(df, f"{self.path}/{uuid.uuid4().hex}")
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """`df` as a table of its own; all tables of this folder are deleted."""
+        out = stored(df)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder: spark.checkpoint.dir of the session; where it is unset (tests), one below the warehouse."""
     where = spark.conf.get("spark.checkpoint.dir", None)
