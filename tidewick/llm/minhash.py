@@ -123,7 +123,7 @@ def prefix_pairs(rest: DataFrame, docs: DataFrame, n: int, percent: int) -> Data
     held = texts.mapInArrow(spread, "token long, rep long, comp long, size int")
     # `cross`: sets of several components have the shingle; without that it makes no pair
     often = held.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("df > 1").selectExpr("token", "df", "c1 != c2 as cross")
-    sets = held.join(often, "token").groupBy("rep", "comp", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token", "cross"))).alias("list"))
+    sets = held.join(settled(often), "token").groupBy("rep", "comp", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token", "cross"))).alias("list"))
     sets = sets.withColumn("alone", F.col("size") - F.size("list"))
     head = F.expr(f"size - cast(ceil({percent} * size / 100) as int) + 1 - alone")
     heads = sets.withColumn("head", head).where("head > 0").select("rep", "comp", "size", "alone", F.posexplode(F.slice("list", 1, F.col("head"))).alias("at", "x"))
@@ -147,8 +147,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     # one class for each set; all rows of a class have the same keys, so any of them will do
     classes = settled(linked.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys")))
     buckets = classes.select("rep", F.explode("keys").alias("key"))
+    # a table of its own, so that Spark can split the task of a bucket that very many texts share
     many = buckets.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).where("members > 1").select("key", "centre")
-    members = settled(buckets.join(many, "key"))
+    members = settled(buckets.join(settled(many), "key"))
     # only texts that share a bucket are looked at again
     some = stored(docs.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"))
     star = members.where("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
@@ -156,7 +157,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     comp = components(found.where("linked"))
     placed = members.select("key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     split = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("key")
-    rest = settled(placed.join(split, "key").select("rep", "comp").distinct())
+    rest = settled(placed.join(settled(split), "key").select("rep", "comp").distinct())
     pairs = prefix_pairs(rest, some, n, percent).join(found.select("a", "b"), ["a", "b"], "left_anti")
     more = settled(confirmed(pairs, some, n, percent).where("linked"))
     if not more.isEmpty():
@@ -168,4 +169,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
+    """Components of all documents whose sets of four-word shingles share 80 percent; edge cases as in near_duplicates.
+
+    The pipeline's stage takes five words, which near-duplicate stages take unless a contract says otherwise.
+    """
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, percent=80)

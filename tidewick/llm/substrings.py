@@ -190,9 +190,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, hashes: int =
     scratch = Scratch(docs.sparkSession)
     # read twice: computing the windows again costs less than keeping them
     found = windows(texts, min_words, hashes)
+    # what a join adds to its rows is a table before: so Spark can split the task of a signature that very many texts have
     shared = found.groupBy("key").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("most"), (F.count("*") > 2).alias("wide")).where("source_id < most").select("key", "source_id", "wide")
-    near = scratch(found.join(shared, "key"))
-    first = near.where("doc_id = source_id").groupBy("key").agg(F.min("spot").alias("spot2")).select("key", "spot2")
+    near = scratch(found.join(scratch(shared), "key"))
+    first = scratch(near.where("doc_id = source_id").groupBy("key").agg(F.min("spot").alias("spot2")).select("key", "spot2"))
     reach = (1 << _REACH) - 1
     pairs = near.where("doc_id > source_id").join(first, "key").selectExpr(
         "doc_id", "source_id", "(spot >> 32) - (spot2 >> 32) as shift", f"(spot >> 32) - ((spot >> {_REACH}) & {reach}) as lo", f"(spot >> 32) + (spot & {reach}) as hi"
@@ -345,14 +346,14 @@ def _unexplained(members: DataFrame, star: DataFrame, texts: DataFrame, t: int,
     held = members.groupBy("doc_id").agg(F.collect_list(F.struct("key", "spot")).alias("held"))
     known = star.groupBy("doc_id").agg(F.collect_list("start_word").alias("starts"), F.collect_list("end_word").alias("ends"))
     places = scratch(held.join(known, "doc_id", "left").select("doc_id", "held", "starts", "ends").mapInArrow(judge, "key long, doc_id long, first long, last long, open boolean"))
-    asked = places.where("open").select("key").distinct()
+    asked = scratch(places.where("open").select("key").distinct())
     near = places.join(asked, "key", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("first", "last", "open")).alias("held"))
-    held = texts.join(near, "doc_id").select("doc_id", "text", "held").mapInArrow(mark, "token long, doc_id long, place int, open boolean").repartition("token")
+    held = scratch(texts.join(near, "doc_id").select("doc_id", "text", "held").mapInArrow(mark, "token long, doc_id long, place int, open boolean"))
     often = held.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("low"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("high")).where("low < high").select("token", "df")
-    lists = held.join(often, "token").groupBy("doc_id").agg(F.collect_list(F.struct("place", "df", "token", "open")).alias("list")).where(F.size("list") >= need)
+    lists = held.join(scratch(often), "token").groupBy("doc_id").agg(F.collect_list(F.struct("place", "df", "token", "open")).alias("list")).where(F.size("list") >= need)
     signs = scratch(lists.mapInArrow(stretches, "whole boolean, sign long, doc_id long, place long, open boolean"))
     least = signs.groupBy("whole", "sign").agg(F.min(F.struct("doc_id", "place")).alias("least"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("high")).where("least.doc_id < high")
-    least = least.selectExpr("whole", "sign", "least.doc_id as source_id", "least.place as place2")
+    least = scratch(least.selectExpr("whole", "sign", "least.doc_id as source_id", "least.place as place2"))
     return signs.where("open").join(least, ["whole", "sign"]).where("source_id < doc_id").selectExpr(
         "doc_id", "source_id", "place - place2 as shift", f"if(whole, place, place - {t}) as lo", f"place + {t} as hi"
     )
