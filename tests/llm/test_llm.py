@@ -116,10 +116,30 @@ def test_repeated_passages_and_cuts(spark, copies):
     assert substrings.repeated_passages(docs(spark, [])).collect() == []
 
 
-def test_seeds_meet_any_two_substitutions():
-    for a in range(13):
-        for b in range(a):
-            assert any(not {a, b} & {s + p for p in m} for m in decontamination.MASKS[1:] for s in range(13 - m[-1]))
+def test_seeds_meet_any_permitted_substitutions():
+    from itertools import combinations
+
+    for n in range(6, 31):
+        size = min(n, decontamination.WINDOW)
+        differ = size - -(-decontamination.PERCENT * size // 100)
+        masks = decontamination.SHORT_MASKS if n < decontamination.WINDOW else decontamination.MASKS[1:]
+        for out in combinations(range(size), differ):  # fewer substitutions leave more places
+            assert any(not set(out) & {s + p for p in m} for m in masks for s in range(size - m[-1])), (n, out)
+
+
+def test_short_and_repeated_items_are_found(spark):
+    rows, items = [], []
+    for n in range(6, 16):
+        item = prose(n, 3000 + n).split()
+        differ = min(n, 13) - -(-80 * min(n, 13) // 100)
+        changed = item.copy()
+        for k in range(differ):
+            changed[1 + 3 * k] = "other"
+        rows.append((n, prose(40, 3100 + n) + " " + " ".join(changed) + " " + prose(40, 3200 + n)))
+        items += [(n, " ".join(item)), (100 + n, " ".join(item))]
+    benchmark = spark.createDataFrame(items + [(None, items[0][1])], "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id) for r in decontamination.contaminated(docs(spark, rows + ODD), benchmark).collect()), key=str)
+    assert got == sorted([(n, i) for n in range(6, 16) for i in (n, 100 + n)] + [(6, None)], key=str)
 
 
 def test_contaminated(spark):
@@ -322,6 +342,19 @@ def test_machine_learns_a_pair():
     assert p[2] > 0.5 and p[0] < 0.5 and p[1] < 0.5 and p[3] < 0.5
 
 
+def test_machine_equals_the_sum_over_pairs():
+    r = np.random.default_rng(5)
+    m = toxicity.Machine(0.3, np.sort(r.choice(1 << toxicity.BUCKET_BITS, 40, replace=False)), r.normal(size=40), r.normal(size=(40, 8)) / 3)
+    texts = [r.choice(40, int(r.integers(0, 12)), replace=False) for _ in range(30)]
+    want = []
+    for t in texts:
+        margin = m.bias + sum(m.weights[i] for i in t) + sum(float(m.factors[i] @ m.factors[j]) for a, i in enumerate(t) for j in t[a + 1 :])
+        want.append(1 / (1 + np.exp(-margin)))
+    text = np.concatenate([np.full(2 * len(t), k) for k, t in enumerate(texts)])
+    bucket = np.concatenate([m.buckets[np.concatenate([t, t])] for t in texts])  # repeats count once
+    assert np.allclose(m.scores(text, bucket, 30), want)
+
+
 def test_words_split_like_a_regular_expression():
     texts = ["A b c\x0bD", None, "", "é\tx", " x ", "  y"]
     w = tokens.Words(pa.array(texts))

@@ -21,8 +21,10 @@ from . import tokens
 from .tables import table
 
 #: Places that must agree, fixed values. The last two together hit every stretch of 13 words of which two differ,
-#: whichever two; the first one serves items that are shorter than the others.
+#: whichever two; the first one adds hits.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 4, 6, 7), (0, 4, 7, 8, 9, 10))
+#: For items of 6 to 12 words: together they hit every one of which a fifth of the words differ, whichever they are.
+SHORT_MASKS = ((0, 1, 2, 3), (0, 1, 3, 4))
 #: Items shorter than this are no evidence. A stretch of at most WINDOW words must agree in PERCENT of its words.
 LEAST_WORDS, WINDOW, PERCENT = 6, 13, 80
 #: Words of items in a block of the broadcast side (about 48 bytes each).
@@ -30,21 +32,27 @@ BLOCK_WORDS = 1_000_000
 _FILTER_BITS = 20
 
 
-def _seeds(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted seed hashes of all items under all masks, and the word at which each begins."""
-    ends = np.repeat(bounds[1:], np.diff(bounds))
-    found, where = [], []
-    for mask in MASKS:
-        count = len(h) - mask[-1]
-        if count > 0:
-            at = np.flatnonzero(np.arange(count) + mask[-1] < ends[:count])
-            found.append(tokens.masked(h, mask, count)[at] ^ np.uint64(mask[-1]))
+def _seeds(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, ...]]]:
+    """Sorted seed hashes of all items under the masks of their length, the word at which each begins, and the masks."""
+    size = np.diff(bounds)
+    ends, short = np.repeat(bounds[1:], size), np.repeat(size < WINDOW, size)
+    used = np.repeat(size >= LEAST_WORDS, size)
+    found, where, masks = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
+    for mask in (*MASKS, *SHORT_MASKS):
+        count = max(0, len(h) - mask[-1])
+        at = np.flatnonzero(used[:count] & (short[:count] == (mask in SHORT_MASKS)) & (np.arange(count) + mask[-1] < ends[:count]))
+        if len(at):
+            masks.append(mask)
+            found.append(_under(h, mask)[at])
             where.append(at)
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     found, where = np.concatenate(found), np.concatenate(where)
     order = np.argsort(found, kind="stable")
-    return found[order], where[order]
+    return found[order], where[order], masks
+
+
+def _under(h: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
+    """The hashes of all places under a mask; masks don't mix."""
+    return tokens.masked(h, mask, max(0, len(h) - mask[-1])) ^ np.uint64(sum(1 << p for p in mask))
 
 
 def _best(x: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int, int]:
@@ -67,23 +75,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     document if some stretch of 13 of its words (all its words, if it has fewer) agrees with the document in 80 percent
     of its words, place by place, and a seed hits in the stretch or beside it. Items of fewer than 6 words and null texts
     match nothing. Of several places in one document the best one is returned, the first of equals. Repeated rows of a
-    document, or of an item, give repeated rows. Null ids are carried as they are. An empty table gives no rows.
+    document, or of an item, give repeated rows; equal items are looked for once. Null ids are carried as they are. An
+    empty table gives no rows.
     """
-    words = F.size(F.split(F.coalesce("text", F.lit("")), "[^0-9A-Za-z\u0080-\U0010ffff]+"))
-    items = benchmark.select("item_id", "text", words.cast("long").alias("n"))
+    words = F.size(F.split(F.col("text"), "[^0-9A-Za-z\u0080-\U0010ffff]+"))
+    named = benchmark.where("text is not null").select("item_id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("item"))
+    items = named.groupBy("item").agg(F.any_value("text").alias("text")).withColumn("n", words.cast("long"))
     size = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_WORDS))
-    parts = [items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k) for k in range(blocks)]
-    return reduce(DataFrame.unionByName, [_against(docs, part.select("item_id", "text")) for part in parts])
+    parts = [items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) for k in range(blocks)]
+    found = reduce(DataFrame.unionByName, [_against(docs, part.select("item", "text")) for part in parts])
+    return found.join(named.select("item", "item_id"), "item").select("doc_id", "item_id", "start_word", "n_equal", "n_window", "n_item_equal", "n_item_words")
 
 
 def _against(docs: DataFrame, items: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     block = items.toArrow().combine_chunks()  # one block: bounded by BLOCK_WORDS
-    ids = block.column("item_id").to_pylist()
+    ids = block.column("item").to_pylist()
     text = block.column("text").combine_chunks() if block.num_rows else pa.array([], pa.string())
     words = tokens.Words(text if isinstance(text, pa.Array) else text.chunk(0), tokens.PUNCTUATION)
-    seeds, where = _seeds(words.hashes, words.bounds)
+    seeds, where, masks = _seeds(words.hashes, words.bounds)
     coarse = np.zeros(1 << _FILTER_BITS, bool)
     coarse[(seeds >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
     side = spark.sparkContext.broadcast((seeds, where, words.hashes, words.bounds, ids, coarse))
@@ -96,11 +107,8 @@ def _against(docs: DataFrame, items: DataFrame) -> DataFrame:
             h, bounds = own.hashes, own.bounds
             tried: set[tuple[int, int, int]] = set()
             best: dict[tuple[int, int], tuple] = {}
-            for mask in MASKS:
-                count = len(h) - mask[-1]
-                if count <= 0 or not len(seeds):
-                    continue
-                mine = tokens.masked(h, mask, count) ^ np.uint64(mask[-1])
+            for mask in masks:
+                mine = _under(h, mask)
                 at = np.flatnonzero(coarse[(mine >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
                 low, high = np.searchsorted(seeds, mine[at], "left"), np.searchsorted(seeds, mine[at], "right")
                 hit = np.flatnonzero(high > low)
@@ -114,14 +122,15 @@ def _against(docs: DataFrame, items: DataFrame) -> DataFrame:
                         tried.add((d, i, shift))
                         item = item_words[item_bounds[i] : item_bounds[i + 1]]
                         equal, size, start, whole = _best(h[bounds[d] : bounds[d + 1]], item, shift)
-                        if len(item) >= LEAST_WORDS and 100 * equal >= PERCENT * size:
+                        if 100 * equal >= PERCENT * size:
                             best[d, i] = max(best.get((d, i), (0, 0, 0, 0, 0)), (whole, equal, -start, size, len(item)))
             rows = [(docs_ids[d], ids[i], -start, equal, size, whole, n) for (d, i), (whole, equal, start, size, n) in sorted(best.items())]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+                kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    names = ["doc_id", "item_id", "start_word", "n_equal", "n_window", "n_item_equal", "n_item_words"]
-    return docs.select("doc_id", "text").mapInArrow(scan, ", ".join(f"{c} long" for c in names))
+    names = ["doc_id", "item", "start_word", "n_equal", "n_window", "n_item_equal", "n_item_words"]
+    return docs.select("doc_id", "text").mapInArrow(scan, ", ".join(f"{c} {'string' if c == 'item' else 'long'}" for c in names))
 
 
 def clean_of(docs: DataFrame, found: DataFrame) -> DataFrame:
