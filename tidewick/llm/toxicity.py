@@ -3,8 +3,8 @@
 Terms are the words of a text and the beginnings of its longer words, hashed into a fixed number of buckets; a text has
 a term or not. The machine scores a text by a bias, a weight for each term and, for each pair of terms, the product of
 their factors, so an insult beside a mention of a group can weigh more than both alone. It is fitted on a bounded sample
-of labelled rows; which buckets it uses is decided by how their shares differ between the sample's classes. All texts
-are then scored in one scan: the model is a table of fixed size.
+of labelled rows; which buckets it uses is decided by how their shares differ between the sample's classes, counted in
+Spark. All texts are then scored in one scan: the model is a table of fixed size.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .tables import table
+from .tables import settled, table
 
 BUCKET_BITS = 20
 PREFIXES = (4, 5, 6, 7, 8)
@@ -113,7 +113,12 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
-    """A machine fitted to at most TOXIC_ROWS + CLEAN_ROWS labelled rows of `docs` that aren't held out."""
+    """A machine fitted to at most TOXIC_ROWS + CLEAN_ROWS labelled ids of `docs` that aren't held out.
+
+    Of an id's labels the largest counts; null labels and ids count for nothing; documents that repeat an id all count.
+    Without both classes, or in empty tables, the machine knows the bias alone. A term that is as frequent among toxic as
+    among other texts isn't taken, however telling a pair with it might be.
+    """
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marks = marks.where(~held_out(F.col("doc_id"))).withColumn("_order", F.xxhash64("doc_id", F.lit(1)))
     some = marks.where("toxic = 1").orderBy("_order", "doc_id").limit(TOXIC_ROWS).unionByName(marks.where("toxic = 0").orderBy("_order", "doc_id").limit(CLEAN_ROWS))
@@ -126,12 +131,25 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
             terms = pa.array((pairs & ((1 << BUCKET_BITS) - 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds), terms), part.column("toxic")], ["doc_id", "terms", "toxic"])
 
-    # the sample's size is bounded by its parameters
+    # the sample's size is bounded by its parameters; its terms are counted in Spark, so that only those stand out come here
     rows = docs.select("doc_id", "text").join(F.broadcast(some.select("doc_id", "toxic")), "doc_id").select("doc_id", "text", "toxic")
-    sample = rows.mapInArrow(featurize, "doc_id long, terms array<int>, toxic int").toArrow().sort_by("doc_id")
-    terms = sample.column("terms").combine_chunks()
-    terms = terms.chunk(0) if isinstance(terms, pa.ChunkedArray) and terms.num_chunks else terms
-    return fit([np.asarray(t.values) for t in terms] if len(terms) else [], sample.column("toxic").to_numpy())
+    sample = settled(rows.mapInArrow(featurize, "doc_id long, terms array<int>, toxic int"))
+    n, ones = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < ones < n:
+        return fit([np.zeros(0, np.int64)] * n, np.repeat([1, 0], [ones, n - ones]))
+    bad, share = F.col("bad"), F.col("every") / n
+    z = (bad / ones - (F.col("every") - bad) / (n - ones)) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / ones + 1 / (n - ones)))
+    counted = sample.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("every"), F.sum("toxic").alias("bad")).where(F.col("every") >= LEAST_TEXTS)
+    # a few more than the machine takes, so that it decides ties itself; FEATURES bounds them
+    telling = np.array([r["term"] for r in counted.withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z - 0.01).orderBy(F.desc("z"), "term").limit(FEATURES + 1_000).collect()], np.int32)
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = [t[np.isin(t, telling)] for t in (np.asarray(x.values) for x in batch.column("terms"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(terms, pa.list_(pa.int32())), batch.column("toxic")], ["doc_id", "terms", "toxic"])
+
+    few = sample.mapInArrow(narrow, "doc_id long, terms array<int>, toxic int").toArrow().sort_by("doc_id")
+    return fit([np.array(t, np.int64) for t in few.column("terms").to_pylist()], few.column("toxic").to_numpy())
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -147,6 +165,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
+    """Scores of all documents, one for each row, repeats included; nulls and empty texts as in train and score."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
