@@ -414,6 +414,58 @@ def test_thresholds_choose_beside_an_article():
     assert html_text.main_text(beside) == "\n".join(parts)
 
 
+def test_density_sums_against_recursion():
+    import math
+
+    def weighed(node):
+        texts = [len(" ".join(x.split())) for x in node.items if isinstance(x, str)]
+        inner = [x for x in node.items if isinstance(x, html_text.Node)]
+        below = [weighed(x) for x in inner]
+        chars, tags = sum(texts) + sum(b[0] for b in below), len(below) + sum(b[1] for b in below)
+        links = chars if node.tag == "a" else sum(b[2] for b in below)
+        link_tags = (node.tag == "a") + sum(b[3] for b in below)
+        return chars, tags, links, link_tags
+
+    def density(node, share):
+        chars, tags, links, link_tags = weighed(node)
+        if not chars:
+            return 0.0
+        base = math.log(chars / max(1, chars - links) * links + share * chars + math.e)
+        value = math.log(max(chars / max(1, links) * max(1, tags) / max(1, link_tags), 1.0))
+        return chars / max(1, tags) * value / (math.log(base) if base > 1 else 1)
+
+    page = f"<body><div><p>{prose(40, 430)}<a href=1>{prose(3, 431)}</a><div><p>{prose(50, 432)}<ul><li><a>x y</a><li>{prose(9, 433)}</ul></div></div><p>{prose(5, 434)}"
+    nodes = html_text._uncut(html_text.parse(page))
+    html_text._weigh(nodes)
+    chars, _, links, _ = weighed(nodes[0])
+    for node in nodes:
+        want = sum(density(x, links / max(1, chars)) for x in node.items if isinstance(x, html_text.Node))
+        assert abs(node.sum - want) < 1e-6 and abs(node.density - density(node, links / max(1, chars))) < 1e-6
+
+
+def test_density_chooses_without_article_or_marked_classes():
+    links = "".join(f"<li><a href={k}>{prose(3, 440 + k)}</a></li>" for k in range(30))
+    text = [prose(60, 470 + k) for k in range(3)]
+    page = f"<body><div><ul>{links}</ul></div><div><div>{''.join(f'<p>{t}</p>' for t in text)}</div></div><div><ul>{links}</ul></div>"
+    assert html_text.main_text(page) == "\n".join(text)
+
+
+def test_pages_in_linear_time(spark):
+    import time
+
+    def took(page):
+        began = time.process_time()
+        html_text.main_text(page)
+        return time.process_time() - began
+
+    for make in (lambda n: "<div>" * n + "text " * 20, lambda n: "<p>" + "word</b> " * n, lambda n: "<span>" * n + "<div>x</div>" * n, lambda n: "<b><div>" * n + "</b>x" * n):
+        assert took(make(40_000)) < 8 * took(make(10_000)) + 0.5
+    deep = "<div>" * 10_000 + f"<p>{prose(40, 480)}"
+    pages = spark.createDataFrame([(1, "u", deep)], "page_id long, url string, html string")
+    assert [r.text for r in html_text.extract(pages.selectExpr("*", "'x' as text", "1 as n_chars")).collect()] == [prose(40, 480)]
+    assert html_text.extract(pages.where("false")).collect() == []
+
+
 def test_oracles_are_sql_of_registered_queries():
     import __spark_entry__ as entry
 

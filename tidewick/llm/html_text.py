@@ -81,17 +81,29 @@ def _cut(tag: str, attributes: str, inside: bool) -> int:
 
 
 def parse(page: str) -> Node:
-    """The tree of a page, however broken: elements that are never closed end with what holds them."""
+    """The tree of a page, however broken: elements that are never closed end with what holds them.
+
+    How many elements of a tag are open is counted, so an end tag without a start takes constant time.
+    """
     root = node = Node("body", None, 0)
     at, size = 0, len(page)
-    articles = 0
+    opened: dict[str, int] = {}
+
+    def back(to: Node) -> Node:
+        """Closes elements until `to` is the current one."""
+        up = node
+        while up is not to:
+            opened[up.tag] -= 1
+            up = up.parent
+        return up
+
     while at < size:
         m = _TAG.search(page, at)
         if m is None:
             break
         if m.start() > at:
             if node.tag == "head" and not page[at : m.start()].isspace():
-                node = node.parent
+                node = back(node.parent)
             node.items.append(page[at : m.start()])
         at = m.end()
         tag = m[2]
@@ -103,44 +115,42 @@ def parse(page: str) -> Node:
                 continue
             # an inline end tag doesn't reach over a block
             up = node
-            while up is not root and up.tag != tag and (tag in _BLOCKS or up.tag not in _BLOCKS):
+            while opened.get(tag) and up is not root and up.tag != tag and (tag in _BLOCKS or up.tag not in _BLOCKS):
                 up = up.parent
             if up is not root and up.tag == tag:
-                while node is not up.parent:
-                    articles -= node.tag in ("article", "main")
-                    node = node.parent
+                node = back(up.parent)
             elif tag == "p":
                 node.items.append(None)
             continue
-        if tag == "body":
+        if tag == "body" and opened.get("head"):
             up = node
-            while up is not root and up.tag != "head":
+            while up.tag != "head":
                 up = up.parent
-            node = up.parent if up.tag == "head" else node
+            node = back(up.parent)
         if tag in ("html", "body"):
             continue
         if node.tag == "head" and tag not in _HEAD:
-            node = node.parent
+            node = back(node.parent)
         ends = _ENDS.get(tag)
         up = node
         if ends:
-            while up is not root and up.tag not in ends and up.tag not in _SCOPES[tag]:
+            while any(map(opened.get, ends)) and up is not root and up.tag not in ends and up.tag not in _SCOPES[tag]:
                 up = up.parent
             if up is not root and up.tag in ends:
-                node = up.parent
+                node = back(up.parent)
         elif tag in _BLOCKS:
-            while up is not root and up.tag != "p" and up.tag not in _BLOCKS:
+            while opened.get("p") and up is not root and up.tag != "p" and up.tag not in _BLOCKS:
                 up = up.parent
             if up is not root and up.tag == "p":
-                node = up.parent
-        new = Node(tag, node, _cut(tag, m[3], articles > 0))
+                node = back(up.parent)
+        new = Node(tag, node, _cut(tag, m[3], bool(opened.get("article") or opened.get("main"))))
         node.items.append(new)
         if tag in _RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             new.items.append(page[at : end.start() if end else size])
             at = end.end() if end else size
         elif tag not in _VOID and not m[3].endswith("/"):
-            articles += tag in ("article", "main")
+            opened[tag] = opened.get(tag, 0) + 1
             node = new
     if at < size:
         if node.tag == "head" and not page[at:].isspace():
@@ -219,52 +229,37 @@ def _weigh(nodes: list[Node]) -> None:
         node.parent.sum += node.density
 
 
-def _largest(top: Node) -> Node:
-    best, todo = top, [top]
-    for node in todo:
-        if node.sum > best.sum:
-            best = node
-        todo += [x for x in node.items if isinstance(x, Node)]
-    return best
-
-
-def _home(node: Node) -> Node:
-    """The nearest article around a node (or itself), else the outermost main element, else the node."""
-    home, up = node, node
-    while up is not None:
-        if up.tag == "article":
-            return up
-        if up.tag == "main":
-            home = up
-        up = up.parent
-    return home
-
-
 def select(nodes: list[Node]) -> list[Node]:
-    """The subtrees that make up the article, in page order."""
+    """The subtrees that make up the article, in page order; nodes: parents before children."""
     body = nodes[0]
     main = max(nodes, key=lambda n: n.sum)  # the first of equals
     threshold, up = main.density, main
     while up is not None:
         threshold, up = min(threshold, up.density), up.parent
-    marked: set[int] = {id(_home(main))}
-    todo = [body]
-    for node in todo:
-        if node.density >= threshold:
-            marked.add(id(_home(_largest(node))))
-        todo += [x for x in node.items if isinstance(x, Node)]
-    out = []
-
-    def gather(node: Node) -> None:
-        stack = [node]
-        while stack:
-            top = stack.pop()
-            if id(top) in marked:
-                out.append(top)
-            else:
-                stack += [x for x in reversed(top.items) if isinstance(x, Node)]
-
-    gather(body)
+    # for every node, from above: the nearest article around it (or itself), else the outermost main, else itself
+    articles: dict[int, Node | None] = {}
+    mains: dict[int, Node | None] = {}
+    for node in nodes:
+        above = id(node.parent)
+        articles[id(node)] = node if node.tag == "article" else articles.get(above)
+        mains[id(node)] = mains.get(above) or (node if node.tag == "main" else None)
+    # and from below: the largest density sum within it, the outermost and first of equals
+    largest = {}
+    for node in reversed(nodes):
+        best = node
+        for x in node.items:
+            if isinstance(x, Node) and largest[id(x)].sum > best.sum:
+                best = largest[id(x)]
+        largest[id(node)] = best
+    chosen = [main, *(largest[id(node)] for node in nodes if node.density >= threshold)]
+    marked = {id(articles[id(x)] or mains[id(x)] or x) for x in chosen}
+    out, stack = [], [body]
+    while stack:
+        top = stack.pop()
+        if id(top) in marked:
+            out.append(top)
+        else:
+            stack += [x for x in reversed(top.items) if isinstance(x, Node)]
     return out
 
 
@@ -325,4 +320,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
+    """The main text of every page, one row for each, repeats included; edge cases as in extract."""
     return extract(table(spark, sf_dir, "pages"))
