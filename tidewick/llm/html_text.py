@@ -1,9 +1,10 @@
 """HTML extraction by composite text density.
 
 For every node of a page's tree, the characters per tag of its subtree are weighed by how few of them are link text
-(composite text density). A node's density sum adds up its children's densities; the subtree with the largest sum is
-the article, and the smallest density on its way up to the body is the threshold from which other subtrees count too.
-Each subtree chosen is widened to the article or main element it stands in.
+(composite text density). A node's density sum adds up its children's densities, those of inline elements aside, as they
+are text of their block. The subtree with the largest sum is the article, and the smallest density on its way up to the
+body is the threshold from which other subtrees count too. Each subtree chosen is widened to the article or main element
+it stands in.
 Scripts, menus, forms, notices and the like are cut from the tree beforehand by element, role and class; what names only
 its wrapper (role, class, id, form) doesn't cut an element that holds an article or main element or, in pages without
 any, most of the plain text.
@@ -33,6 +34,7 @@ _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+_INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
 #: What a start tag ends, if it is open in the same list, table or block.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -226,7 +228,8 @@ def _weigh(nodes: list[Node]) -> None:
             value = max(node.chars / links * tags / max(1, node.link_tags), 1.0)
             node.density = node.chars / tags * math.log(value) / math.log(base) if base > 1 else node.chars / tags * math.log(value)
     for node in nodes[1:]:
-        node.parent.sum += node.density
+        if node.tag not in _INLINE:  # these are text of their block
+            node.parent.sum += node.density
 
 
 def select(nodes: list[Node]) -> list[Node]:
