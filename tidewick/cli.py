@@ -23,7 +23,7 @@ from .sources import bars as source
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="tidewick")
     verbs = top.add_subparsers(dest="verb", required=True)
-    for verb, needs in {"load": ["raw"], "preprocess": ["bars"], "features": ["bars"], "train": ["features"], "signals": ["bars", "model"], "backtest": ["bars", "signals"]}.items():
+    for verb, needs in {"load": ["raw"], "preprocess": ["bars"], "features": ["bars"], "train": ["features"], "evaluate": ["features", "model"], "predict": ["bars", "model"], "signals": ["bars", "model"], "backtest": ["bars", "signals"]}.items():
         p = verbs.add_parser(verb)
         for name in [*needs, "out"]:
             p.add_argument(f"--{name}", required=True)
@@ -52,7 +52,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif args.verb == "features":
         features.features(read(args.bars), cfg).write.mode("overwrite").parquet(args.out)
     elif args.verb == "train":
-        model.train(model.time_split(read(args.features), cfg).where("part = 'train'")).write().overwrite().save(args.out)
+        model.train_model(read(args.features), cfg).write().overwrite().save(args.out)
+    elif args.verb == "evaluate":
+        test = model.time_split(read(args.features), cfg).where("part = 'test'")
+        scored = model.predict(PipelineModel.load(args.model), test)
+        for name, found in {"metrics": model.evaluate(scored), "classes": model.class_report(scored), "confusion": model.confusion_matrix(scored), "patterns": model.pattern_accuracy(scored), "tiers": model.tier_accuracy(scored)}.items():
+            found.coalesce(1).write.mode("overwrite").json(f"{args.out}/{name}")
+    elif args.verb == "predict":
+        rows = features.scoring_rows(read(args.bars), cfg)
+        rows = rows.where(F.col("bar_date") == F.lit(args.date).cast("date")) if args.date else signals.latest_rows(rows)
+        model.named(model.predict(PipelineModel.load(args.model), rows)).write.mode("overwrite").json(args.out)
     elif args.verb == "signals":
         rows = features.scoring_rows(read(args.bars), cfg)
         found = signals.signals(model.predict(PipelineModel.load(args.model), rows), cfg)
@@ -65,7 +74,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     else:
         done = backtest.trades(read(args.signals), read(args.bars), cfg)
         done.write.mode("overwrite").parquet(args.out)
-        backtest.metrics(done, backtest.portfolio(done, cfg), cfg).show(truncate=False)
+        found = backtest.metrics(done, cfg)
+        found.coalesce(1).write.mode("overwrite").json(f"{args.out.rstrip('/')}_summary")  # one row
+        found.show(truncate=False)
 
 
 if __name__ == "__main__":

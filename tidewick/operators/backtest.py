@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,57 +62,78 @@ def trades(signals: DataFrame, bars: DataFrame, cfg: Config = DEFAULT) -> DataFr
     )
 
 
+_WALKED = "run {run}, seq int, signal_date date, symbol string, shares long, notional double, pnl double, portfolio_after double, net_return_pct double"
+
+
+def _walk(done: DataFrame, cfg: Config) -> DataFrame:
+    """The trades of each run in order of signal date and symbol, with the value after each, in time linear in them."""
+    runs = done if "run" in done.columns else done.withColumn("run", F.lit(0))
+
+    def fold(trades: pd.DataFrame) -> pd.DataFrame:
+        trades = trades.sort_values(["signal_date", "symbol", "entry_open", "stoploss", "net_return_pct"], kind="stable")
+        value, rows = cfg.capital, []
+        for entry, stop, pct in zip(trades["entry_open"].tolist(), trades["stoploss"].tolist(), trades["net_return_pct"].tolist(), strict=True):
+            risk, most = abs(entry - stop), cfg.max_notional * value
+            shares = max(1, math.floor(cfg.risk * value / risk)) if risk > 0 else 0
+            if shares * entry > most:
+                shares = max(1, math.floor(most / entry))
+            notional = shares * entry
+            pnl = notional * (pct / 100)
+            value += pnl
+            rows.append((shares, notional, pnl, value))
+        shares, notional, pnl, after = zip(*rows, strict=True)
+        return pd.DataFrame({
+            "run": trades["run"], "seq": range(1, len(rows) + 1), "signal_date": trades["signal_date"], "symbol": trades["symbol"],
+            "shares": shares, "notional": notional, "pnl": pnl, "portfolio_after": after, "net_return_pct": trades["net_return_pct"],
+        })
+
+    kind = dict(runs.dtypes)["run"]
+    return runs.select("run", "signal_date", "symbol", "entry_open", "stoploss", "net_return_pct").groupBy("run").applyInPandas(fold, _WALKED.format(run=kind))
+
+
 def portfolio(done: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """The value after each trade, in order of signal date and symbol, with shares and notional.
 
-    Each step depends on the value before it, so this is one fold. Only three numbers of each trade enter it; trades are
-    as many as the signals of a backtest, whatever the bars hold. Runs of different strategies fold side by side if there
-    is a `run` column.
+    Each step depends on the value before it, so a run is one fold in one task: its trades, six numbers each, are as many
+    as the signals of a backtest, whatever the bars hold. Runs of different strategies fold side by side if there is a
+    `run` column.
     """
-    runs = done if "run" in done.columns else done.withColumn("run", F.lit(0))
-    step = F.struct("signal_date", "symbol", F.col("entry_open").alias("e"), F.col("stoploss").alias("s"), (F.col("net_return_pct") / 100).alias("r"))
-    ordered = runs.groupBy("run").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    kind = "struct<value:double,path:array<struct<signal_date:date,symbol:string,shares:bigint,notional:double,pnl:double,value:double>>>"
-    start = F.struct(F.lit(cfg.capital).alias("value"), F.expr("cast(array() as array<struct<signal_date:date,symbol:string,shares:bigint,notional:double,pnl:double,value:double>>)").alias("path")).cast(kind)
-
-    def fold(state: Column, x: Column) -> Column:
-        risk = F.abs(x["e"] - x["s"])
-        shares = F.when(risk > 0, F.greatest(F.lit(1), F.floor(cfg.risk * state["value"] / F.nullif(risk, F.lit(0.0))))).otherwise(0).cast("long")
-        most = F.greatest(F.lit(1), F.floor(cfg.max_notional * state["value"] / x["e"])).cast("long")
-        held = F.when(shares * x["e"] > cfg.max_notional * state["value"], most).otherwise(shares)
-        notional = held * x["e"]
-        value = state["value"] + notional * x["r"]
-        row = F.struct(x["signal_date"].alias("signal_date"), x["symbol"].alias("symbol"), held.alias("shares"), notional.alias("notional"), (notional * x["r"]).alias("pnl"), value.alias("value"))
-        return F.struct(value.alias("value"), F.concat(state["path"], F.array(row)).alias("path")).cast(kind)
-
-    walked = ordered.select("run", F.aggregate("steps", start, fold, lambda s: s["path"]).alias("path"))
-    out = walked.select("run", F.posexplode("path").alias("seq", "x")).select("run", (F.col("seq") + 1).alias("seq"), "x.*").withColumnRenamed("value", "portfolio_after")
+    out = _walk(done, cfg).drop("net_return_pct")
     return out if "run" in done.columns else out.drop("run")
 
 
 def drawdown(curve: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """The curve with its peak so far (the capital at first) and the fall from it; trades of one backtest in order."""
-    peak = F.greatest(F.max("portfolio_after").over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)), F.lit(cfg.capital))
-    return curve.select("seq", "portfolio_after").withColumn("peak", peak).withColumn("drawdown", (F.col("portfolio_after") - F.col("peak")) / F.col("peak"))
+    """The curve with its peak so far (the capital at first) and the fall from it, for each run if there is a `run` column."""
+    runs = ["run"] if "run" in curve.columns else []
+    return _fallen(curve, runs, cfg).select(*runs, "seq", "portfolio_after", "peak", "drawdown")
+
+
+def _fallen(curve: DataFrame, runs: list[str], cfg: Config) -> DataFrame:
+    w = Window.partitionBy(*runs).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    peak = F.greatest(F.max("portfolio_after").over(w), F.lit(cfg.capital))
+    return curve.withColumn("peak", peak).withColumn("drawdown", (F.col("portfolio_after") - F.col("peak")) / F.col("peak"))
 
 
-def metrics(done: DataFrame, curve: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """One row of figures."""
+def metrics(done: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """One row of figures for each run (for all trades without a `run` column); none without trades.
+
+    Without losses the profit factor is infinite. Trades are read once.
+    """
+    runs = ["run"] if "run" in done.columns else []
+    curve = _fallen(_walk(done, cfg), ["run"], cfg)
     r = F.col("net_return_pct") / 100
-    n, won, lost = F.count("*"), F.sum(F.when(r > 0, r)), F.sum(F.when(r <= 0, r))
-    sums = done.agg(
-        n.alias("total_trades"), F.sum((r > 0).cast("int")).cast("long").alias("wins"), F.sum((r <= 0).cast("int")).cast("long").alias("losses"),
+    won, lost = F.coalesce(F.sum(F.when(r > 0, r)), F.lit(0.0)), F.abs(F.coalesce(F.sum(F.when(r <= 0, r)), F.lit(0.0)))
+    rows = curve.groupBy("run").agg(
+        F.count("*").alias("total_trades"), F.sum((r > 0).cast("int")).cast("long").alias("wins"), F.sum((r <= 0).cast("int")).cast("long").alias("losses"),
         F.coalesce(F.avg(F.when(r > 0, r)) * 100, F.lit(0.0)).alias("avg_win_pct"), F.coalesce(F.avg(F.when(r <= 0, r)) * 100, F.lit(0.0)).alias("avg_loss_pct"),
-        (F.coalesce(won, F.lit(0.0)) / F.nullif(F.abs(F.coalesce(lost, F.lit(0.0))), F.lit(0.0))).alias("profit_factor"), (F.avg(r) / (F.stddev_pop(r) + 1e-9) * F.sqrt(F.lit(252.0))).alias("sharpe_ratio"),
+        F.when(lost == 0, F.lit(float("inf"))).otherwise(won / F.nullif(lost, F.lit(0.0))).alias("profit_factor"), (F.avg(r) / (F.stddev_pop(r) + 1e-9) * F.sqrt(F.lit(252.0))).alias("sharpe_ratio"),
+        F.max_by("portfolio_after", "seq").alias("final_equity"), F.min("drawdown").alias("_dd"),
     )
-    last = curve.agg(F.max_by("portfolio_after", "seq").alias("final_equity"), F.count("*").alias("_n"))
-    low = drawdown(curve, cfg).agg(F.min("drawdown").alias("_dd"))
-    rows = sums.crossJoin(F.broadcast(last)).crossJoin(F.broadcast(low))  # one row each
     growth = F.col("final_equity") / cfg.capital
-    return rows.where("total_trades > 0").select(
-        "total_trades", "wins", "losses", F.round(F.col("wins") / F.col("total_trades") * 100, 2).alias("win_rate_pct"), F.round("avg_win_pct", 3).alias("avg_win_pct"), F.round("avg_loss_pct", 3).alias("avg_loss_pct"),
+    return rows.select(
+        *runs, "total_trades", "wins", "losses", F.round(F.col("wins") / F.col("total_trades") * 100, 2).alias("win_rate_pct"), F.round("avg_win_pct", 3).alias("avg_win_pct"), F.round("avg_loss_pct", 3).alias("avg_loss_pct"),
         F.round("profit_factor", 3).alias("profit_factor"), F.round(F.least(F.col("_dd"), F.lit(0.0)) * 100, 2).alias("max_drawdown_pct"), F.round("sharpe_ratio", 3).alias("sharpe_ratio"),
-        F.round((F.pow(growth, 1 / ((F.col("_n") + 1) / 252.0)) - 1) * 100, 2).alias("cagr_pct"), F.round("final_equity", 2).alias("final_equity"), F.round((growth - 1) * 100, 2).alias("total_return_pct"),
+        F.round((F.pow(growth, 1 / ((F.col("total_trades") + 1) / 252.0)) - 1) * 100, 2).alias("cagr_pct"), F.round("final_equity", 2).alias("final_equity"), F.round((growth - 1) * 100, 2).alias("total_return_pct"),
     )
 
 

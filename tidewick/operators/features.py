@@ -23,7 +23,10 @@ PATTERN = [f"pat_{n}" for n in patterns.NAMES] + [
 ]
 COLUMNS = PRICE + TREND + VOLATILITY + GAP + VOLUME + MOMENTUM + LEVELS + PATTERN
 #: Inputs that are 0 or 1 (or a small count) and are never scaled.
-BINARY = [c for c in COLUMNS if c.startswith(("pat_", "gap_up", "gap_down", "rsi_over", "volatility_", "higher_", "lower_lows", "volume_spike", "volume_trend", "breakout_"))]
+BINARY = [c for c in COLUMNS if c.startswith((
+    "pat_", "gap_up", "gap_down", "rsi_over", "volatility_", "higher_", "lower_lows", "volume_spike", "volume_trend", "breakout_",
+    "candle_direction", "pattern_direction_num", "pattern_candle_count", "macd_crossover",
+))]
 INTEGERS = set(BINARY) | {"candle_direction", "macd_crossover", "pattern_direction_num", "pattern_candle_count"} | set(PATTERN[19:28])
 
 

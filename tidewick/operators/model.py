@@ -38,6 +38,32 @@ def class_weights(rows: DataFrame, label: str = "target_label") -> DataFrame:
     return n.withColumn("weight", F.sum("n").over(every) / (F.count("*").over(every) * F.col("n")))
 
 
+def last_fold(rows: DataFrame, folds: int = 5) -> DataFrame:
+    """Adds `fold`: in order of date, the last of `folds` + 1 equal parts validates, all before fit; one day isn't split.
+
+    Dates are few, so they are ranked by their counts; one row for each.
+    """
+    days = rows.groupBy("bar_date").agg(F.count("*").alias("n"))
+    every = Window.partitionBy(F.lit(0))
+    upto = F.sum("n").over(every.orderBy("bar_date").rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("n").over(every)
+    marked = days.select("bar_date", F.when(upto > total - F.floor(total / (folds + 1)), "validate").otherwise("fit").alias("fold"))
+    return rows.join(marked, "bar_date")
+
+
+#: Rows without which nothing is trained, and without which nothing is tested.
+LEAST_TRAIN, LEAST_TEST = 100, 20
+
+
+def train_model(rows: DataFrame, cfg: Config = DEFAULT, **settings: int) -> PipelineModel:
+    """`train` on the part before the test months; raises ValueError if either part has too few rows."""
+    split = time_split(rows, cfg)
+    n = {r["part"]: r["n"] for r in split.groupBy("part").agg(F.count("*").alias("n")).collect()}  # two rows at most
+    if n.get("train", 0) < LEAST_TRAIN or n.get("test", 0) < LEAST_TEST:
+        raise ValueError(f"Insufficient data: train={n.get('train', 0)}, test={n.get('test', 0)}")
+    return train(split.where("part = 'train'"), **settings)
+
+
 def train(rows: DataFrame, trees: int = 20, depth: int = 6, seed: int = 42) -> PipelineModel:
     """A forest and a logistic regression over scaled inputs, weighted by class; labels -1, 0, 1 become 0, 1, 2."""
     weights = F.broadcast(class_weights(rows).select("target_label", "weight"))  # a row for each class
@@ -81,6 +107,26 @@ def importances(model: PipelineModel) -> list[tuple[str, float]]:
     return sorted(zip(names, model.stages[3].featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])
 
 
+def evaluate(scored: DataFrame) -> DataFrame:
+    """One row: n rows, accuracy, and the mean over classes of the area under the curve."""
+    right = scored.agg(F.count("*").alias("n"), F.avg((F.col("target_label") == F.col("prediction")).cast("double")).alias("accuracy"))
+    area = auc_ovr(scored).agg(F.avg("auc").alias("roc_auc_macro"))
+    return right.crossJoin(F.broadcast(area))  # one row each
+
+
+def named(scored: DataFrame) -> DataFrame:
+    """Rows symbol, bar_date, predicted_label, predicted_class, the probabilities and their largest, as a user reads them."""
+    label = F.when(F.col("prediction") < 0, "bearish").when(F.col("prediction") > 0, "bullish").otherwise("neutral")
+    probabilities = [F.round(c, 4).alias(name) for c, name in (("p_bear", "prob_bearish"), ("p_neutral", "prob_neutral"), ("p_bull", "prob_bullish"))]
+    return scored.select("symbol", "bar_date", F.col("prediction").alias("predicted_label"), label.alias("predicted_class"), *probabilities, F.round(F.greatest("p_bear", "p_neutral", "p_bull"), 4).alias("confidence"))
+
+
+def predict_single(scored: DataFrame, symbol: str, date: str) -> dict:
+    """The named prediction of one bar; a dict with `error` if there is none."""
+    found = named(scored.where((F.col("symbol") == symbol) & (F.col("bar_date") == F.lit(date).cast("date")))).first()
+    return found.asDict() if found else {"symbol": symbol, "date": date, "error": f"No data found for {symbol} on {date}"}
+
+
 def confusion_matrix(scored: DataFrame) -> DataFrame:
     return scored.groupBy("target_label", "prediction").agg(F.count("*").alias("n"))
 

@@ -82,7 +82,7 @@ def done_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 # bars and cleaning
 
 query("bars_daily", sql("b", f"SELECT {BAR_SQL} FROM b"))(bars)
-query("load_min_history", sql("b", f"SELECT {BAR_SQL} FROM b WHERE symbol IN (SELECT symbol FROM b GROUP BY symbol HAVING count(*) >= 400)"))(lambda s, d: source.with_history(bars(s, d)))
+query("load_min_history", sql("b", f"SELECT {BAR_SQL} FROM b WHERE symbol IN (SELECT symbol FROM b GROUP BY symbol HAVING count(*) >= 2450)"))(lambda s, d: source.with_history(bars(s, d), 2_450))
 query("load_summary", sql("b", "SELECT symbol, count(*) AS n_rows, min(bar_date) AS first_date, max(bar_date) AS last_date FROM b GROUP BY symbol"))(lambda s, d: source.summary(bars(s, d)))
 query("clean_adjust", sql("clean", f"SELECT {BAR_SQL}, {r('adj_close')} FROM aj"))(lambda s, d: clean.adjust(raw_bars(s, d)))
 query("calendar_spine", sql("clean", "SELECT symbol, bar_date FROM sn"))(lambda s, d: clean.spine(bars(s, d)))
@@ -95,7 +95,8 @@ _WILD = """WITH w AS (SELECT symbol, bar_date, close * 0.995::DOUBLE AS open, cl
 query("clip_outliers", _WILD + f"SELECT {BAR_SQL} FROM ({clipped('w')})")(lambda s, d: clean.clip_outliers(wild_bars(s, d)))
 _VALID = "WHERE NOT (coalesce(high < low, false) OR coalesce(close <= 0, false) OR coalesce(volume = 0, false) OR coalesce(abs(high - low) < 1e-4 * abs(close), false))"
 query("valid_candles", sql("b", f"SELECT {BAR_SQL} FROM b {_VALID}"))(lambda s, d: clean.valid_candles(bars(s, d)))
-query("enforce_types", sql("b", f"SELECT {BAR_SQL} FROM b"))(lambda s, d: clean.enforce_types(bars(s, d).withColumn("volume", F.col("volume").cast("string"))))
+query("enforce_types", sql("b", f"SELECT {BAR_SQL.replace('volume', 'CASE WHEN volume % 7 = 0 THEN 0 ELSE volume END AS volume')} FROM b WHERE volume % 11 <> 0"))(
+    lambda s, d: clean.enforce_types(bars(s, d).withColumns({"volume": F.when(F.col("volume") % 7 == 0, "n/a").otherwise(F.col("volume").cast("string")), "close": F.when(F.col("volume") % 11 == 0, "-").otherwise(F.col("close").cast("string"))})))
 query("preprocess", sql("clean", f"SELECT {BAR_SQL}, {r('adj_close')} FROM (SELECT *, close AS adj_close FROM ({clipped('gf')}) {_VALID} QUALIFY count(*) OVER (PARTITION BY symbol) >= 60)"))(lambda s, d: clean.preprocess(raw_bars(s, d)))
 query("quality_audit", sql("n", """SELECT symbol, count(*) AS n_rows, count(*) FILTER (open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR volume IS NULL) AS n_null,
   count(*) FILTER (open <= 0 OR high <= 0 OR low <= 0 OR close <= 0) AS n_not_positive, count(*) FILTER (date_diff('day', bar_date1, bar_date) > 5) AS n_gaps FROM n GROUP BY symbol"""))(lambda s, d: clean.quality_audit(bars(s, d)))
@@ -145,6 +146,11 @@ _SCALED = ["body_size", "atr_14", "rsi_14", "volume_ratio"]
 query("standardize", sql("scored", "SELECT symbol, bar_date, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 4) + 0.0 AS {c}" for c in _SCALED) + " FROM fr"))(lambda s, d: model.standardize(feature_rows(s, d).select(*KEY, *_SCALED), _SCALED))
 query("class_weights", sql("scored", "SELECT target_label, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 4) + 0.0 AS weight FROM fr GROUP BY target_label"))(lambda s, d: model.class_weights(feature_rows(s, d)))
 query("ensemble_argmax", sql("scored", f"SELECT symbol, bar_date, {r('p_bear', 'p_neutral', 'p_bull')}, prediction FROM sp"))(lambda s, d: scored(s, d).select(*KEY, "p_bear", "p_neutral", "p_bull", "prediction"))
+_RSI = "list_value((1 - rsi_14 / 100) / 2, 0.5, rsi_14 / 200)"
+_MEANS = ", ".join(f"(p_{c} + x[{k}]) / 2 AS m{k}" for k, c in enumerate(("bear", "neutral", "bull"), 1))
+query("ensemble_two", sql("scored", f"""SELECT symbol, bar_date, round(m1, 4) + 0.0 AS p_bear, round(m2, 4) + 0.0 AS p_neutral, round(m3, 4) + 0.0 AS p_bull, CASE WHEN m1 >= m2 AND m1 >= m3 THEN -1 WHEN m2 >= m3 THEN 0 ELSE 1 END AS prediction
+  FROM (SELECT *, {_MEANS} FROM (SELECT *, {_RSI} AS x FROM sp))"""))(lambda s, d: model.ensemble(
+    scored(s, d).withColumns({"_a": F.array("p_bear", "p_neutral", "p_bull"), "_b": F.array((1 - F.col("rsi_14") / 100) / 2, F.lit(0.5), F.col("rsi_14") / 200)}), "_a", "_b").select(*KEY, "p_bear", "p_neutral", "p_bull", "prediction"))
 query("confusion_matrix", sql("scored", "SELECT target_label, prediction, count(*) AS n FROM st GROUP BY ALL"))(lambda s, d: model.confusion_matrix(judged(s, d)))
 query("class_report", sql("scored", """SELECT label, round(p, 4) + 0.0 AS precision, round(q, 4) + 0.0 AS recall, round(CASE WHEN p + q = 0 THEN 0 ELSE 2 * p * q / (p + q) END, 4) + 0.0 AS f1, support, round(a, 4) + 0.0 AS accuracy FROM (
   SELECT label, coalesce(count(*) FILTER (target_label = label AND prediction = label) / nullif(count(*) FILTER (prediction = label), 0), 0)::DOUBLE AS p, coalesce(count(*) FILTER (target_label = label AND prediction = label) / nullif(count(*) FILTER (target_label = label), 0), 0)::DOUBLE AS q,
@@ -154,8 +160,17 @@ query("auc_ovr", sql("scored", """SELECT label, round((sum(rk) FILTER (hit) - co
     SELECT -1 AS label, round(p_bear, 9) AS score, target_label = -1 AS hit FROM st UNION ALL SELECT 0, round(p_neutral, 9), target_label = 0 FROM st UNION ALL SELECT 1, round(p_bull, 9), target_label = 1 FROM st)) GROUP BY label"""))(lambda s, d: model.auc_ovr(judged(s, d)))
 query("pattern_accuracy", sql("scored", "SELECT name AS pattern_name, count(*) AS n, round(avg(CAST(target_label = prediction AS INT)), 4) + 0.0 AS accuracy FROM st WHERE name IS NOT NULL GROUP BY name HAVING count(*) >= 5"))(lambda s, d: model.pattern_accuracy(judged(s, d)))
 query("tier_accuracy", sql("scored", "SELECT CASE WHEN greatest(p_bear, p_neutral, p_bull) >= 0.7 THEN 'HIGH' WHEN greatest(p_bear, p_neutral, p_bull) >= 0.55 THEN 'MEDIUM' ELSE 'LOW' END AS tier, CAST(pattern_strength > 0 AS INT) AS has_pattern, count(*) AS n, round(avg(CAST(target_label = prediction AS INT)), 4) + 0.0 AS accuracy FROM st GROUP BY 1, 2"))(lambda s, d: model.tier_accuracy(judged(s, d)))
-query("predict_point", sql("scored", f"SELECT symbol, bar_date, {r('p_bear', 'p_neutral', 'p_bull')}, prediction FROM sp WHERE symbol = 'AF' AND bar_date = (SELECT max(bar_date) FROM sp WHERE symbol = 'AF')"))(
-    lambda s, d: signals.latest_rows(scored(s, d).where("symbol = 'AF'")).select(*KEY, "p_bear", "p_neutral", "p_bull", "prediction"))
+query("predict_point", sql("scored", """SELECT symbol, bar_date, prediction AS predicted_label, CASE prediction WHEN -1 THEN 'bearish' WHEN 1 THEN 'bullish' ELSE 'neutral' END AS predicted_class, round(p_bear, 4) + 0.0 AS prob_bearish,
+  round(p_neutral, 4) + 0.0 AS prob_neutral, round(p_bull, 4) + 0.0 AS prob_bullish, round(greatest(p_bear, p_neutral, p_bull), 4) + 0.0 AS confidence FROM sp QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_date DESC) = 1"""))(
+    lambda s, d: model.named(signals.latest_rows(scored(s, d))))
+query("evaluate_model", sql("scored", """SELECT (SELECT count(*) FROM st) AS n, round((SELECT avg(CAST(target_label = prediction AS INT)) FROM st), 4) + 0.0 AS accuracy, round(avg(auc), 4) + 0.0 AS roc_auc_macro FROM (
+  SELECT label, (sum(rk) FILTER (hit) - count(*) FILTER (hit) * (count(*) FILTER (hit) + 1) / 2) / (count(*) FILTER (hit) * count(*) FILTER (NOT hit)) AS auc FROM (
+  SELECT label, hit, rank() OVER (PARTITION BY label ORDER BY score) + (count(*) OVER (PARTITION BY label, score) - 1) / 2 AS rk FROM (
+    SELECT -1 AS label, round(p_bear, 9) AS score, target_label = -1 AS hit FROM st UNION ALL SELECT 0, round(p_neutral, 9), target_label = 0 FROM st UNION ALL SELECT 1, round(p_bull, 9), target_label = 1 FROM st)) GROUP BY label)"""))(lambda s, d: model.evaluate(judged(s, d)))
+_FOLD = "SELECT *, sum(n) OVER (ORDER BY bar_date) > sum(n) OVER () - sum(n) OVER () // 6 AS late FROM (SELECT bar_date, count(*) AS n FROM fr GROUP BY bar_date)"
+query("last_fold", sql("scored", f"SELECT symbol, bar_date, CASE WHEN late THEN 'validate' ELSE 'fit' END AS fold FROM fr JOIN ({_FOLD}) USING (bar_date)"))(lambda s, d: model.last_fold(feature_rows(s, d)).select(*KEY, "fold"))
+query("signals_from_output", sql("sig", f"SELECT symbol, bar_date, {r('p_bear', 'p_neutral', 'p_bull')} FROM si"))(
+    lambda s, d: signals.with_probabilities(features.scoring_rows(bars(s, d)), scored(s, d)).select(*KEY, "p_bear", "p_neutral", "p_bull"))
 
 
 @query("model_predict")
@@ -204,7 +219,7 @@ query("drawdown", sql("curve", f"SELECT CAST(seq AS INT) AS seq, {r('portfolio_a
   round(((SELECT max_by(value, seq) FROM cu) / 1000000 - 1) * 100, 2) + 0.0 AS total_return_pct FROM (SELECT net_return_pct / 100 AS x FROM tr)"""))
 def bt_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = done_trades(spark, sf_dir)
-    return backtest.metrics(done, backtest.portfolio(done))
+    return backtest.metrics(done)
 
 
 for _name, _by, _least in (("pattern_winrates", "pattern_detected", 2), ("confidence_winrates", "confidence_score", 1)):
