@@ -207,4 +207,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, name: str =
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences; nulls, empty texts, repeats and empty tables as in pack."""
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))

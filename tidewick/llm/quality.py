@@ -127,6 +127,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
+    """Figures and verdicts of all documents, one row for each, repeats included; edge cases as in quality."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality(docs, trusted_ids(table(spark, sf_dir, "labels")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
