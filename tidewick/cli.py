@@ -69,11 +69,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             found = found.where(F.col("bar_date") == F.lit(args.date).cast("date"))
         report = signals.daily_report(found, args.top_n)
         found.write.mode("overwrite").parquet(f"{args.out}/signals")
-        report.write.mode("overwrite").option("header", True).csv(f"{args.out}/report")
+        source.write_report(report, f"{args.out}/report")
         signals.report_text(report).orderBy("bar_date", "rank").select("line").write.mode("overwrite").text(f"{args.out}/text")
     else:
         done = backtest.trades(read(args.signals), read(args.bars), cfg)
         done.write.mode("overwrite").parquet(args.out)
+        source.write_report(done, f"{args.out.rstrip('/')}_csv")
         found = backtest.metrics(done, cfg)
         found.coalesce(1).write.mode("overwrite").json(f"{args.out.rstrip('/')}_summary")  # one row
         found.show(truncate=False)

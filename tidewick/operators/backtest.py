@@ -29,6 +29,13 @@ def circuits(bars: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return bars.withColumn("circuit", F.coalesce(far >= cfg.circuit, F.lit(False)))
 
 
+def with_defaults(signals: DataFrame) -> DataFrame:
+    """Signals with every column that a trade needs: a stop two percent below the entry, low confidence and no pattern where missing."""
+    entry = F.col("entry_price") if "entry_price" in signals.columns else F.lit(0.0)
+    other = {"stoploss": entry * 0.98, "confidence_score": F.lit("LOW"), "confidence_value": F.lit(0.0), "pattern_detected": F.lit("none"), "pattern_strength": F.lit(0.0)}
+    return signals.withColumns({c: v for c, v in other.items() if c not in signals.columns})
+
+
 def trades(signals: DataFrame, bars: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """One row for each BUY or SELL signal that can be entered at the next trading day's open.
 
@@ -38,7 +45,7 @@ def trades(signals: DataFrame, bars: DataFrame, cfg: Config = DEFAULT) -> DataFr
     days = circuits(bars, cfg).where(is_trading_day(F.col("bar_date")))
     after = F.collect_list(F.struct("bar_date", "high", "low", "close")).over(by_symbol().rowsBetween(1, cfg.hold_days))
     entries = days.withColumn("_next", after).where(~F.col("circuit")).select("symbol", F.col("bar_date").alias("next_day"), F.col("open").alias("_entry"), "_next")
-    asked = next_trading_days(signals.where(F.col("signal").isin("BUY", "SELL")))
+    asked = next_trading_days(with_defaults(signals).where(F.col("signal").isin("BUY", "SELL")))
     rows = asked.join(entries, ["symbol", "next_day"]).withColumn("_way", F.when(F.col("signal") == "BUY", 1.0).otherwise(-1.0))
     rows = rows.withColumn("_target", F.col("_entry") + 2 * F.abs(F.col("_entry") - F.col("stoploss")) * F.col("_way")).where((F.col("_entry") > 0) & (F.abs(F.col("_entry") - F.col("stoploss")) >= 0.01))
     buy = F.col("signal") == "BUY"
@@ -108,6 +115,15 @@ def drawdown(curve: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return _fallen(curve, runs, cfg).select(*runs, "seq", "portfolio_after", "peak", "drawdown")
 
 
+def equity_points(curve: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """What a plot of the curve shows: the value after each trade, from the capital at trade 0, and whether it is above that."""
+    runs = ["run"] if "run" in curve.columns else []
+    start = F.struct(F.lit(0).alias("seq"), F.lit(None).cast("date").alias("signal_date"), F.lit(cfg.capital).cast("double").alias("portfolio_after"))
+    point = F.struct("seq", "signal_date", "portfolio_after")
+    points = curve.select(*runs, F.inline(F.when(F.col("seq") == 1, F.array(start, point)).otherwise(F.array(point))))
+    return points.withColumn("above", F.col("portfolio_after") >= cfg.capital)
+
+
 def _fallen(curve: DataFrame, runs: list[str], cfg: Config) -> DataFrame:
     w = Window.partitionBy(*runs).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     peak = F.greatest(F.max("portfolio_after").over(w), F.lit(cfg.capital))

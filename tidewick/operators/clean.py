@@ -108,3 +108,12 @@ def quality_audit(bars: DataFrame) -> DataFrame:
     nulls = F.col("open").isNull() | F.col("high").isNull() | F.col("low").isNull() | F.col("close").isNull() | F.col("volume").isNull()
     low = (F.col("open") <= 0) | (F.col("high") <= 0) | (F.col("low") <= 0) | (F.col("close") <= 0)
     return gaps.groupBy("symbol").agg(F.count("*").alias("n_rows"), count(nulls).alias("n_null"), count(low).alias("n_not_positive"), count(F.col("_gap") > 5).alias("n_gaps"))
+
+
+def clean_counts(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
+    """Rows of each symbol before and after cleaning, and prices that are infinite afterwards; a symbol may lose all rows."""
+    endless = lambda c: F.abs(c) == float("inf")
+    infinite = F.sum(sum((F.coalesce(endless(F.col(c)), F.lit(False)).cast("int") for c in PRICES), F.lit(0))).cast("long")
+    after = cleaned.groupBy("symbol").agg(F.count("*").alias("n_clean"), infinite.alias("n_infinite"))
+    joined = raw.groupBy("symbol").agg(F.count("*").alias("n_raw")).join(after, "symbol", "left")
+    return joined.na.fill(0, ["n_clean", "n_infinite"])

@@ -102,9 +102,10 @@ def momentum_scorer(rows: DataFrame) -> DataFrame:
     return ensemble(out, "_p", "_p").drop("_p")
 
 
-def importances(model: PipelineModel) -> list[tuple[str, float]]:
+def importances(model: PipelineModel, top_n: int | None = None) -> list[tuple[str, float]]:
+    """Features and their weights in the forest, the `top_n` largest or all."""
     names = [c for c in COLUMNS if c not in BINARY] + BINARY
-    return sorted(zip(names, model.stages[3].featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])
+    return sorted(zip(names, model.stages[3].featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])[:top_n]
 
 
 def evaluate(scored: DataFrame) -> DataFrame:
@@ -146,6 +147,22 @@ def class_report(scored: DataFrame) -> DataFrame:
     return out.select("label", "precision", "recall", f1.alias("f1"), "support", (F.col("right") / F.col("n")).alias("accuracy"))
 
 
+def report_averages(report: DataFrame) -> DataFrame:
+    """The macro and the weighted mean of a class report's rows."""
+    total = F.sum("support")
+    means = []
+    for name, mean in (("macro", F.avg), ("weighted", lambda c: F.sum(F.col(c) * F.col("support")) / F.nullif(total, F.lit(0)))):
+        means.append(F.struct(F.lit(name).alias("average"), *[mean(c).alias(c) for c in ("precision", "recall", "f1")], total.alias("support")))
+    return report.agg(F.array(*means).alias("_m")).select(F.inline("_m"))
+
+
+def confusion_grid(scored: DataFrame) -> DataFrame:
+    """All pairs of classes with their counts, those that don't occur too, and the share of the true class's rows."""
+    cell = lambda y, p: F.struct(F.lit(y).alias("target_label"), F.lit(p).alias("prediction"), F.sum(((F.col("target_label") == y) & (F.col("prediction") == p)).cast("int")).cast("long").alias("n"))
+    grid = scored.agg(F.array(*[cell(y, p) for y in CLASSES for p in CLASSES]).alias("_g")).select(F.inline("_g")).na.fill(0, ["n"])
+    return grid.withColumn("share", F.col("n") / F.nullif(F.sum("n").over(Window.partitionBy("target_label")), F.lit(0)))
+
+
 def auc_ovr(scored: DataFrame) -> DataFrame:
     """One class against the rest: rank statistics with mean ranks for ties, from counts of each distinct score.
 

@@ -107,9 +107,25 @@ def rejection(rows: DataFrame) -> DataFrame:
     return out.withColumn("reject_signal", F.col("reject_reason") != "")
 
 
+def direction(rows: DataFrame) -> DataFrame:
+    """Rows whose `pattern_direction` is never null: without a name, or if that is neutral, `pattern_direction_num` decides."""
+    name = F.coalesce(F.nullif("pattern_direction", F.lit("")), F.lit("neutral"))
+    sign = given("pattern_direction_num", 0) if "pattern_direction_num" in rows.columns else F.lit(0)
+    by_sign = F.when(sign == 1, "bullish").when(sign == -1, "bearish").otherwise("neutral")
+    return rows.withColumn("pattern_direction", F.when(name == "neutral", by_sign).otherwise(name))
+
+
+def with_last_bar(rows: DataFrame, bars: DataFrame) -> DataFrame:
+    """Rows with the prices and volume of the newest bar of their symbol; without such a bar they keep their own."""
+    cols = ["open", "high", "low", "close", "volume"]
+    newest = bars.groupBy("symbol").agg(F.max_by(F.struct(*cols), "bar_date").alias("_bar"))
+    joined = rows.join(newest, "symbol", "left")
+    return joined.withColumns({c: F.when(F.col("_bar").isNull(), F.col(c)).otherwise(F.col(f"_bar.{c}")) for c in cols if c in rows.columns}).select(*rows.columns)
+
+
 def signals(scored: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """One signal for each scored row."""
-    out = scored.transform(normalized).transform(context).transform(quality_flags).transform(derived_probabilities).transform(confidence).transform(classify)
+    out = scored.transform(direction).transform(normalized).transform(context).transform(quality_flags).transform(derived_probabilities).transform(confidence).transform(classify)
     return out.transform(stoploss, cfg).transform(rejection).withColumn("pattern_detected", F.coalesce("pattern_name", F.lit("none")))
 
 
@@ -149,6 +165,6 @@ def eod_summary(found: DataFrame, top_n: int = DEFAULT.top_n) -> DataFrame:
     )
 
 
-def latest_rows(rows: DataFrame) -> DataFrame:
-    """The newest row of each symbol."""
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("bar_date")))).where("_r = 1").drop("_r")
+def latest_rows(rows: DataFrame, n: int = 1) -> DataFrame:
+    """The newest `n` rows of each symbol."""
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("bar_date")))).where(F.col("_r") <= n).drop("_r")

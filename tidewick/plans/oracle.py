@@ -185,6 +185,13 @@ def sql(level: str, body: str) -> str:
     return "WITH RECURSIVE " + ",".join(BASE + STEPS[level]) + "\n" + body
 
 
+
+def recent(n: int, body: str) -> str:
+    """As `sql` at level `pat`, over the newest `n` bars of each symbol alone."""
+    few = f"b AS (SELECT * FROM b_all QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_date DESC) <= {n})"
+    return "WITH RECURSIVE " + ",".join([TICKS.replace("b AS (", "b_all AS ("), "\n" + few, *STEPS["pat"]]) + "\n" + body
+
+
 def r(*names: str) -> str:
     """Columns rounded as the queries round them."""
     return ", ".join(f"round({n}, 4) + 0.0 AS {n}" for n in names)

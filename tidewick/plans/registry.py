@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import backtest, clean, features, indicators, model, patterns, signals
 from ..sources import bars as source
 from ..streaming import bars as live
-from .oracle import clipped, r, sql
+from .oracle import clipped, r, recent, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -229,3 +229,32 @@ query("cum_return", sql("n", "SELECT symbol, bar_date, round(exp(sum(ln(1 + (clo
 query("prob_hist", sql("scored", "SELECT CAST(least(floor(p_bull * 50), 49) AS INT) AS bin, count(*) AS n FROM sp GROUP BY 1"))(lambda s, d: backtest.histogram(scored(s, d), "p_bull"))
 query("hourly_event_bars", """SELECT event_type AS symbol, date_trunc('hour', ts) AS bar_time, round(min(value), 4) + 0.0 AS low, round(max(value), 4) + 0.0 AS high, round(arg_min(value, (ts, event_id)), 4) + 0.0 AS open, round(arg_max(value, (ts, event_id)), 4) + 0.0 AS close, count(*) AS volume FROM events GROUP BY 1, 2""")(
     lambda s, d: live.hourly_bars(s.read.parquet(f"{d}/events.parquet")))
+
+# what joins, falls back or counts beside the main path
+
+query("load_pending", sql("b", "SELECT symbol FROM b GROUP BY symbol HAVING count(*) < 2450"))(lambda s, d: source.pending(bars(s, d), source.with_history(bars(s, d), 2_450)))
+query("load_status", sql("b", "SELECT CASE WHEN n >= 2450 THEN 'ok' ELSE 'failed' END AS status, count(*) AS n FROM (SELECT symbol, count(*) AS n FROM b GROUP BY symbol) GROUP BY 1"))(lambda s, d: source.load_status(bars(s, d), source.with_history(bars(s, d), 2_450)))
+query("ordered_symbols", "SELECT symbol, CAST(row_number() OVER (ORDER BY first_at, symbol) AS INT) AS place FROM (SELECT l_returnflag || l_linestatus AS symbol, min((l_orderkey, l_linenumber)) AS first_at FROM lineitem GROUP BY 1)")(
+    lambda s, d: source.ordered_distinct(s.read.parquet(f"{d}/lineitem.parquet").select(F.concat("l_returnflag", "l_linestatus").alias("symbol"), "l_orderkey", "l_linenumber"), "symbol", "l_orderkey", "l_linenumber"))
+query("clean_counts", sql("clean", f"""SELECT symbol, n_raw, coalesce(n_clean, 0) AS n_clean, coalesce(n_infinite, 0) AS n_infinite FROM (SELECT symbol, count(*) AS n_raw FROM rb GROUP BY symbol) LEFT JOIN (
+  SELECT symbol, count(*) AS n_clean, count(*) FILTER (isinf(open)) + count(*) FILTER (isinf(high)) + count(*) FILTER (isinf(low)) + count(*) FILTER (isinf(close)) AS n_infinite FROM (
+    SELECT * FROM ({clipped('gf')}) {_VALID} QUALIFY count(*) OVER (PARTITION BY symbol) >= 60) GROUP BY symbol) USING (symbol)"""))(lambda s, d: clean.clean_counts(raw_bars(s, d), clean.preprocess(raw_bars(s, d))))
+query("recent_patterns", recent(5, "SELECT symbol, name AS pattern_name, bar_date AS pattern_end, ptrend AS prior_trend FROM p WHERE name IS NOT NULL"))(
+    lambda s, d: patterns.events(patterns.tag(signals.latest_rows(bars(s, d), 5))).select("symbol", "pattern_name", "pattern_end", "prior_trend"))
+query("small_features", sql("scored", "SELECT symbol, bar_date, " + ", ".join(f"round({c} * 10000, 4) + 0.0 AS {c}_e4" for c in ("gap_pct", "atr_ratio", "forward_return_5d", "ema20_slope")) + " FROM fr"))(
+    lambda s, d: feature_rows(s, d).select(*KEY, *[(F.col(c) * 10_000).alias(f"{c}_e4") for c in ("gap_pct", "atr_ratio", "forward_return_5d", "ema20_slope")]))
+query("class_averages", sql("scored", """, cl AS (SELECT label, count(*) FILTER (target_label = label AND prediction = label) AS hits, count(*) FILTER (prediction = label) AS said, count(*) FILTER (target_label = label) AS support
+  FROM st, (SELECT unnest([-1, 0, 1]) AS label) GROUP BY label),
+cf AS (SELECT coalesce(hits / nullif(said, 0), 0) AS p, coalesce(hits / nullif(support, 0), 0) AS q, coalesce(2 * hits / nullif(said + support, 0), 0) AS f, support FROM cl)
+SELECT 'macro' AS average, round(avg(p), 4) + 0.0 AS precision, round(avg(q), 4) + 0.0 AS recall, round(avg(f), 4) + 0.0 AS f1, CAST(sum(support) AS BIGINT) AS support FROM cf
+UNION ALL SELECT 'weighted', round(sum(p * support) / sum(support), 4) + 0.0, round(sum(q * support) / sum(support), 4) + 0.0, round(sum(f * support) / sum(support), 4) + 0.0, CAST(sum(support) AS BIGINT) FROM cf"""))(lambda s, d: model.report_averages(model.class_report(judged(s, d))))
+query("confusion_grid", sql("scored", """SELECT y AS target_label, p AS prediction, n, round(n / nullif(sum(n) OVER (PARTITION BY y), 0), 4) + 0.0 AS share FROM (
+  SELECT y, p, count(*) FILTER (target_label = y AND prediction = p) AS n FROM (SELECT unnest([-1, 0, 1]) AS y), (SELECT unnest([-1, 0, 1]) AS p), st GROUP BY y, p)"""))(lambda s, d: model.confusion_grid(judged(s, d)))
+query("signal_direction", sql("sig", "SELECT symbol, bar_date, coalesce(direction, 'neutral') AS pattern_direction FROM si"))(
+    lambda s, d: signals.direction(scored(s, d).withColumn("pattern_direction", F.when(F.col("volume") % 2 == 0, F.col("pattern_direction")).when(F.col("volume") % 3 == 0, "neutral"))).select(*KEY, "pattern_direction"))
+query("features_last_bar", sql("scored", f"""SELECT f.symbol, f.bar_date, round(f.rsi_14, 4) + 0.0 AS rsi_14, {', '.join(f'round(n.{c}, 4) + 0.0 AS {c}' for c in ('open', 'high', 'low', 'close'))}, n.volume
+  FROM (SELECT * FROM fr QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_date DESC) = 1) f JOIN (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_date DESC) = 1) n ON n.symbol = f.symbol"""))(
+    lambda s, d: signals.with_last_bar(signals.latest_rows(feature_rows(s, d)), bars(s, d)).select(*KEY, "rsi_14", *BAR[2:]))
+query("signal_defaults", sql("sig", "SELECT symbol, bar_date, signal, round(entry_price * 0.98::DOUBLE, 4) + 0.0 AS stoploss, 'LOW' AS confidence_score, 0.0::DOUBLE AS confidence_value, 'none' AS pattern_detected, 0.0::DOUBLE AS pattern_strength FROM si"))(
+    lambda s, d: backtest.with_defaults(found_signals(s, d).select(*KEY, "signal", "entry_price")).drop("entry_price"))
+query("equity_points", sql("curve", "SELECT CAST(seq AS INT) AS seq, signal_date, round(value, 4) + 0.0 AS portfolio_after, value >= 1000000 AS above FROM cv"))(lambda s, d: backtest.equity_points(backtest.portfolio(done_trades(s, d))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
@@ -62,3 +62,32 @@ def write_bars(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
 def read_signals(spark: SparkSession, folder: str) -> DataFrame:
     """All reports of a folder, with their dates."""
     return spark.read.option("header", True).option("inferSchema", True).csv(f"{folder}/*_signals.csv")
+
+
+def ordered_distinct(rows: DataFrame, column: str, *order: str) -> DataFrame:
+    """Each value once, with its place by first occurrence in `order`. One row per value is ranked, whatever the rows."""
+    firsts = rows.groupBy(column).agg(F.min(F.struct(*order)).alias("_first"))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_first", column))
+    return firsts.select(column, place.alias("place"))
+
+
+def pending(asked: DataFrame, have: DataFrame) -> DataFrame:
+    """Symbols of `asked` without any bar in `have`: what a load that was cut off has yet to read."""
+    return asked.select("symbol").distinct().join(have.select("symbol"), "symbol", "left_anti")
+
+
+def load_status(asked: DataFrame, have: DataFrame) -> DataFrame:
+    """How many of the symbols asked for have bars (`ok`) and how many have none (`failed`)."""
+    got = have.select("symbol").distinct().withColumn("_got", F.lit(True))
+    status = F.when(F.col("_got"), "ok").otherwise("failed").alias("status")
+    return asked.select("symbol").distinct().join(got, "symbol", "left").groupBy(status).agg(F.count("*").alias("n"))
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """CSV with a header, in one folder."""
+    rows.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_metrics(figures: dict[str, object], spark: SparkSession, path: str) -> None:
+    """A dict of figures as a CSV of one row."""
+    write_report(spark.createDataFrame([{k: str(v) for k, v in figures.items()}]).select(*figures).coalesce(1), path)
