@@ -342,6 +342,16 @@ def test_machine_learns_a_pair():
     assert p[2] > 0.5 and p[0] < 0.5 and p[1] < 0.5 and p[3] < 0.5
 
 
+def test_machine_learns_where_only_the_pair_tells():
+    r = np.random.default_rng(1)
+    first, second = r.integers(0, 2, 4_000), r.integers(0, 2, 4_000)  # either alone is toxic, neither or both aren't
+    terms = [np.unique(np.concatenate([[11][:a], [22][:b], r.choice(np.arange(100, 160), 8, replace=False)]).astype(np.int64)) for a, b in zip(first, second, strict=True)]
+    toxic = (first != second).astype(int)
+    m = toxicity.fit(terms[:3_000], toxic[:3_000])
+    p = m.scores(np.repeat(np.arange(1_000), [len(t) for t in terms[3_000:]]), np.concatenate(terms[3_000:]), 1_000)
+    assert ((p >= 0.5) == toxic[3_000:]).mean() > 0.7
+
+
 def test_machine_equals_the_sum_over_pairs():
     r = np.random.default_rng(5)
     m = toxicity.Machine(0.3, np.sort(r.choice(1 << toxicity.BUCKET_BITS, 40, replace=False)), r.normal(size=40), r.normal(size=(40, 8)) / 3)

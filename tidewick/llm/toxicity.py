@@ -26,6 +26,8 @@ PREFIXES = (4, 5, 6, 7, 8)
 TOXIC_ROWS, CLEAN_ROWS = 4_000, 8_000
 #: Buckets of the model at most, texts that must have one, and standard deviations between its shares in the classes.
 FEATURES, LEAST_TEXTS, LEAST_Z = 4_096, 3, 4.0
+#: Buckets that are taken for being in many texts, whatever their shares: alone they tell nothing, a pair of them may.
+FREQUENT = 128
 FACTORS, STEPS, RATE, RIDGE = 8, 300, 0.05, 1e-4
 
 
@@ -58,9 +60,11 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margin(of, term - 1, texts)[0], -30, 30)))
 
     def margin(self, of: np.ndarray, term: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
-        v = self.factors[term]
-        total = np.column_stack([np.bincount(of, v[:, k], texts) for k in range(v.shape[1])])
-        squares = np.bincount(of, (v * v).sum(axis=1), texts)
+        total, squares = np.zeros((texts, self.factors.shape[1])), np.zeros(texts)
+        for k in range(self.factors.shape[1]):  # one factor at a time keeps little in memory
+            v = self.factors[term, k]
+            total[:, k] = np.bincount(of, v, texts)
+            squares += np.bincount(of, v * v, texts)
         return self.bias + np.bincount(of, self.weights[term], texts) + 0.5 * ((total * total).sum(axis=1) - squares), total
 
 
@@ -79,6 +83,8 @@ def fit(terms: list[np.ndarray], toxic: np.ndarray) -> Machine:
     z[every < LEAST_TEXTS] = 0
     chosen = np.argsort(-np.abs(z), kind="stable")[:FEATURES]
     chosen = np.sort(chosen[np.abs(z[chosen]) >= LEAST_Z])
+    common = np.argsort(-every, kind="stable")[:FREQUENT]
+    chosen = np.union1d(chosen, common[every[common] >= LEAST_TEXTS])
     if not len(chosen):
         return nothing
     slot = np.full(size, -1)
@@ -92,11 +98,9 @@ def fit(terms: list[np.ndarray], toxic: np.ndarray) -> Machine:
         margin, total = machine.margin(of, term, n)
         gap = weight * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - toxic)
         g = gap[of]
-        v = machine.factors[term]
-        rows = g[:, None] * (total[of] - v)
         grads = (
             np.array([gap.sum()]), np.bincount(term, g, len(chosen)) + RIDGE * machine.weights,
-            np.column_stack([np.bincount(term, rows[:, k], len(chosen)) for k in range(FACTORS)]) + RIDGE * machine.factors,
+            np.column_stack([np.bincount(term, g * (total[of, k] - machine.factors[term, k]), len(chosen)) for k in range(FACTORS)]) + RIDGE * machine.factors,
         )
         moves = []
         for grad, s in zip(grads, state, strict=True):  # Adam
@@ -117,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
 
     Of an id's labels the largest counts; null labels and ids count for nothing; documents that repeat an id all count.
     Without both classes, or in empty tables, the machine knows the bias alone. A term that is as frequent among toxic as
-    among other texts isn't taken, however telling a pair with it might be.
+    among other texts is taken if it is one of the sample's FREQUENT most frequent ones, as a pair with it may tell.
     """
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marks = marks.where(~held_out(F.col("doc_id"))).withColumn("_order", F.xxhash64("doc_id", F.lit(1)))
@@ -140,8 +144,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     bad, share = F.col("bad"), F.col("every") / n
     z = (bad / ones - (F.col("every") - bad) / (n - ones)) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / ones + 1 / (n - ones)))
     counted = sample.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("every"), F.sum("toxic").alias("bad")).where(F.col("every") >= LEAST_TEXTS)
-    # a few more than the machine takes, so that it decides ties itself; FEATURES bounds them
-    telling = np.array([r["term"] for r in counted.withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z - 0.01).orderBy(F.desc("z"), "term").limit(FEATURES + 1_000).collect()], np.int32)
+    # a few more than the machine takes, so that it decides ties itself; FEATURES and FREQUENT bound them
+    stands_out = counted.withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z - 0.01).orderBy(F.desc("z"), "term").limit(FEATURES + 1_000)
+    common = counted.orderBy(F.desc("every"), "term").limit(FREQUENT)
+    telling = np.array([r["term"] for r in stands_out.select("term").union(common.select("term")).distinct().collect()], np.int32)
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(terms, pa.list_(pa.int32())), batch.column("toxic")], ["doc_id", "terms", "toxic"])
 
     few = sample.mapInArrow(narrow, "doc_id long, terms array<int>, toxic int").toArrow().sort_by("doc_id")
-    return fit([np.array(t, np.int64) for t in few.column("terms").to_pylist()], few.column("toxic").to_numpy())
+    return fit([np.asarray(t.values).astype(np.int64) for t in few.column("terms")], few.column("toxic").to_numpy())
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
