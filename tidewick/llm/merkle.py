@@ -78,15 +78,15 @@ def ranked(rows: DataFrame, group: str, order: list[str], keep: Scratch) -> Data
     return out.select(*rows.columns, (F.col("_place") + F.coalesce("_before", F.lit(0))).alias("rank"))
 
 
-def rollup(nodes: DataFrame, payload: list[str]) -> DataFrame:
-    """Nodes (group, rank, digest and `payload`) in blocks: rows group, block, digest, run, passes.
+def rollup(nodes: DataFrame, payload: list[str], size: int = DIGITS) -> DataFrame:
+    """Nodes (group, rank, digest and `payload`) in blocks of ARITY ** size: rows group, block, digest, run, passes.
 
     `run` is the last run of siblings with all that is below, `passes` is true where there is a single node left in its
     whole level, which stays as it is. Such a node is the first one and has no sibling, which its block can tell alone.
     """
-    digits = [f"_d{k}" for k in range(DIGITS)]
+    digits = [f"_d{k}" for k in range(size)]
     place = [F.expr(f"cast((rank div {ARITY**k}) % {ARITY} as int)").alias(d) for k, d in enumerate(digits)]
-    rows = nodes.select("group", F.expr(f"rank div {ARITY**DIGITS}").alias("block"), *place, F.struct("digest", *payload).alias("node"))
+    rows = nodes.select("group", F.expr(f"rank div {ARITY**size}").alias("block"), *place, F.struct("digest", *payload).alias("node"))
     rows = rows.repartition(F.col("group"), F.col("block"))
     for k, digit in enumerate(digits):
         upper = digits[k + 1 :]
@@ -101,7 +101,7 @@ def rollup(nodes: DataFrame, payload: list[str]) -> DataFrame:
     return rows.select("group", "block", "node.*")
 
 
-def _unfolded(run: Column, passes: Column, above: Column, payload: list[str], level: int = DIGITS - 1) -> Column:
+def _unfolded(run: Column, passes: Column, above: Column, payload: list[str], level: int) -> Column:
     """All nodes below a run as an array of structs: digest, payload and the path from there to the root."""
 
     def each(x: Column, i: Column) -> Column:
@@ -116,15 +116,15 @@ def _unfolded(run: Column, passes: Column, above: Column, payload: list[str], le
     return inner if level == 0 else F.flatten(inner)
 
 
-def _climb(nodes: DataFrame, payload: list[str], keep: Scratch) -> list[DataFrame]:
+def _climb(nodes: DataFrame, payload: list[str], size: int, keep: Scratch) -> list[DataFrame]:
     """The blocks of all tiers, the nodes' own first; the last tier has one block for each group."""
-    tiers = [keep(rollup(nodes, payload))]
+    tiers = [keep(rollup(nodes, payload, size))]
     while not tiers[-1].where("block > 0").isEmpty():
-        tiers.append(keep(rollup(tiers[-1].select("group", F.col("block").alias("rank"), "digest"), ["rank"])))
+        tiers.append(keep(rollup(tiers[-1].select("group", F.col("block").alias("rank"), "digest"), ["rank"], size)))
     return tiers
 
 
-def _descend(tiers: list[DataFrame], payload: list[str], top: DataFrame) -> DataFrame:
+def _descend(tiers: list[DataFrame], payload: list[str], size: int, top: DataFrame) -> DataFrame:
     """Rows group, top, digest, payload, path. `top` has group, path and a struct `top` for each group.
 
     A block and the path above it meet in one group of two rows.
@@ -136,29 +136,30 @@ def _descend(tiers: list[DataFrame], payload: list[str], top: DataFrame) -> Data
         paths = above.select("group", "block", F.lit(None).cast(own["run"]).alias("run"), F.lit(None).cast("boolean").alias("passes"), "path", "top")
         both = tree.union(paths).groupBy("group", "block").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("run", "passes", "path", "top")])
         names = payload if k == 0 else ["rank"]
-        out = both.select("group", "top", F.inline(_unfolded(F.col("run"), F.col("passes"), F.col("path"), names)))
+        out = both.select("group", "top", F.inline(_unfolded(F.col("run"), F.col("passes"), F.col("path"), names, size - 1)))
         above = out if k == 0 else out.select("group", F.col("rank").alias("block"), "path", "top")
     return above
 
 
-def manifest(rows: DataFrame, columns: list[str], group: str, key: str, payload: list[str] | None = None) -> DataFrame:
+def manifest(rows: DataFrame, columns: list[str], group: str, key: str, payload: list[str] | None = None, digits: int = DIGITS) -> DataFrame:
     """One row for each of `rows`: `group`, `key`, `payload`, leaf, subroot, root and path.
 
     Leaves cover `columns`; within a group they ascend by `key` (nulls first, equal keys by their leaves, so that equal
     rows are interchangeable), groups ascend by their bytes (null first; it is a group like any other). Every ARITY
     nodes of a level become one, the last run may be shorter; a level of one node is the end. Other columns are
-    ignored. An empty table gives no rows. A group may hold any share of all rows: no task sees more than a block of it.
+    ignored. An empty table gives no rows. A group may hold any share of all rows: no task needs more than a block of it, of
+    ARITY ** digits leaves, in memory.
     """
     names = [key, *(payload or [])]
     keep = Scratch(rows.sparkSession)
-    leaves = rows.select(F.col(group).alias("group"), F.struct(*names).alias("own"), leaf(columns).alias("digest"), F.col(key).alias("_key"))
-    tiers = _climb(ranked(leaves, "group", ["_key", "digest"], keep), ["own"], keep)
+    leaves = keep(rows.select(F.col(group).alias("group"), F.struct(*names).alias("own"), leaf(columns).alias("digest"), F.col(key).alias("_key")))
+    tiers = _climb(ranked(leaves, "group", ["_key", "digest"], keep), ["own"], digits, keep)
     groups = tiers[-1].select(F.lit(0).alias("group"), F.col("group").alias("name"), "digest")
-    over = _climb(ranked(groups, "group", ["name"], keep), ["name"], keep)
+    over = _climb(ranked(groups, "group", ["name"], keep), ["name"], digits, keep)
     root = over[-1].select("digest").first()  # a single row
     summit = rows.sparkSession.range(1 if root else 0).select(F.lit(0).alias("group"), F.array().cast(PATH).alias("path"), F.lit(None).cast("string").alias("top"))
-    tops = keep(_descend(over, ["name"], summit)).select(F.col("name").alias("group"), "path", F.col("digest").alias("top"))
-    out = _descend(tiers, ["own"], tops)
+    tops = keep(_descend(over, ["name"], digits, summit)).select(F.col("name").alias("group"), "path", F.col("digest").alias("top"))
+    out = _descend(tiers, ["own"], digits, tops)
     return out.select(F.col("group").alias(group), "own.*", F.col("digest").alias("leaf"), F.col("top").alias("subroot"), F.lit(root.digest if root else None).cast("string").alias("root"), "path")
 
 

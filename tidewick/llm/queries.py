@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, merkle, minhash, packing, quality, sharding, substrings, token_files, toxicity, url_reputation
+from . import decontamination, fingerprints, html_text, merkle, minhash, packing, quality, sharding, spelling, substrings, token_files, toxicity, url_reputation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_text_density": html_text.op1,
@@ -20,8 +20,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_elias_fano": token_files.op9,
     "op10_ngram_quality": quality.op10,
     "op11_merkle_manifest": merkle.op11,
+    "op12_bloom_spelling": spelling.op12,
+    "op13_consistent_parsing": fingerprints.op13,
 }
 ORACLES: dict[str, str] = {
     "op4_url_reputation": url_reputation.OP4_SQL,
     "op11_merkle_manifest": merkle.OP11_SQL,
+    "op12_bloom_spelling": spelling.OP12_SQL,
 }
