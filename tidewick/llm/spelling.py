@@ -31,7 +31,7 @@ BITS, HASHES = 24, 5
 #: Words from this length on share one filter.
 LONG = 64
 #: Blocks of a slice (64 bytes each), and bytes of all filters that are broadcast in one pass.
-SLICE_BLOCKS, PASS_BYTES = 2048, 32 << 20
+SLICE_BLOCKS, PASS_BYTES = 256, 32 << 20
 #: Numbers in one array of a probing task.
 CHUNK = 1 << 18
 
