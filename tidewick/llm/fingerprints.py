@@ -142,13 +142,22 @@ def sketches(column: pa.Array) -> list[tuple[int, np.ndarray]]:
     return [(int(t), hashes[a : min(b, a + SAMPLE)]) for t, a, b in zip(top, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
+def packed(sketch: tuple[int, np.ndarray]) -> bytes:
+    """A fingerprint's bytes: 8 of the whole text's name, then 4 for each hash."""
+    return sketch[0].to_bytes(8, "big") + sketch[1].astype(">u4").tobytes()
+
+
+def unpacked(fingerprint: bytes) -> tuple[int, np.ndarray]:
+    return int.from_bytes(fingerprint[:8], "big"), np.frombuffer(fingerprint[8:], ">u4").astype(np.uint32)
+
+
 def written(sketch: tuple[int, np.ndarray]) -> str:
-    """A fingerprint as hexadecimal text: 16 digits of the whole text's name, then 8 for each hash."""
-    return f"{sketch[0]:016x}" + sketch[1].astype(">u4").tobytes().hex()
+    """A fingerprint as hexadecimal text."""
+    return packed(sketch).hex()
 
 
 def read(fingerprint: str) -> tuple[int, np.ndarray]:
-    return int(fingerprint[:16], 16), np.frombuffer(bytes.fromhex(fingerprint[16:]), ">u4").astype(np.uint32)
+    return unpacked(bytes.fromhex(fingerprint))
 
 
 def alike(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
@@ -187,8 +196,8 @@ def likeness(a: Column, b: Column) -> Column:
     return of(a, b)
 
 
-_FOUND = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_EDGE = "part int, first_text string, first_print string, last_text string"
+_FOUND = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_EDGE = "part int, first_text string, first_print binary, last_text string"
 
 
 def edited(text: str, following: str) -> str:
@@ -204,7 +213,7 @@ def _compared(docs: list[tuple], following: list[tuple]) -> list[tuple]:
     for part in tokens.slices([pa.RecordBatch.from_arrays([pa.array(changed, pa.large_string())], ["text"])], "text", SLICE_BYTES):
         other += sketches(part.column(0))
     return [
-        (d[0], len(d[1]), hashlib.sha256(c.encode()).hexdigest(), written(d[2]), written(s), alike(d[2], s), alike(d[2], f[2]))
+        (d[0], len(d[1]), hashlib.sha256(c.encode()).digest(), packed(d[2]), packed(s), alike(d[2], s), alike(d[2], f[2]))
         for d, f, c, s in zip(docs, following, changed, other, strict=True)
     ]
 
@@ -223,7 +232,7 @@ def with_following(docs: DataFrame) -> DataFrame:
     laid = docs.select("doc_id", "text").repartitionByRange(partitions, *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
 
     names = [f.split()[0] for f in _FOUND.split(", ")] + [f.split()[0] for f in _EDGE.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 3, pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.binary(), pa.string()]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -239,7 +248,7 @@ def with_following(docs: DataFrame) -> DataFrame:
             if len(whole) > 1:
                 yield batch([(*r, None, None, None, None) for r in _compared(whole[:-1], whole[1:])])
         if last:
-            yield batch([(last[0], None, None, None, None, None, None, part, first[1], written(first[2]), last[1])])
+            yield batch([(last[0], None, None, None, None, None, None, part, first[1], packed(first[2]), last[1])])
 
     found = keep(laid.mapInArrow(compare, f"{_FOUND}, {_EDGE}"))
     # one row for each partition: its last document waits for the first one of the next partition
@@ -254,10 +263,11 @@ def with_following(docs: DataFrame) -> DataFrame:
         for some in batches:
             for row in some.to_pylist():
                 own = row["doc_id"], row["last_text"], sketches(pa.array([row["last_text"]]))[0]
-                yield batch([(*r, None, None, None, None) for r in _compared([own], [(None, row["first_text"], read(row["next_print"]))])])
+                yield batch([(*r, None, None, None, None) for r in _compared([own], [(None, row["first_text"], unpacked(row["next_print"]))])])
 
     closed = met.mapInArrow(close, f"{_FOUND}, {_EDGE}")
-    return found.where("part is null").union(closed).drop("part", "first_text", "first_print", "last_text")
+    every = found.where("part is null").union(closed).drop("part", "first_text", "first_print", "last_text")
+    return every.select(*[F.lower(F.hex(c)).alias(c) if kind == "binary" else F.col(c) for c, kind in every.dtypes])
 
 
 def op13(spark, sf_dir: str) -> DataFrame:
