@@ -1,9 +1,11 @@
 """Best-fit packing by patterns: non-negative least squares over the histogram of piece lengths.
 
 Tasks encode whole texts, cut them into pieces and number the pieces of each length. The driver sees a histogram, one
-count for each length, whatever the corpus holds. Patterns of up to three lengths that fill a sequence are fitted to
-it, their repeats rounded down, and the lengths that are left packed best-fit by count. The plan is a short table of
-rank ranges for each length, from which every task reads where its pieces go.
+count for each length, whatever the corpus holds. Patterns of up to three lengths that nearly fill a sequence are fitted
+to it, with a small cost for what they leave empty; a share of their repeats is taken, rounded down, and the lengths that
+are left go best-fit into the free space of these patterns and into new sequences. Of a few such shares, the one that
+takes the fewest sequences is the plan. It is a short table of rank ranges for each length, from which every task reads
+where its pieces go.
 """
 
 from __future__ import annotations
@@ -24,16 +26,20 @@ from .encoding import SLICE_BYTES, encoder
 from .tables import settled, table
 
 CAPACITY, END, TOKENIZER = 1024, 2, "byte_bpe_50k.json"
-#: Steps of the least-squares fit.
-STEPS, ROUNDS = 400, 4
+#: The largest share of a sequence that a pattern leaves empty.
+SPARE = 0.3
+#: What a sequence left empty costs in the fit, in mean counts of a length; one after the other, with so many steps each.
+COSTS, STEPS = (30.0, 3.0, 0.3), 150
+#: Shares of the fitted repeats that are taken in turn; after them, none at all (plain best-fit) as a last resort.
+SHARES = (1.0, 0.98, 0.9, 0.75, 0.5, 0.25)
 
 Pattern = tuple[tuple[int, ...], int]
 
 
-def patterns(present: np.ndarray, capacity: int) -> np.ndarray:
+def patterns(present: np.ndarray, capacity: int, spare: float = SPARE) -> np.ndarray:
     """Patterns of one to three of the lengths present, as rows padded with 0: the last length is the largest that fits.
 
-    Patterns that leave more than a fiftieth of a sequence empty are none: their lengths are packed best-fit.
+    Patterns that leave more than `spare` of a sequence empty are none: their lengths are packed best-fit.
     """
     n = len(present)
     i, j = np.triu_indices(n)
@@ -47,11 +53,14 @@ def patterns(present: np.ndarray, capacity: int) -> np.ndarray:
     rows.append(np.column_stack([present[two], present[k[two]], np.zeros(two.sum(), np.int64)]))
     rows.append(np.column_stack([present, np.zeros((n, 2), np.int64)]))
     every = np.concatenate(rows)
-    return every[capacity - every.sum(axis=1) <= capacity // 50]
+    return every[capacity - every.sum(axis=1) <= capacity * spare]
 
 
-def fit(every: np.ndarray, counts: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """Repeats x >= 0 of the patterns with the least squares of (lengths used - counts), by projected gradients."""
+def fit(every: np.ndarray, counts: np.ndarray, empty: np.ndarray, costs: tuple[float, ...] = COSTS, steps: int = STEPS) -> np.ndarray:
+    """Repeats x >= 0 of the patterns that minimise half the squares of (lengths used - counts) plus cost * `empty` * x.
+
+    Projected gradients with momentum. The cost falls step by step, so patterns that fill a sequence are used first.
+    """
     size = len(counts)
     used = every > 0
 
@@ -66,70 +75,71 @@ def fit(every: np.ndarray, counts: np.ndarray, steps: int = STEPS) -> np.ndarray
     # a diagonal bound of the normal matrix, so that every pattern has a step of its own
     step = 1 / np.maximum(1, (degree[every] * used).sum(axis=1))
     x = np.where(used, counts[every] / np.maximum(1, degree[every]), np.inf).min(axis=1)
-    y, t = x.copy(), 1.0
-    for _ in range(steps):
-        gap = counts - forward(y)
-        new = np.maximum(0, y + step * (gap[every] * used).sum(axis=1))
-        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        y, x, t = new + (t - 1) / after * (new - x), new, after
-        np.maximum(y, 0, out=y)
+    for cost in costs:
+        y, t = x.copy(), 1.0
+        for _ in range(steps):
+            gap = counts - forward(y)
+            new = np.maximum(0, y + step * ((gap[every] * used).sum(axis=1) - cost * empty))
+            after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            y, x, t = new + (t - 1) / after * (new - x), new, after
+            np.maximum(y, 0, out=y)
     return x
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
-    """Patterns and repeats that use every piece of the histogram exactly.
-
-    Repeats are rounded down and the rest packed best-fit, or rounded to the nearest and what is left fitted anew a few
-    times before: whichever takes fewer sequences.
-    """
-    return min((_rounded(counts, capacity, up, rounds) for up, rounds in ((0, 1), (0.5, ROUNDS))), key=lambda found: sum(n for _, n in found))
+    """Patterns and repeats that use every piece of the histogram exactly, in no more sequences than best-fit takes."""
+    return min(candidates(counts, capacity), key=lambda found: sum(n for _, n in found))
 
 
-def _rounded(counts: dict[int, int], capacity: int, up: float, rounds: int) -> list[Pattern]:
+def candidates(counts: dict[int, int], capacity: int = CAPACITY) -> Iterator[list[Pattern]]:
+    """Plans by each of SHARES, then plain best-fit decreasing."""
     left = np.zeros(capacity + 1, np.int64)
     for length, count in counts.items():
         left[length] = count
+    full = [((capacity,), int(left[capacity]))] if left[capacity] else []
+    left[capacity] = 0
+    present = np.flatnonzero(left)
+    every = patterns(present, capacity) if len(present) else np.zeros((0, 3), np.int64)
+    if len(every):
+        x = fit(every, left.astype(float), (1 - every.sum(axis=1) / capacity) * left[present].mean())
+        for share in SHARES:
+            rest = left.copy()
+            found = full + _taken(every, x * share, rest)
+            yield best_fit(rest, capacity, found)
+    yield best_fit(left, capacity, full)
+
+
+def _taken(every: np.ndarray, x: np.ndarray, left: np.ndarray) -> list[Pattern]:
+    """As many whole repeats of each pattern as x says and `left` has pieces for; these leave `left`."""
     out: list[Pattern] = []
-    if left[capacity]:
-        out.append(((capacity,), int(left[capacity])))
-        left[capacity] = 0
-    for _ in range(rounds):
-        present = np.flatnonzero(left)
-        if not len(present):
-            break
-        every = patterns(present, capacity)
-        if not len(every):
-            break
-        x = fit(every, left.astype(float))
-        before = left.sum()
-        for p in np.argsort(-x, kind="stable"):
-            times = int(x[p] + up)
-            if times < 1:
-                break
-            parts = every[p][every[p] > 0]
-            lengths, often = np.unique(parts, return_counts=True)
-            times = int(min(times, *(left[lengths] // often)))
-            if times:
-                left[lengths] -= times * often
-                out.append((tuple(sorted(map(int, parts), reverse=True)), times))
-        if left.sum() == before:
+    for p in np.argsort(-x, kind="stable"):
+        if x[p] < 1:
             break
-    return out + best_fit(left, capacity)
+        parts = every[p][every[p] > 0]
+        lengths, often = np.unique(parts, return_counts=True)
+        times = int(min(int(x[p]), *(left[lengths] // often)))
+        if times:
+            left[lengths] -= times * often
+            out.append((tuple(sorted(map(int, parts), reverse=True)), times))
+    return out
 
 
-def best_fit(left: np.ndarray, capacity: int) -> list[Pattern]:
-    """Best-fit decreasing of the counts `left`, for all pieces of a length at once."""
+def best_fit(left: np.ndarray, capacity: int, begun: list[Pattern] = ()) -> list[Pattern]:
+    """Best-fit decreasing of the counts `left` into the free space of `begun` and into new sequences, lengths at once."""
     open_: dict[int, list[list]] = defaultdict(list)  # free space: patterns so far and how many of each
+    for parts, times in begun:
+        open_[capacity - sum(parts)].append([parts, times])
     for length in np.flatnonzero(left)[::-1].tolist():
         count = int(left[length])
         for space in sorted(s for s in open_ if s >= length):
             while count and open_[space]:
                 parts, times = open_[space].pop()
-                some = min(times, count)
+                each = min(count, space // length)  # as many into one as fit
+                some = min(times, count // each)
                 if times > some:
                     open_[space].append([parts, times - some])
-                open_[space - length].append([(*parts, length), some])
-                count -= some
+                open_[space - each * length].append([(*parts, *([length] * each)), some])
+                count -= some * each
             if not count:
                 break
         while count:
