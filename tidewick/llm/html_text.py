@@ -5,9 +5,11 @@ For every node of a page's tree, the characters per tag of its subtree are weigh
 are text of their block. The subtree with the largest sum is the article, and the smallest density on its way up to the
 body is the threshold from which other subtrees count too. Each subtree chosen is widened to the article or main element
 it stands in.
-Scripts, menus, forms, notices and the like are cut from the tree beforehand by element, role and class; what names only
-its wrapper (role, class, id, form) doesn't cut an element that holds an article or main element or, in pages without
-any, most of the plain text.
+Scripts, menus, forms, notices and the like are cut from the tree beforehand by element, role and name (class, id). A
+name is judged as a whole: one that says nothing but `comments`, `ad-box` or `site-footer` cuts its element, one that has
+other words beside (`related-work`, `elementor-widget`) only if the element is mostly links or, outside an article, slight.
+What names only its wrapper (role, class, id, form) doesn't cut an element that holds an article or main element or, in
+pages without any, most of the plain text; nor do names that nearly all of an article's text carries.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,9 +27,9 @@ from . import tokens
 from .tables import table
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_WORD = re.compile(r"[A-Za-z]+")
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?")
+_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -47,39 +50,60 @@ _CUT_WORDS = frozenset(
     "respond replies notice notices cookie cookies consent gdpr menu nav navbar navigation breadcrumb breadcrumbs footer share sharing social related "
     "newsletter subscribe subscription signup login popup modal overlay widget pagination pager toolbar masthead skip".split()
 )
+#: Words of layout: beside a word of the list above they change nothing.
+_LAYOUT = frozenset(
+    "area article bar bars block blog body bottom box boxes button buttons card center container content entry form global group header icon icons inner "
+    "item items left link links list main module outer page panel placeholder post posts primary right row secondary section site slot thread title top unit wrap wrapper".split()
+)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "cut", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "items", "cut", "name", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
-    def __init__(self, tag: str, parent: Node | None, cut: int):
-        self.tag, self.parent, self.items, self.cut = tag, parent, [], cut
+    def __init__(self, tag: str, parent: Node | None, cut: int, name: str = ""):
+        self.tag, self.parent, self.items, self.cut, self.name = tag, parent, [], cut, name
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-#: Cut whatever it holds; cut unless it turns out to hold the article.
-ALWAYS, UNLESS_MAIN = 2, 1
-
-
-def _cut(tag: str, attributes: str, inside: bool) -> int:
-    """Whether an element is no part of an article; inside: it stands in an article or main element."""
+#: Cut whatever it holds; cut unless it turns out to hold the article; cut if it is slight.
+ALWAYS, UNLESS_MAIN, IF_SLIGHT = 3, 2, 1
+#: Characters of plain text with which an element outside an article isn't slight.
+SLIGHT = 200
+
+
+@lru_cache(maxsize=1 << 14)
+def _attributes(text: str) -> tuple[int, str, bool]:
+    """What the attributes of a start tag say: a cut, the name it comes from, and whether the name is `header` alone."""
+    found: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), a or b or c)
+    if found.get("hidden", "until-found").lower() != "until-found" or found.get("aria-hidden", "").lower() == "true" or _HIDING.search(found.get("style", "")):
+        return ALWAYS, "", False
+    if not _CUT_ROLES.isdisjoint(found.get("role", "").lower().split()):
+        return UNLESS_MAIN, "", False
+    slight = ""
+    for name in (*found.get("class", "").split(), *found.get("id", "").split()):
+        parts = [p.lower() for p in _PART.findall(name)]
+        if not _CUT_WORDS.isdisjoint(parts):
+            if all(p in _CUT_WORDS or p in _LAYOUT or len(p) < 3 or p.isdigit() for p in parts):
+                return UNLESS_MAIN, name.lower(), False
+            slight = slight or name.lower()
+    if slight:
+        return IF_SLIGHT, slight, False
+    return 0, "", "header" in (found.get("class", "").lower(), found.get("id", "").lower())
+
+
+def _cut(tag: str, attributes: str, inside: bool) -> tuple[int, str]:
+    """Whether an element is no part of an article, and by which name; inside: it stands in an article or main element."""
     if (tag in _CUT and tag != "form") or (tag == "header" and not inside):
-        return ALWAYS
-    if attributes and tag not in ("html", "body", "article", "main") and _HIDDEN.search(attributes):
-        return ALWAYS
-    if tag == "form":
-        return UNLESS_MAIN
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return 0
-    for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        words = [w.lower() for w in _WORD.findall(a or b or c)]
-        if name.lower() == "role":
-            if not _CUT_ROLES.isdisjoint(words):
-                return UNLESS_MAIN
-        elif name.lower() != "itemprop" and (not _CUT_WORDS.isdisjoint(words) or (words == ["header"] and not inside)):
-            return UNLESS_MAIN
-    return 0
+        return ALWAYS, ""
+    if tag in ("html", "body", "article", "main"):
+        return 0, ""
+    cut, name, header = _attributes(attributes) if attributes and not attributes.isspace() else (0, "", False)
+    if tag == "form" or header and not inside:
+        cut = max(cut, UNLESS_MAIN)
+    return cut, name
 
 
 def parse(page: str) -> Node:
@@ -145,7 +169,7 @@ def parse(page: str) -> Node:
                 up = up.parent
             if up is not root and up.tag == "p":
                 node = back(up.parent)
-        new = Node(tag, node, _cut(tag, m[3], bool(opened.get("article") or opened.get("main"))))
+        new = Node(tag, node, *_cut(tag, m[3], bool(opened.get("article") or opened.get("main"))))
         node.items.append(new)
         if tag in _RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -162,24 +186,33 @@ def parse(page: str) -> Node:
 
 
 def _spare(root: Node) -> None:
-    """Takes back the cut of elements around an article or main element, if none stands elsewhere, and of those that hold
-    most of the plain text of the article or main element they stand in (in pages without any: of the page)."""
+    """Decides on elements that are cut if slight, and takes back the cut of those around an article or main element, if
+    none stands elsewhere, and of those that hold most of the plain text of the article or main element they stand in (in
+    pages without any: of the page), alone or with all others of the same name."""
     nodes = [root]
     for node in nodes:
         nodes += [x for x in node.items if isinstance(x, Node) and x.cut != ALWAYS]
     if not any(node.cut for node in nodes):
         return
-    plain = dict.fromkeys(map(id, nodes), 0)
+    plain, links = dict.fromkeys(map(id, nodes), 0), dict.fromkeys(map(id, nodes), 0)
     holds = set()
     for node in reversed(nodes):
+        own = id(node)
+        plain[own] += sum(len(" ".join(x.split())) for x in node.items if isinstance(x, str))
         if node.tag == "a":
-            plain[id(node)] = 0
-        else:
-            plain[id(node)] += sum(len(" ".join(x.split())) for x in node.items if isinstance(x, str))
+            plain[own], links[own] = 0, plain[own] + links[own]
         if node.parent is not None:
-            plain[id(node.parent)] += plain[id(node)]
-            if node.tag in ("article", "main") or id(node) in holds:
+            plain[id(node.parent)] += plain[own]
+            links[id(node.parent)] += links[own]
+            if node.tag in ("article", "main") or own in holds:
                 holds.add(id(node.parent))
+    within: dict[int, Node | None] = {id(root): None if holds else root}
+    for node in nodes[1:]:
+        within[id(node)] = node if node.tag in ("article", "main") else within[id(node.parent)]
+        if node.cut == IF_SLIGHT:
+            inside = holds and within[id(node)] is not None
+            slight = links[id(node)] > plain[id(node)] or not inside and plain[id(node)] < SLIGHT
+            node.cut = UNLESS_MAIN if slight else 0
     while holds:
         seen = [root]
         for node in seen:
@@ -190,10 +223,20 @@ def _spare(root: Node) -> None:
             for x in node.items:
                 if isinstance(x, Node) and id(x) in holds and x.cut != ALWAYS:
                     x.cut = 0
-    within = {id(root): None if holds else root}
+    of_name: dict[tuple[int, str], int] = {}
+    under = {id(root): False}
+    for node in nodes[1:]:
+        scope = within[id(node)]
+        under[id(node)] = under[id(node.parent)] or bool(node.cut)
+        if node.cut and scope is not None:
+            if 2 * plain[id(node)] > plain[id(scope)]:
+                node.cut = 0
+            elif node.name and not under[id(node.parent)]:
+                key = id(scope), node.name
+                of_name[key] = of_name.get(key, 0) + plain[id(node)]
     for node in nodes[1:]:
-        scope = within[id(node)] = node if node.tag in ("article", "main") else within[id(node.parent)]
-        if node.cut and scope is not None and 2 * plain[id(node)] > plain[id(scope)]:
+        scope = within[id(node)]
+        if node.cut and scope is not None and 10 * of_name.get((id(scope), node.name), 0) > 9 * plain[id(scope)]:
             node.cut = 0
 
 
