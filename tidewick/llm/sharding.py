@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import settled
@@ -53,15 +53,16 @@ def permute(x: np.ndarray, n: int, seed: int, inverse: bool = False) -> np.ndarr
 
 
 def number_rows(df: DataFrame, order: list[str], partitions: int | None = None) -> tuple[DataFrame, int]:
-    """`df` with a gapless `row_no` from 0 in the given order, and the number of rows.
+    """Rows row, row_no: each row of `df` as a struct with its gapless number from 0 in the given order; and their count.
 
     The sorted rows are settled once; a row's number is its place in its partition plus the rows of all partitions
-    before. The driver sees one count per partition.
+    before. The driver sees one count per partition. Columns may have any names, as they stay in the struct.
     """
     spark = df.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(c).asc_nulls_first() for c in order]
-    laid = settled(df.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys))
+    keys = [F.col("row")[c].asc_nulls_first() for c in order]
+    rows = df.select(F.struct(*df.columns).alias("row"))
+    laid = settled(rows.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys))
     at = laid.withColumn("_at", F.monotonically_increasing_id())
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = at.groupBy(part.alias("_part")).count()
@@ -69,7 +70,7 @@ def number_rows(df: DataFrame, order: list[str], partitions: int | None = None)
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     # one row for each partition of the sort, so the broadcast side is bounded by `partitions`
     out = at.withColumn("_part", part).join(F.broadcast(before), "_part")
-    return out.withColumn("row_no", F.col("_before") + place).drop("_part", "_before", "_at"), int(total)
+    return out.select("row", (F.col("_before") + place).alias("row_no")), int(total)
 
 
 def shard_rows(df: DataFrame, order: list[str], shards: int = 24, seed: int = 7) -> DataFrame:
@@ -77,7 +78,8 @@ def shard_rows(df: DataFrame, order: list[str], shards: int = 24, seed: int = 7)
 
     Shard sizes differ by one row at most, slots are gapless from 0. The placing depends on the ranks of the rows
     under `order`, their number and the seed alone. Null ids sort first; rows that are equal in all of `order` are
-    interchangeable; an empty table stays empty. Extra columns pass through.
+    interchangeable; an empty table stays empty. Extra columns pass through, but for ones named `shard` or `slot`, which
+    the new ones replace.
     """
     numbered, n = number_rows(df, order)
 
@@ -85,12 +87,9 @@ def shard_rows(df: DataFrame, order: list[str], shards: int = 24, seed: int = 7)
     def place(x: pd.Series) -> pd.Series:
         return pd.Series(permute(x.to_numpy(), n, seed))
 
-    def dealt(position: Column) -> list[Column]:
-        return [(position % shards).cast("int").alias("shard"), F.floor(position / shards).cast("long").alias("slot")]
-
-    kept = [c for c in numbered.columns if c != "row_no"]
-    moved = numbered.select(*kept, place("row_no").alias("_to"))
-    return moved.select(*kept, *dealt(F.col("_to")))
+    moved = numbered.select("row", place("row_no").alias("to"))
+    kept = [F.col("row")[c].alias(c) for c in df.columns if c not in ("shard", "slot")]
+    return moved.select(*kept, (F.col("to") % shards).cast("int").alias("shard"), F.floor(F.col("to") / shards).cast("long").alias("slot"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
