@@ -119,7 +119,8 @@ def held_out(doc_id) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
     """A machine fitted to at most TOXIC_ROWS + CLEAN_ROWS labelled ids of `docs` that aren't held out.
 
-    Of an id's labels the largest counts; null labels and ids count for nothing; documents that repeat an id all count.
+    Of an id's labels the largest counts; null labels and ids count for nothing; of the documents that repeat an id the one
+    with the smallest hash of its text counts, so an id that very many rows have weighs no more than others.
     Without both classes, or in empty tables, the machine knows the bias alone. A term that is as frequent among toxic as
     among other texts is taken if it is one of the sample's FREQUENT most frequent ones, as a pair with it may tell.
     """
@@ -133,11 +134,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
             pairs = np.unique((text << BUCKET_BITS) | bucket)
             bounds = np.searchsorted(pairs >> BUCKET_BITS, np.arange(part.num_rows + 1)).astype(np.int32)
             terms = pa.array((pairs & ((1 << BUCKET_BITS) - 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds), terms), part.column("toxic")], ["doc_id", "terms", "toxic"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.ListArray.from_arrays(pa.array(bounds), terms), part.column("toxic")], ["doc_id", "mark", "terms", "toxic"])
 
     # the sample's size is bounded by its parameters; its terms are counted in Spark, so that only those stand out come here
-    rows = docs.select("doc_id", "text").join(F.broadcast(some.select("doc_id", "toxic")), "doc_id").select("doc_id", "text", "toxic")
-    sample = settled(rows.mapInArrow(featurize, "doc_id long, terms array<int>, toxic int"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(some.select("doc_id", "toxic")), "doc_id").select("doc_id", "text", "toxic", F.xxhash64("text").alias("mark"))
+    # one text for each id, so that rows are bounded as ids are; all but one of an id's rows go before the shuffle
+    first = rows.mapInArrow(featurize, "doc_id long, mark long, terms array<int>, toxic int").groupBy("doc_id").agg(F.min(F.struct("mark", "terms", "toxic")).alias("x"))
+    sample = settled(first.select("doc_id", "x.terms", "x.toxic"))
     n, ones = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < ones < n:
         return fit([np.zeros(0, np.int64)] * n, np.repeat([1, 0], [ones, n - ones]))
