@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .tables import table
+from .tables import Scratch, table
 
 #: Places that must agree, fixed values. The last two together hit every stretch of 13 words of which two differ,
 #: whichever two; the first one adds hits.
@@ -84,11 +84,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     size = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_WORDS))
     parts = [items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) for k in range(blocks)]
-    found = reduce(DataFrame.unionByName, [_against(docs, part.select("item", "text")) for part in parts])
+    # one block after the other: the driver and the workers hold one at a time
+    keep = Scratch(docs.sparkSession) if blocks > 1 else None
+    found = reduce(DataFrame.unionByName, [_against(docs, part.select("item", "text"), keep) for part in parts])
     return found.join(named.select("item", "item_id"), "item").select("doc_id", "item_id", "start_word", "n_equal", "n_window", "n_item_equal", "n_item_words")
 
 
-def _against(docs: DataFrame, items: DataFrame) -> DataFrame:
+def _against(docs: DataFrame, items: DataFrame, keep: Scratch | None) -> DataFrame:
+    """The finds of one block; with `keep` they are stored there, and the block's broadcast goes."""
     spark = docs.sparkSession
     block = items.toArrow().combine_chunks()  # one block: bounded by BLOCK_WORDS
     ids = block.column("item").to_pylist()
@@ -130,11 +133,16 @@ def _against(docs: DataFrame, items: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     names = ["doc_id", "item", "start_word", "n_equal", "n_window", "n_item_equal", "n_item_words"]
-    return docs.select("doc_id", "text").mapInArrow(scan, ", ".join(f"{c} {'string' if c == 'item' else 'long'}" for c in names))
+    found = docs.select("doc_id", "text").mapInArrow(scan, ", ".join(f"{c} {'string' if c == 'item' else 'long'}" for c in names))
+    if keep is None:
+        return found
+    found = keep(found)
+    side.destroy()
+    return found
 
 
 def clean_of(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """`docs` without the documents in `found` (doc_id). Rows with a null id stay."""
+    """`docs` without the documents in `found` (doc_id), all rows of an id. Rows with a null id stay."""
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 

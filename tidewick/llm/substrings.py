@@ -183,7 +183,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, hashes: int =
     A passage is a run of at least `min_words` words (runs of characters other than space and tab to return, A-Z
     lower-cased); it is reported where every `min_words` words of it, or words beside them, have at least `percent`
     similar shingles of five words in `source_id`. end_word and end_char stand behind the passage; chars count code
-    points. Shorter texts, null texts and null ids have no rows; doc_id is meant to be a key. Columns other than doc_id and text are ignored.
+    points. Shorter texts, null texts and null ids have no rows. doc_id is meant to be a key: rows that repeat it count as
+    one document with the passages of any of them, each given once. Of equal passages the one of the smallest id is the
+    source. Columns other than doc_id and text are ignored. An empty table gives no rows.
     """
     t = min_words - SHINGLE + 1
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
@@ -208,7 +210,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, hashes: int =
     both = more.join(before, ["doc_id", "source_id"], "left").selectExpr(
         "doc_id", "source_id", "least(lo, lo1) as lo", "greatest(hi, hi1) as hi", "if(shifts1 is null, shifts, array_union(shifts, shifts1)) as shifts"
     )
-    return scratch.keep(star.join(more.select("doc_id", "source_id"), ["doc_id", "source_id"], "left_anti").unionByName(_verified(both, some, t, percent)))
+    return scratch.keep(star.join(more.select("doc_id", "source_id"), ["doc_id", "source_id"], "left_anti").unionByName(_verified(both, some, t, percent)).distinct())
 
 
 def _spans(pairs: DataFrame) -> DataFrame:

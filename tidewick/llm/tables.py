@@ -34,7 +34,7 @@ def settled(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """`df` computed once and written as a compressed table in the shared folder; for wide results that are read often."""
-    return written(df, f"{shared_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}")
+    return written(df, folder(df.sparkSession, "stored") + "/table")
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
@@ -47,7 +47,7 @@ class Scratch:
     """Tables between the steps of one operator, in a folder of their own that goes when its result is kept."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.path = spark, f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+        self.spark, self.path = spark, folder(spark, "scratch")
 
     def __call__(self, df: DataFrame) -> DataFrame:
         return written(df, f"{self.path}/{uuid.uuid4().hex}")
@@ -60,10 +60,26 @@ class Scratch:
         return out
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, which the driver deletes when it ends."""
+    made = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(made)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return made
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir of the session; where it is unset (tests), one below the warehouse."""
+    """The shared folder: spark.checkpoint.dir of the session.
+
+    Where that is unset, a local session (as in tests) takes a folder below its warehouse; any other one raises
+    ValueError, as a folder of one machine would be of no use to the others.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(where)

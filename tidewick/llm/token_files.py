@@ -12,7 +12,6 @@ names the files that count.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +23,8 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .encoding import SLICE_BYTES, encoder
-from .tables import settled, shared_dir, table
+from .tables import folder as new_folder
+from .tables import settled, table
 
 MAGIC = b"TWTOKEN2"
 END, TOKENIZER = 0, "byte_bpe_50k.json"
@@ -245,5 +245,4 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
     Nulls, empty texts, repeats and empty tables as in write_token_files; only doc_id and text are read.
     """
-    folder = f"{shared_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
-    return read_token_files(write_token_files(table(spark, sf_dir, "documents"), folder))
+    return read_token_files(write_token_files(table(spark, sf_dir, "documents"), new_folder(spark, "token-files")))
