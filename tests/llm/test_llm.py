@@ -1,5 +1,6 @@
 """Operators on small tables against brute force, and their edge cases: nulls, empty texts, repeats, ties, no rows."""
 
+import os
 import re
 import struct
 import zlib
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidewick.llm import decontamination, html_text, minhash, packing, quality, sharding, substrings, token_files, tokens, toxicity, url_reputation
 from tidewick.llm.encoding import Encoder
@@ -197,16 +199,74 @@ def test_shards(spark):
     assert sharding.shard_rows(docs(spark, []).select("doc_id", "text"), ["doc_id"]).collect() == []
 
 
-@settings(max_examples=25, deadline=None)
+def test_shards_of_rows_with_clashing_columns(spark):
+    rows = docs(spark, [(i, prose(3, i)) for i in range(40)]).selectExpr("doc_id", "text", "doc_id as shard", "'s' as slot", "doc_id * 2 as row_no", "doc_id * 3 as _at", "doc_id * 4 as _part", "doc_id * 5 as row", "doc_id * 6 as to")
+    out = sharding.shard_rows(rows, ["doc_id"], shards=7)
+    assert sorted(out.columns) == sorted(rows.columns) and dict(out.dtypes)["slot"] == "bigint"
+    assert {(r.doc_id, r.row_no, r._at, r._part, r.row, r.to) for r in out.collect()} == {(i, 2 * i, 3 * i, 4 * i, 5 * i, 6 * i) for i in range(40)}
+
+
+def test_shard_query_against_plain_python(spark, tmp_path):
+    rows = [(i, prose(1 + i % 9, i) + "é" * (i % 3)) for i in range(100, 160)] + [(7, None), (7, None), (None, "n"), (8, "")]
+    docs(spark, rows).withColumnRenamed("kept", "shard").withColumnRenamed("n_words", "slot").write.parquet(str(tmp_path / "documents.parquet"))
+    raw = lambda t: (t or "").encode()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32(raw(r[1])), len(raw(r[1]))))
+    to = sharding.permute(np.arange(len(rows)), len(rows), 7)
+    want = Counter((i, len(raw(t)) + 8, zlib.crc32(raw(t)), "rows", int(p) % 24, int(p) // 24, None) for (i, t), p in zip(order, to, strict=True))
+    assert Counter(map(tuple, sharding.op7(spark, str(tmp_path)).collect())) == want
+
+
+def histogram(counts):
+    return np.bincount(list(counts), list(counts.values()), 1025).astype(np.int64)
+
+
+def sequences(found):
+    return sum(n for _, n in found)
+
+
+@settings(max_examples=300, deadline=None)
 @given(st.dictionaries(st.integers(1, 1024), st.integers(1, 300), min_size=1, max_size=40))
-def test_plan_uses_every_piece(counts):
+def test_plan_uses_every_piece_and_is_never_worse_than_best_fit(counts):
     found, used = packing.plan(counts), Counter()
     for parts, times in found:
         assert times > 0 and sum(parts) <= 1024
         for p in parts:
             used[p] += times
     assert used == Counter(counts)
-    assert sum(n for _, n in found) <= 1.1 * sum(n for _, n in packing.best_fit(np.bincount(list(counts), list(counts.values()), 1025).astype(np.int64), 1024)) + 3
+    assert -(-sum(k * n for k, n in counts.items()) // 1024) <= sequences(found) <= sequences(packing.best_fit(histogram(counts), 1024))
+
+
+def test_plan_on_hard_and_random_histograms():
+    assert sequences(packing.plan({1: 13, 502: 8, 522: 8})) == 9
+    r = np.random.default_rng(5)
+    for _ in range(1_000):
+        lengths = r.choice(np.arange(1, 1025), int(r.integers(1, 41)), replace=False)
+        counts = {int(k): int(n) for k, n in zip(lengths, r.integers(1, 301, len(lengths)), strict=True)}
+        assert sequences(packing.plan(counts)) <= sequences(packing.best_fit(histogram(counts), 1024))
+
+
+def test_patterns_fill_what_single_lengths_leave():
+    # pairs that only fit each other: patterns find all of them
+    counts = {k: 50 for k in range(300, 725) if k != 512}
+    found = packing.plan(counts)
+    assert sequences(found) <= 1.01 * sum(k * n for k, n in counts.items()) / 1024
+    for plan in packing.candidates(counts):
+        assert sum(len(parts) * n for parts, n in plan) == sum(counts.values())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the given tables")
+def test_plan_of_given_documents_is_near_the_lower_bound():
+    import pyarrow.parquet as pq
+
+    texts, counts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).combine_chunks(), Counter()
+    own = Encoder("byte_bpe_50k.json")
+    for k in range(0, len(texts), 500):
+        for ids in own.ended(texts.slice(k, 500), 2):
+            first = (len(ids) - 1) % 1024 + 1
+            counts[first] += 1
+            counts[1024] += (len(ids) - first) // 1024
+    least = -(-sum(k * n for k, n in counts.items()) // 1024)
+    assert least <= sequences(packing.plan(counts)) <= least + 2
 
 
 def encoded(texts):
@@ -257,6 +317,21 @@ def test_packed_pieces(spark):
     assert packing.pack(docs(spark, [])).collect() == []
 
 
+def test_packed_repeats_are_packed_each(spark):
+    text = prose(700, 250)
+    rows = [(1, text), (1, text), (1, text), (2, "x"), (2, "x"), (2, None), (None, "x")]
+    out = packing.pack(docs(spark, rows).selectExpr("doc_id", "text", "1 as length", "2 as rank", "3 as piece", "4 as part")).collect()
+    want = Counter()
+    for (i, _), ids in zip(rows, encoded([t for _, t in rows]), strict=True):
+        ids, at = ids + [2], 0
+        for k, n in enumerate([(len(ids) - 1) % 1024 + 1, *[1024] * ((len(ids) - 1) // 1024)]):
+            want[i, k, at, n, zlib.crc32(struct.pack(f"<{n}I", *ids[at : at + n]))] += 1
+            at += n
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == want
+    taken = sorted((r.sequence_id, r.offset, r.length) for r in out)
+    assert all(s != t or a + n == b for (s, a, n), (t, b, _) in zip(taken, taken[1:], strict=False)) and all(a + n <= 1024 for _, a, n in taken)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3000), min_size=0, max_size=300))
 def test_elias_fano(gaps):
@@ -480,3 +555,140 @@ def test_oracles_are_sql_of_registered_queries():
     import __spark_entry__ as entry
 
     assert all(isinstance(x, str) for x in entry.oracle_sql().values()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def paragraphs(n, seed, size=40):
+    return [prose(size, seed + k) for k in range(n)]
+
+
+@pytest.mark.parametrize("start, end", [("<article>", "</article>"), ("<main>", "</main>"), ("", "")])
+def test_names_and_attribute_values_that_are_no_markup_keep_the_text(start, end):
+    texts = paragraphs(6, 2000)
+    titled = f"<body>{start}<div title='The hidden costs'><p>{texts[0]}<p>{texts[1]}</div>{end}"
+    assert html_text.main_text(titled) == "\n".join(texts[:2])
+    for name in ("elementor-widget", "widget", "wp-block-widget col"):
+        page = f"<body>{start}{''.join(f'<div class={chr(34)}{name}{chr(34)}><p>{t}</p></div>' for t in texts)}{end}"
+        assert html_text.main_text(page) == "\n".join(texts), name
+    for attribute in ("aria-label='the hidden costs'", "id=related-work", "id='social-history'", "class='not-hidden'", "data-x='display:none'", "hidden=until-found"):
+        page = f"<body>{start}<p>{texts[0]}</p><section {attribute}><h2>Head</h2><p>{texts[1]}</section><p>{texts[2]}</p>{end}"
+        assert html_text.main_text(page) == f"{texts[0]}\n" + f"Head\n{texts[1]}\n{texts[2]}", attribute
+
+
+@pytest.mark.parametrize("start, end", [("<article>", "</article>"), ("", "")])
+@pytest.mark.parametrize("part", [
+    "<div class='post-comments'><p>{}</div>", "<section id=comments-section><p>{}</section>", "<ul class='related-stories'><li><a href=1>{}</a></ul>", "<div hidden><p>{}</div>", "<p aria-hidden='true'>{}</p>",
+    "<div style='color: red; display: none'><p>{}</div>", "<div class=commentList><p>{}</div>", "<div role='complementary'>{}</div>", "<div class='ad-box-300'>{}</div>", "<nav>{}</nav>",
+])
+def test_what_is_no_article_stays_cut_beside_long_text(start, end, part):
+    texts = paragraphs(4, 2100)
+    page = f"<body>{start}<p>{texts[0]}</p>{part.format(prose(20, 2200))}<p>{texts[1]}<p>{texts[2]}<p>{texts[3]}{end}"
+    assert html_text.main_text(page) == "\n".join(texts)
+
+
+def test_density_leaves_link_lists_that_no_name_marks():
+    links = "".join(f"<li><a href={k}>{prose(4, 2300 + k)}</a>" for k in range(25))
+    texts = paragraphs(5, 2400)
+    page = f"<body><div><ul>{links}</ul></div><div><div><h1>Title</h1>{''.join(f'<p>{t}' for t in texts)}</div><div><ul>{links}</ul></div></div><div><a href=x>{prose(3, 2450)}</a> {prose(2, 2451)}</div>"
+    got = html_text.main_text(page)
+    assert got.startswith("Title\n" + "\n".join(texts)) and prose(4, 2305) not in got
+
+
+def test_pages_with_odd_rows_and_columns(spark):
+    rows = spark.createDataFrame([(1, "u", PAGE, "x"), (None, None, "", "y"), (2, None, None, None), (2, None, None, None)], "page_id long, url string, html string, text string")
+    got = Counter((r.page_id, r.url, r.n_chars) for r in html_text.extract(rows).collect())
+    assert got == Counter({(1, "u", 37): 1, (None, None, 0): 1, (2, None, 0): 2})
+
+
+def test_toxicity_counts_an_id_once(spark):
+    rows = [(i, prose(40, 500 + i) + (" gribbleword" if i % 3 == 0 else "")) for i in range(150)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)] * 2, "doc_id long, toxic int")
+    repeated = docs(spark, rows).union(docs(spark, [(1, prose(40, 501))]).select(F.explode(F.sequence(F.lit(1), F.lit(20_000))).alias("k"), "*").drop("k"))
+    once, often = toxicity.train(docs(spark, rows), labels), toxicity.train(repeated, labels)
+    assert (once.buckets == often.buckets).all() and np.allclose(once.weights, often.weights) and np.allclose(once.factors, often.factors)
+    extra = docs(spark, rows).selectExpr("*", "1 as toxic", "2 as mark", "3 as terms", "4 as score")
+    assert toxicity.score(extra, toxicity.train(extra, labels)).count() == 150
+
+
+def plain_finds(rows, items):
+    """All places of all items in all documents, one by one."""
+    split = lambda t: [w for w in re.split("[^0-9A-Za-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+    out = set()
+    for d, t in rows:
+        for i, item in items:
+            x, y = split(t), split(item)
+            size = min(13, len(y))
+            if size >= 6 and any(100 * sum(a == b for a, b in zip(x[p : p + size], y[q : q + size], strict=True)) >= 80 * size for p in range(len(x) - size + 1) for q in range(len(y) - size + 1)):
+                out.add((d, i))
+    return out
+
+
+def test_contaminated_against_a_plain_scan_in_many_blocks(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    items, rows = [], []
+    for i in range(14):
+        item = prose(int(r.integers(6, 40)), 2500 + i).split()
+        items.append((i, " ".join(item)))
+        for k in range(4):
+            at = int(r.integers(0, max(1, len(item) - 12)))
+            copy = item[at : at + int(r.integers(5, 30))]
+            for c in r.choice(len(copy), int(r.integers(0, 1 + len(copy) // 4)), replace=False):
+                copy[c] = f"other{c}"
+            rows.append((4 * i + k, prose(int(r.integers(0, 40)), 2600 + 4 * i + k) + " " + " ".join(copy) + ". " + prose(int(r.integers(0, 30)), 2700 + 4 * i + k)))
+    items += [(100, items[3][1]), (101, None), (102, "")]
+    rows += [(900 + k, rows[k][1]) for k in range(5)] + [(950, " ".join(t for _, t in rows)), (951, None), (952, "")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = plain_finds(rows, items)
+    extra = docs(spark, rows).selectExpr("*", "1 as item", "2 as n_equal")
+    assert {(x.doc_id, x.item_id) for x in decontamination.contaminated(extra, benchmark).collect()} == want and len(want) > 20
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 60)
+    assert {(x.doc_id, x.item_id) for x in decontamination.contaminated(extra, benchmark).collect()} == want
+
+
+def as_documents(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_near_dedup_stage_loses_no_text_of_a_repeated_id(spark):
+    import corpus_pipeline
+
+    a, b = prose(60, 2800), prose(60, 2801)
+    rows = [(3, a), (5, a), (5, b), (6, b), (7, None), (None, a), (8, ""), (9, a)]
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, as_documents(spark, rows), "").collect())
+    assert {t for _, t in got} == {a, b, None, ""} and got == Counter([(3, a), (5, a), (5, b), (7, None), (None, a), (8, "")])
+
+
+def test_stages_of_empty_tables_and_hot_groups(spark, tmp_path):
+    import corpus_pipeline
+
+    as_documents(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, as_documents(spark, []), str(tmp_path))
+        assert out.collect() == [] and out.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+    passage = prose(60, 2900)
+    hot = [(i, prose(30, 2901)) for i in range(200)] + [(300 + i, prose(60, 3000 + i) + " " + passage + " " + prose(60, 3100 + i)) for i in range(60)]
+    kept = corpus_pipeline.near_dedup(spark, as_documents(spark, hot), str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} == {0} | set(range(300, 360))
+    cut = {r.doc_id: r for r in corpus_pipeline.substring_dedup(spark, kept, str(tmp_path)).collect()}
+    assert passage in cut[300].text and all(passage not in cut[i].text and cut[i].n_chars == len(cut[i].text) for i in range(301, 360))
+
+
+def test_similar_passages_are_recalled(spark):
+    """Passages of 52 to 120 words of which one word is changed, put in or left out, with stock phrases around: 0.95 found."""
+    r, rows, want = np.random.default_rng(9), [], set()
+    stock = [prose(12, 3200 + k) for k in range(3)]
+    for k in range(120):
+        size = int(r.integers(52, 121))
+        passage = prose(size, 3300 + k).split()
+        copy, at = passage.copy(), int(r.integers(0, size))
+        copy[at : at + int(k % 3 != 1)] = [] if k % 3 == 2 else [f"new{k}"]
+        if k % 3 == 2 and size == 52:
+            continue
+        for i, p in ((2 * k, passage), (2 * k + 1, copy)):
+            rows.append((i, " ".join([prose(30, 3500 + i), stock[k % 3], *p, stock[(k + i) % 3], prose(30, 3800 + i)])))
+        want.add((2 * k + 1, 2 * k))
+    found = substrings.repeated_passages(docs(spark, rows + rows[:4]))
+    got = {(x.doc_id, x.source_id) for x in found.collect()}
+    assert len(got & want) >= 0.95 * len(want) and not got - want and found.count() == found.distinct().count()
