@@ -54,7 +54,7 @@ def test_figures_without_losses_and_without_trades(spark):
 def test_gates_folds_and_lookups(spark):
     day = dt.date(2025, 1, 1)
     rows = spark.createDataFrame([("A", day + dt.timedelta(k), k % 3 - 1, k % 3 - 1, 0.2, 0.5, 0.3) for k in range(60)], "symbol string, bar_date date, target_label int, prediction int, p_bear double, p_neutral double, p_bull double")
-    with pytest.raises(ValueError, match="Insufficient data"):
+    with pytest.raises(ValueError, match="too few rows"):
         model.train_model(rows)
     fold = model.last_fold(rows).groupBy("fold").count().collect()
     assert {x["fold"]: x["count"] for x in fold} == {"fit": 50, "validate": 10}

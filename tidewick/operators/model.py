@@ -1,18 +1,21 @@
-"""Splits, weights, the two-model ensemble and its metrics."""
+"""Splits, weights, the ensemble of two boosters and its metrics."""
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.classification import GBTClassificationModel
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from . import boosting
+from .boosting import CLASSES
 from .features import BINARY, COLUMNS
 
-CLASSES = (-1, 0, 1)
+#: The model's inputs in their order: scaled ones, then those of few values.
+INPUTS = [c for c in COLUMNS if c not in BINARY] + BINARY
 
 
 def time_split(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -55,27 +58,48 @@ def last_fold(rows: DataFrame, folds: int = 5) -> DataFrame:
 LEAST_TRAIN, LEAST_TEST = 100, 20
 
 
-def train_model(rows: DataFrame, cfg: Config = DEFAULT, **settings: int) -> PipelineModel:
+def train_model(rows: DataFrame, cfg: Config = DEFAULT, boosters: tuple[boosting.Booster, ...] = (boosting.FIRST, boosting.SECOND)) -> PipelineModel:
     """`train` on the part before the test months; raises ValueError if either part has too few rows."""
     split = time_split(rows, cfg)
     n = {r["part"]: r["n"] for r in split.groupBy("part").agg(F.count("*").alias("n")).collect()}  # two rows at most
     if n.get("train", 0) < LEAST_TRAIN or n.get("test", 0) < LEAST_TEST:
-        raise ValueError(f"Insufficient data: train={n.get('train', 0)}, test={n.get('test', 0)}")
-    return train(split.where("part = 'train'"), **settings)
+        raise ValueError(f"too few rows: {n.get('train', 0)} to train on ({LEAST_TRAIN} needed), {n.get('test', 0)} to test on ({LEAST_TEST} needed)")
+    return train(split.where("part = 'train'"), boosters)
 
 
-def train(rows: DataFrame, trees: int = 20, depth: int = 6, seed: int = 42) -> PipelineModel:
-    """A forest and a logistic regression over scaled inputs, weighted by class; labels -1, 0, 1 become 0, 1, 2."""
-    weights = F.broadcast(class_weights(rows).select("target_label", "weight"))  # a row for each class
-    data = rows.join(weights, "target_label").withColumn("label", (F.col("target_label") + 1).cast("double"))
-    smooth = [c for c in COLUMNS if c not in BINARY]
-    steps = [
-        VectorAssembler(inputCols=smooth, outputCol="raw_inputs"), StandardScaler(inputCol="raw_inputs", outputCol="scaled_inputs", withMean=True),
-        VectorAssembler(inputCols=["scaled_inputs", *BINARY], outputCol="inputs"),
-        RandomForestClassifier(featuresCol="inputs", numTrees=trees, maxDepth=depth, seed=seed, weightCol="weight", probabilityCol="p_forest", predictionCol="y_forest", rawPredictionCol="r_forest"),
-        LogisticRegression(featuresCol="inputs", maxIter=20, regParam=0.01, weightCol="weight", probabilityCol="p_logistic", predictionCol="y_logistic", rawPredictionCol="r_logistic"),
-    ]
-    return Pipeline(stages=steps).fit(data)
+def train(rows: DataFrame, boosters: tuple[boosting.Booster, ...] = (boosting.FIRST, boosting.SECOND)) -> PipelineModel:
+    """Scaling and two boosters of three binary ensembles each, as one pipeline.
+
+    Inputs of many values are centred and divided by their population deviation over all `rows`. The last fold by date
+    validates and stops the boosters; the rows before it are fitted, weighted by class.
+    """
+    kept = rows.select("bar_date", "target_label", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in COLUMNS]).persist()
+    try:
+        folds = last_fold(kept)
+        weights = F.broadcast(class_weights(folds.where("fold = 'fit'")).select("target_label", "weight"))  # a row for each class
+        weight = F.when(F.col("fold") == "validate", 1.0).otherwise(F.coalesce("weight", F.lit(1.0)))
+        data = folds.join(weights, "target_label", "left").withColumns({"weight": weight, "validates": F.col("fold") == "validate"})
+        smooth = [c for c in COLUMNS if c not in BINARY]
+        n = kept.count()
+        steps = [
+            VectorAssembler(inputCols=smooth, outputCol="raw_inputs"), StandardScaler(inputCol="raw_inputs", outputCol="sample_inputs", withMean=True),
+            # from the sample deviation to that of the population
+            ElementwiseProduct(scalingVec=Vectors.dense([(n / max(1, n - 1)) ** 0.5] * len(smooth)), inputCol="sample_inputs", outputCol="scaled_inputs"),
+            VectorAssembler(inputCols=["scaled_inputs", *BINARY], outputCol="inputs"),
+        ]
+        scaling = Pipeline(stages=steps).fit(data)
+        return PipelineModel([*scaling.stages, *boosting.fit(scaling.transform(data), boosters)])
+    finally:
+        kept.unpersist()
+
+
+def boosters_of(model: PipelineModel) -> dict[str, list[GBTClassificationModel]]:
+    """The binary models of each booster, classes in order."""
+    out: dict[str, list[GBTClassificationModel]] = {}
+    for stage in model.stages:
+        if isinstance(stage, GBTClassificationModel):
+            out.setdefault(stage.getPredictionCol()[2:].rpartition("_")[0], []).append(stage)
+    return out
 
 
 def ensemble(scored: DataFrame, first: str, second: str) -> DataFrame:
@@ -87,11 +111,17 @@ def ensemble(scored: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """Probabilities of fitted models; inputs that are missing count as 0."""
-    given = rows.withColumns({c: F.lit(0.0) for c in COLUMNS if c not in rows.columns})
-    scored = model.transform(given.withColumn("weight", F.lit(1.0)))
-    arrays = scored.select(*rows.columns, vector_to_array("p_forest").alias("_a"), vector_to_array("p_logistic").alias("_b"))
-    return ensemble(arrays, "_a", "_b").drop("_a", "_b")
+    """Adds the probabilities and the class by both boosters together, and the class by each; missing inputs count as 0."""
+    arrays = [boosting.probabilities(name) for name in boosters_of(model)]
+    # the rows as they came stay aside, whatever the pipeline makes of its inputs
+    aside = rows.select(F.struct(*rows.columns).alias("_row"))
+    filled = aside.select("_row", *[F.coalesce(F.col("_row")[c].cast("double"), F.lit(0.0)).alias(c) if c in rows.columns else F.lit(0.0).alias(c) for c in COLUMNS])
+    scored = model.transform(filled).select("_row", arrays[0].alias("_a"), arrays[-1].alias("_b"))
+    mean = F.zip_with("_a", "_b", lambda a, b: (a + b) / 2)
+    label = lambda c: (F.array_position(c, F.array_max(c)) - 2).cast("int")
+    said = [F.get(mean, F.lit(k)).alias(name) for k, name in enumerate(("p_bear", "p_neutral", "p_bull"))]
+    names = [c for c in rows.columns if c not in ("p_bear", "p_neutral", "p_bull", "prediction", "first_label", "second_label")]
+    return scored.select(*[F.col("_row")[c].alias(c) for c in names], *said, label(mean).alias("prediction"), label(F.col("_a")).alias("first_label"), label(F.col("_b")).alias("second_label"))
 
 
 def momentum_scorer(rows: DataFrame) -> DataFrame:
@@ -103,9 +133,22 @@ def momentum_scorer(rows: DataFrame) -> DataFrame:
 
 
 def importances(model: PipelineModel, top_n: int | None = None) -> list[tuple[str, float]]:
-    """Features and their weights in the forest, the `top_n` largest or all."""
-    names = [c for c in COLUMNS if c not in BINARY] + BINARY
-    return sorted(zip(names, model.stages[3].featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])[:top_n]
+    """Features and their mean weight in the trees of all boosters and classes, the `top_n` largest or all."""
+    every = [m.featureImportances.toArray() for models in boosters_of(model).values() for m in models]
+    mean = sum(every) / len(every)
+    return sorted(zip(INPUTS, mean.tolist(), strict=True), key=lambda x: (-x[1], x[0]))[:top_n]
+
+
+def explain(model: PipelineModel, rows: DataFrame, folder: str) -> DataFrame:
+    """Rows symbol, bar_date, class, feature, value: Shapley values of the first booster; `feature` is a place in INPUTS.
+
+    As boosting.attributions has it: of many rows the first ones by symbol and date are explained; trees are written
+    below `folder` and read again.
+    """
+    first = next(iter(boosters_of(model).values()))
+    filled = rows.select("symbol", "bar_date", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in COLUMNS])
+    scaled = PipelineModel([s for s in model.stages if not isinstance(s, GBTClassificationModel)]).transform(filled)
+    return boosting.attributions(first, scaled, ["symbol", "bar_date"], folder)
 
 
 def evaluate(scored: DataFrame) -> DataFrame:
@@ -116,16 +159,17 @@ def evaluate(scored: DataFrame) -> DataFrame:
 
 
 def named(scored: DataFrame) -> DataFrame:
-    """Rows symbol, bar_date, predicted_label, predicted_class, the probabilities and their largest, as a user reads them."""
+    """Rows symbol, bar_date, predicted_label, predicted_class, the probabilities and their largest, as a user reads them,
+    and the class by each booster where a fitted model has scored."""
     label = F.when(F.col("prediction") < 0, "bearish").when(F.col("prediction") > 0, "bullish").otherwise("neutral")
     probabilities = [F.round(c, 4).alias(name) for c, name in (("p_bear", "prob_bearish"), ("p_neutral", "prob_neutral"), ("p_bull", "prob_bullish"))]
-    return scored.select("symbol", "bar_date", F.col("prediction").alias("predicted_label"), label.alias("predicted_class"), *probabilities, F.round(F.greatest("p_bear", "p_neutral", "p_bull"), 4).alias("confidence"))
+    return scored.select("symbol", "bar_date", F.col("prediction").alias("predicted_label"), label.alias("predicted_class"), *probabilities, F.round(F.greatest("p_bear", "p_neutral", "p_bull"), 4).alias("confidence"), *[c for c in ("first_label", "second_label") if c in scored.columns])
 
 
 def predict_single(scored: DataFrame, symbol: str, date: str) -> dict:
     """The named prediction of one bar; a dict with `error` if there is none."""
     found = named(scored.where((F.col("symbol") == symbol) & (F.col("bar_date") == F.lit(date).cast("date")))).first()
-    return found.asDict() if found else {"symbol": symbol, "date": date, "error": f"No data found for {symbol} on {date}"}
+    return found.asDict() if found else {"symbol": symbol, "date": date, "error": f"no row of {symbol} on {date}"}
 
 
 def confusion_matrix(scored: DataFrame) -> DataFrame:

@@ -6,12 +6,15 @@ Every query reads the given tables; bars come from order lines as ticks. Doubles
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import backtest, clean, features, indicators, model, patterns, signals
+from ..operators import backtest, boosting, clean, features, indicators, model, patterns, signals
 from ..sources import bars as source
+from ..sources.shared import folder, stored
 from ..streaming import bars as live
 from .oracle import clipped, r, recent, sql
 
@@ -173,12 +176,36 @@ query("signals_from_output", sql("sig", f"SELECT symbol, bar_date, {r('p_bear',
     lambda s, d: signals.with_probabilities(features.scoring_rows(bars(s, d)), scored(s, d)).select(*KEY, "p_bear", "p_neutral", "p_bull"))
 
 
-@query("model_predict")
-def model_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probabilities of the fitted ensemble on the test part."""
-    split = model.time_split(feature_rows(spark, sf_dir)).persist()
-    fitted = model.train(split.where("part = 'train'"))
-    return model.predict(fitted, split.where("part = 'test'")).select(*KEY, "target_label", "p_bear", "p_neutral", "p_bull", "prediction")
+#: Fitted models by session and tables; each is a few trees.
+_FITTED: dict[tuple[str, str], PipelineModel] = {}
+
+
+def fitted(spark: SparkSession, sf_dir: str) -> PipelineModel:
+    """Both boosters, with few rounds, on the rows before the test months; fitted once for a session's tables."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _FITTED:
+        few = tuple(replace(b, rounds=8, depth=4, step=0.3) for b in (boosting.FIRST, boosting.SECOND))
+        _FITTED[key] = model.train_model(stored(feature_rows(spark, sf_dir)), boosters=few)
+    return _FITTED[key]
+
+
+def tested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test months' rows with the fitted model's output."""
+    return model.predict(fitted(spark, sf_dir), model.time_split(feature_rows(spark, sf_dir)).where("part = 'test'"))
+
+
+query("model_predict")(lambda s, d: tested(s, d).select(*KEY, "target_label", "p_bear", "p_neutral", "p_bull", "prediction", "first_label", "second_label"))
+query("model_evaluate")(lambda s, d: model.evaluate(tested(s, d)))
+query("model_classes")(lambda s, d: model.class_report(tested(s, d)))
+query("model_named")(lambda s, d: model.named(model.predict(fitted(s, d), signals.latest_rows(features.scoring_rows(bars(s, d))))))
+query("model_signals")(lambda s, d: signals.signals(tested(s, d)).select(*KEY, "signal", "signal_strength", "confidence_score", "confidence_value", "entry_price", "stoploss", "reject_signal"))
+
+
+@query("model_attributions")
+def model_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty inputs that move the first booster's margins most, over the first rows of the test months."""
+    rows = model.time_split(feature_rows(spark, sf_dir)).where("part = 'test'")
+    return boosting.top_features(model.explain(fitted(spark, sf_dir), rows, folder(spark, "trees")), model.INPUTS)
 
 
 # signals
