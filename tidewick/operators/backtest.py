@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DATED_HOLIDAYS, DEFAULT, Config
+from ..functions.fold import SEGMENT, folded
 from ..functions.windows import by_symbol, lag
 
 
@@ -69,16 +70,16 @@ def trades(signals: DataFrame, bars: DataFrame, cfg: Config = DEFAULT) -> DataFr
     )
 
 
-_WALKED = "run {run}, seq int, signal_date date, symbol string, shares long, notional double, pnl double, portfolio_after double, net_return_pct double"
+_ORDER = ["signal_date", "symbol", "entry_open", "stoploss", "net_return_pct"]
 
 
-def _walk(done: DataFrame, cfg: Config) -> DataFrame:
-    """The trades of each run in order of signal date and symbol, with the value after each, in time linear in them."""
+def _walk(done: DataFrame, cfg: Config, segment: int = SEGMENT) -> DataFrame:
+    """The trades of each run in order of signal date and symbol, with the value and its peak after each."""
     runs = done if "run" in done.columns else done.withColumn("run", F.lit(0))
 
-    def fold(trades: pd.DataFrame) -> pd.DataFrame:
-        trades = trades.sort_values(["signal_date", "symbol", "entry_open", "stoploss", "net_return_pct"], kind="stable")
-        value, rows = cfg.capital, []
+    def step(trades: pd.DataFrame, left: tuple | None) -> pd.DataFrame:
+        value, peak = left or (cfg.capital, cfg.capital)
+        rows = []
         for entry, stop, pct in zip(trades["entry_open"].tolist(), trades["stoploss"].tolist(), trades["net_return_pct"].tolist(), strict=True):
             risk, most = abs(entry - stop), cfg.max_notional * value
             shares = max(1, math.floor(cfg.risk * value / risk)) if risk > 0 else 0
@@ -87,32 +88,62 @@ def _walk(done: DataFrame, cfg: Config) -> DataFrame:
             notional = shares * entry
             pnl = notional * (pct / 100)
             value += pnl
-            rows.append((shares, notional, pnl, value))
-        shares, notional, pnl, after = zip(*rows, strict=True)
-        return pd.DataFrame({
-            "run": trades["run"], "seq": range(1, len(rows) + 1), "signal_date": trades["signal_date"], "symbol": trades["symbol"],
-            "shares": shares, "notional": notional, "pnl": pnl, "portfolio_after": after, "net_return_pct": trades["net_return_pct"],
-        })
+            peak = max(peak, value)
+            rows.append((shares, notional, pnl, value, peak))
+        return trades.assign(**dict(zip(("shares", "notional", "pnl", "portfolio_after", "peak"), zip(*rows, strict=True), strict=True)))
 
-    kind = dict(runs.dtypes)["run"]
-    return runs.select("run", "signal_date", "symbol", "entry_open", "stoploss", "net_return_pct").groupBy("run").applyInPandas(fold, _WALKED.format(run=kind))
+    added = "shares long, notional double, pnl double, portfolio_after double, peak double"
+    return folded(runs.select("run", *_ORDER), "run", _ORDER, step, added, ["portfolio_after", "peak"], segment)
 
 
-def portfolio(done: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def portfolio(done: DataFrame, cfg: Config = DEFAULT, segment: int = SEGMENT) -> DataFrame:
     """The value after each trade, in order of signal date and symbol, with shares and notional.
 
-    Each step depends on the value before it, so a run is one fold in one task: its trades, six numbers each, are as many
-    as the signals of a backtest, whatever the bars hold. Runs of different strategies fold side by side if there is a
-    `run` column.
+    Each step depends on the value before it, so a run is folded in segments, one after the other, and no task holds more
+    than a segment. Runs of different strategies fold side by side if there is a `run` column.
     """
-    out = _walk(done, cfg).drop("net_return_pct")
+    out = _walk(done, cfg, segment).select("run", F.col("_seq").cast("int").alias("seq"), "signal_date", "symbol", "shares", "notional", "pnl", "portfolio_after")
     return out if "run" in done.columns else out.drop("run")
 
 
-def drawdown(curve: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """The curve with its peak so far (the capital at first) and the fall from it, for each run if there is a `run` column."""
+def position_limits(done: DataFrame, most_open: int, segment: int = SEGMENT) -> DataFrame:
+    """Trades with `taken`: in order of entry date, signal date and symbol, a trade is taken unless `most_open` of those
+    taken before are still open, or one of the same symbol. A trade is open through its exit date.
+
+    For each run if there is a `run` column. What goes from segment to segment is the open trades, `most_open` at most.
+    """
+    runs = done if "run" in done.columns else done.withColumn("run", F.lit(0))
+
+    def step(trades: pd.DataFrame, left: tuple | None) -> pd.DataFrame:
+        held = dict(zip(*left, strict=True)) if left and left[0] is not None else {}
+        taken = []
+        for symbol, entry, leave in zip(trades["symbol"].tolist(), trades["entry_date"].tolist(), trades["exit_date"].tolist(), strict=True):
+            held = {s: d for s, d in held.items() if d >= entry}
+            taken.append(len(held) < most_open and symbol not in held)
+            if taken[-1]:
+                held[symbol] = leave
+        last = [None] * (len(trades) - 1)
+        return trades.assign(taken=taken, held=[*last, list(held)], until=[*last, list(held.values())])
+
+    order = ["entry_date", "signal_date", "symbol", "exit_date", "entry_price", "net_return_pct"]
+    out = folded(runs, "run", order, step, "taken boolean, held array<string>, until array<date>", ["held", "until"], segment)
+    return out.select(*done.columns, "taken")
+
+
+def drawdown(curve: DataFrame, cfg: Config = DEFAULT, segment: int = SEGMENT) -> DataFrame:
+    """The curve with its peak so far (the capital at first) and the fall from it, for each run if there is a `run` column.
+
+    The peak is one over the segments before and one within the segment, so no task holds a run's curve.
+    """
     runs = ["run"] if "run" in curve.columns else []
-    return _fallen(curve, runs, cfg).select(*runs, "seq", "portfolio_after", "peak", "drawdown")
+    rows = curve.select(*runs, "seq", "portfolio_after", F.expr(f"(seq - 1) div {segment}").alias("_segment"))
+    highs = rows.groupBy(*runs, "_segment").agg(F.max("portfolio_after").alias("_high"))
+    earlier = (Window.partitionBy(*runs) if runs else Window).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    before = highs.select(*runs, "_segment", F.max("_high").over(earlier).alias("_before"))  # a row for each segment
+    inside = Window.partitionBy(*runs, "_segment").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    peak = F.greatest(F.max("portfolio_after").over(inside), F.col("_before"), F.lit(cfg.capital))
+    out = rows.join(before, [*runs, "_segment"]).withColumn("peak", peak)
+    return out.select(*runs, "seq", "portfolio_after", "peak", ((F.col("portfolio_after") - F.col("peak")) / F.col("peak")).alias("drawdown"))
 
 
 def equity_points(curve: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -124,26 +155,20 @@ def equity_points(curve: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return points.withColumn("above", F.col("portfolio_after") >= cfg.capital)
 
 
-def _fallen(curve: DataFrame, runs: list[str], cfg: Config) -> DataFrame:
-    w = Window.partitionBy(*runs).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    peak = F.greatest(F.max("portfolio_after").over(w), F.lit(cfg.capital))
-    return curve.withColumn("peak", peak).withColumn("drawdown", (F.col("portfolio_after") - F.col("peak")) / F.col("peak"))
-
-
 def metrics(done: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """One row of figures for each run (for all trades without a `run` column); none without trades.
 
     Without losses the profit factor is infinite. Trades are read once.
     """
     runs = ["run"] if "run" in done.columns else []
-    curve = _fallen(_walk(done, cfg), ["run"], cfg)
+    curve = _walk(done, cfg).withColumn("drawdown", (F.col("portfolio_after") - F.col("peak")) / F.col("peak"))
     r = F.col("net_return_pct") / 100
     won, lost = F.coalesce(F.sum(F.when(r > 0, r)), F.lit(0.0)), F.abs(F.coalesce(F.sum(F.when(r <= 0, r)), F.lit(0.0)))
     rows = curve.groupBy("run").agg(
         F.count("*").alias("total_trades"), F.sum((r > 0).cast("int")).cast("long").alias("wins"), F.sum((r <= 0).cast("int")).cast("long").alias("losses"),
         F.coalesce(F.avg(F.when(r > 0, r)) * 100, F.lit(0.0)).alias("avg_win_pct"), F.coalesce(F.avg(F.when(r <= 0, r)) * 100, F.lit(0.0)).alias("avg_loss_pct"),
         F.when(lost == 0, F.lit(float("inf"))).otherwise(won / F.nullif(lost, F.lit(0.0))).alias("profit_factor"), (F.avg(r) / (F.stddev_pop(r) + 1e-9) * F.sqrt(F.lit(252.0))).alias("sharpe_ratio"),
-        F.max_by("portfolio_after", "seq").alias("final_equity"), F.min("drawdown").alias("_dd"),
+        F.max_by("portfolio_after", "_seq").alias("final_equity"), F.min("drawdown").alias("_dd"),
     )
     growth = F.col("final_equity") / cfg.capital
     return rows.select(

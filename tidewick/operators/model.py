@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..functions.prefix import running
 from . import boosting
 from .boosting import CLASSES
 from .features import BINARY, COLUMNS
@@ -210,13 +211,12 @@ def confusion_grid(scored: DataFrame) -> DataFrame:
 def auc_ovr(scored: DataFrame) -> DataFrame:
     """One class against the rest: rank statistics with mean ranks for ties, from counts of each distinct score.
 
-    Scores are counted before they are ranked, so the running count goes over distinct scores, one class per task.
+    Scores are counted before they are ranked; the running count goes over range partitions of all classes' scores.
     """
     scores = F.array(*[F.struct(F.lit(c).alias("label"), F.col(p).alias("score")) for c, p in zip(CLASSES, ("p_bear", "p_neutral", "p_bull"), strict=True)])
     rows = scored.select("target_label", F.explode(scores).alias("x")).select("x.label", F.round("x.score", 9).alias("score"), (F.col("target_label") == F.col("x.label")).cast("long").alias("hit"))
     ties = rows.groupBy("label", "score").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy("label").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = ties.withColumn("rank", below + (F.col("n") + 1) / 2)
+    ranked = running(ties, ["label"], ["score"], F.col("n"), "upto").withColumn("rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2)
     sums = ranked.groupBy("label").agg(F.sum(F.col("rank") * F.col("hits")).alias("r"), F.sum("hits").alias("pos"), F.sum("n").alias("n"))
     pos, neg = F.col("pos"), F.col("n") - F.col("pos")
     return sums.select("label", ((F.col("r") - pos * (pos + 1) / 2) / F.nullif(pos * neg, F.lit(0))).alias("auc"))

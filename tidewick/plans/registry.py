@@ -251,6 +251,12 @@ def bt_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 for _name, _by, _least in (("pattern_winrates", "pattern_detected", 2), ("confidence_winrates", "confidence_score", 1)):
     query(_name, sql("trades", f"SELECT {_by}, count(*) AS n, round(avg(CAST(win AS INT)) * 100, 1) + 0.0 AS win_rate_pct FROM tr GROUP BY {_by} HAVING count(*) >= {_least}"))(lambda s, d, b=_by, n=_least: backtest.win_rates(done_trades(s, d), b, n))
+query("position_limits", sql("trades", """SELECT symbol, signal_date, entry_date, exit_date, taken FROM (WITH RECURSIVE
+o AS (SELECT symbol, signal_date, entry_date, exit_date, year(signal_date) AS run, row_number() OVER (PARTITION BY year(signal_date) ORDER BY entry_date, signal_date, symbol, exit_date, entry_price, net_return_pct) AS seq FROM tr),
+f AS (SELECT DISTINCT run, 0::BIGINT AS seq, NULL::VARCHAR AS symbol, NULL::DATE AS signal_date, NULL::DATE AS entry_date, NULL::DATE AS exit_date, false AS taken, []::STRUCT(s VARCHAR, d DATE)[] AS held FROM o
+  UNION ALL SELECT run, seq, symbol, signal_date, entry_date, exit_date, ok, CASE WHEN ok THEN list_append(live, {'s': symbol, 'd': exit_date}) ELSE live END FROM (
+    SELECT *, len(live) < 3 AND len(list_filter(live, lambda x: x.s = symbol)) = 0 AS ok FROM (SELECT o.*, list_filter(f.held, lambda x: x.d >= o.entry_date) AS live FROM f JOIN o ON o.run = f.run AND o.seq = f.seq + 1)))
+SELECT * FROM f WHERE seq > 0)"""))(lambda s, d: backtest.position_limits(done_trades(s, d).withColumn("run", F.year("signal_date")), 3).select("symbol", "signal_date", "entry_date", "exit_date", "taken"))
 query("cum_return", sql("n", "SELECT symbol, bar_date, round(exp(sum(ln(1 + (close / close1 - 1))) OVER (PARTITION BY symbol ORDER BY bar_date)), 4) + 0.0 AS cumulative FROM n"))(
     lambda s, d: backtest.cumulative_return(bars(s, d).withColumn("ret", F.col("close") / F.lag("close").over(indicators.by_symbol()) - 1), "ret").select(*KEY, "cumulative"))
 query("prob_hist", sql("scored", "SELECT CAST(least(floor(p_bull * 50), 49) AS INT) AS bin, count(*) AS n FROM sp GROUP BY 1"))(lambda s, d: backtest.histogram(scored(s, d), "p_bull"))

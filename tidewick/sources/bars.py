@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
+from ..functions.prefix import ranked
 
 BAR_SCHEMA = "symbol string, bar_date date, open double, high double, low double, close double, adj_close double, volume bigint"
 CSV_SCHEMA = "Date date, Open double, High double, Low double, Close double, Volume bigint"
@@ -65,10 +66,9 @@ def read_signals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ordered_distinct(rows: DataFrame, column: str, *order: str) -> DataFrame:
-    """Each value once, with its place by first occurrence in `order`. One row per value is ranked, whatever the rows."""
+    """Each value once, with its place by first occurrence in `order`. One row per value is ranked, over range partitions."""
     firsts = rows.groupBy(column).agg(F.min(F.struct(*order)).alias("_first"))
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_first", column))
-    return firsts.select(column, place.alias("place"))
+    return ranked(firsts, [], ["_first", column], "place").select(column, F.col("place").cast("int").alias("place"))
 
 
 def pending(asked: DataFrame, have: DataFrame) -> DataFrame:
