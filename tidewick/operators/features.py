@@ -41,8 +41,8 @@ def price(df: DataFrame) -> DataFrame:
 
 
 def trend(df: DataFrame) -> DataFrame:
-    for span in (20, 50, 200):
-        df = indicators.ema(df, span)
+    spans = [n for n in (20, 50, 200) if f"ema_{n}" not in df.columns]
+    df = indicators.smoothed(df, *map(indicators.span, spans)) if spans else df
     e20, e50, e200, c = (F.col(x) for x in ("ema_20", "ema_50", "ema_200", "close"))
     bull = (e20 > e50).cast("int") + (e50 > e200).cast("int") + (e20 > e200).cast("int")
     bear = (e20 < e50).cast("int") + (e50 < e200).cast("int") + (e20 < e200).cast("int")
@@ -54,7 +54,7 @@ def trend(df: DataFrame) -> DataFrame:
 
 
 def volatility(df: DataFrame) -> DataFrame:
-    df = indicators.bollinger(indicators.atr(df))
+    df = indicators.bollinger(df if "atr_14" in df.columns else indicators.atr(df))
     c, up, low = F.col("close"), F.col("bbands_upper"), F.col("bbands_lower")
     return df.withColumns({
         "atr_ratio": over(F.col("atr_14"), c), "volatility_expansion": flag(F.col("atr_14") > 1.2 * lag("atr_14", 5)),
@@ -80,7 +80,7 @@ def volume(df: DataFrame) -> DataFrame:
 
 
 def momentum(df: DataFrame) -> DataFrame:
-    df = indicators.macd(indicators.rsi(df))
+    df = df if {"rsi_14", "macd_hist"} <= set(df.columns) else indicators.macd(indicators.rsi(df))
     r, now = F.col("rsi_14"), F.col("macd_line") > F.col("macd_signal")
     before = F.coalesce(lag("macd_line") > lag("macd_signal"), F.lit(False))
     df = df.withColumns({
@@ -134,7 +134,7 @@ def target(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 def wide(bars: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """All features and the target on every bar, with nulls where history is short."""
-    tagged = patterns.tag(bars, cfg)
+    tagged = patterns.tag(indicators.every(bars), cfg)
     for step in (price, trend, volatility, gap, volume, momentum, levels, pattern):
         tagged = step(tagged)
     return target(tagged, cfg)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,39 +12,89 @@ from ..functions.windows import by_symbol, full, lag
 
 #: What an exponential weight may have shrunk to where older rows are left out: below the precision of doubles.
 NEGLIGIBLE = 1e-17
+#: How far powers of a decay may grow inside a block, as a decimal exponent.
+ROOM = 250
 
 
-def smooth(df: DataFrame, value: str, alpha: float, out: str, seed: int = 0) -> DataFrame:
-    """Adds the exponential mean e[0] = x[0], e[t] = (1 - alpha) e[t - 1] + alpha x[t] of each symbol's rows.
+@dataclass(frozen=True)
+class Smoothing:
+    """The exponential mean e[s] = x[s], e[t] = (1 - alpha) e[t - 1] + alpha x[t] of `value`, from row `seed` = s on."""
+
+    value: Column
+    alpha: float
+    out: str
+    seed: int = 0
+
+    @property
+    def length(self) -> int:
+        """Rows after which a weight is negligible."""
+        return max(2, math.ceil(math.log(NEGLIGIBLE) / math.log(1 - self.alpha)))
 
-    Rows fall into blocks, as long as the weight of a block's first row needs to vanish at its end. Inside a block the
-    mean is a running sum with powers of the decay, which stay in range; of earlier rows, only the block before still
-    counts, with what its last row holds. `seed` is the first row that has a value; rows before it stay null.
+
+def smoothed(df: DataFrame, *asked: Smoothing) -> DataFrame:
+    """Adds the means of each symbol's rows; rows before a seed are null.
+
+    Rows fall into blocks, as long as the weight of a block's first row needs to vanish at its end. Inside a block a mean
+    is a running sum with powers of the decay, which stay in range; of earlier rows, only the block before still counts,
+    with what its last row holds. Means whose powers fit into the same block share it, and with it a sort.
     """
-    keep = 1 - alpha
-    size = max(2, math.ceil(math.log(NEGLIGIBLE) / math.log(keep)))
-    k = F.row_number().over(by_symbol()) - 1 - seed
-    rows = df.withColumn("_k", k).withColumn("_block", F.floor(F.col("_k") / size)).withColumn("_j", F.col("_k") - F.col("_block") * size)
-    share = F.when(F.col("_k") == 0, 1.0).otherwise(alpha)
-    rows = rows.withColumn("_u", F.when(F.col("_k") >= 0, share * F.col(value) * F.pow(F.lit(keep), -F.col("_j"))))
-    inside = Window.partitionBy("symbol", "_block").orderBy("bar_date").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_sum", F.sum("_u").over(inside) * F.pow(F.lit(keep), F.col("_j")))
-    before = F.last(F.when(F.col("_j") == size - 1, F.col("_sum")), ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, -1))
-    mean = F.col("_sum") + F.pow(F.lit(keep), F.col("_j") + 1) * F.coalesce(before, F.lit(0.0))
-    return rows.withColumn(out, F.when(F.col("_k") >= 0, mean)).drop("_k", "_block", "_j", "_u", "_sum")
+    groups: list[tuple[int, list[Smoothing]]] = []
+    for s in sorted(asked, key=lambda s: -s.length):
+        near = next((own for size, own in groups if -math.log10(1 - s.alpha) * size <= ROOM), None)
+        if near is None:
+            groups.append((s.length, [s]))
+        else:
+            near.append(s)
+    place, values = F.row_number().over(by_symbol()) - 1, [s.value.alias(f"_x_{s.out}") for s in asked]
+    rows = df.select("*", place.alias("_k"), *values)
+    rows = rows.select("*", *[F.expr(f"_k div {size}").alias(f"_block{g}") for g, (size, _) in enumerate(groups)])
+    for g, (size, own) in enumerate(groups):
+        inside = Window.partitionBy("symbol", f"_block{g}").orderBy("bar_date").rowsBetween(Window.unboundedPreceding, 0)
+        at = F.col("_k") % size
+        sums = []
+        for s in own:
+            share = F.when(F.col("_k") == s.seed, 1.0).otherwise(s.alpha)
+            weighed = F.when(F.col("_k") >= s.seed, share * F.col(f"_x_{s.out}") * F.pow(F.lit(1 - s.alpha), -at))
+            sums.append((F.sum(weighed).over(inside) * F.pow(F.lit(1 - s.alpha), at)).alias(f"_sum_{s.out}"))
+        rows = rows.select("*", *sums)
+    means = []
+    for size, own in groups:
+        at = F.col("_k") % size
+        for s in own:
+            before = F.last(F.when(at == size - 1, F.col(f"_sum_{s.out}")), ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, -1))
+            mean = F.col(f"_sum_{s.out}") + F.pow(F.lit(1 - s.alpha), at + 1) * F.coalesce(before, F.lit(0.0))
+            means.append(F.when(F.col("_k") >= s.seed, mean).alias(s.out))
+    return rows.select(*[c for c in df.columns if c not in {s.out for s in asked}], *means)
+
+
+def smooth(df: DataFrame, value: str, alpha: float, out: str, seed: int = 0) -> DataFrame:
+    """Adds one exponential mean of a column."""
+    return smoothed(df, Smoothing(F.col(value), alpha, out, seed))
+
+
+def span(n: int, out: str | None = None, value: str = "close") -> Smoothing:
+    """The mean of `n` rows' centre of mass, as ema takes it."""
+    return Smoothing(F.col(value), 2 / (n + 1), out or f"ema_{n}")
+
 
+def ema(df: DataFrame, n: int, value: str = "close", out: str | None = None) -> DataFrame:
+    return smoothed(df, span(n, out, value))
 
-def ema(df: DataFrame, span: int, value: str = "close", out: str | None = None) -> DataFrame:
-    return smooth(df, value, 2 / (span + 1), out or f"ema_{span}")
+
+def moves(period: int = 14) -> tuple[Smoothing, Smoothing]:
+    """Means of gains and losses from the second bar on."""
+    move = F.col("close") - lag("close")
+    up, down = (F.when(lag("close").isNotNull(), F.greatest(m, F.lit(0.0))) for m in (move, -move))
+    return Smoothing(up, 1 / period, "_gain", 1), Smoothing(down, 1 / period, "_loss", 1)
+
+
+def strength() -> Column:
+    return 100 - 100 / (1 + F.col("_gain") / F.nullif("_loss", F.lit(0.0)))
 
 
 def rsi(df: DataFrame, period: int = 14) -> DataFrame:
     """Wilder's relative strength; its means begin with the second bar, and it is null while there is no loss."""
-    move = F.col("close") - lag("close")
-    rows = df.withColumn("_up", F.greatest(move, F.lit(0.0))).withColumn("_down", F.greatest(-move, F.lit(0.0)))
-    rows = rows.withColumns({c: F.when(lag("close").isNotNull(), F.col(c)) for c in ("_up", "_down")})
-    rows = smooth(smooth(rows, "_up", 1 / period, "_gain", seed=1), "_down", 1 / period, "_loss", seed=1)
-    return rows.withColumn(f"rsi_{period}", 100 - 100 / (1 + F.col("_gain") / F.nullif("_loss", F.lit(0.0)))).drop("_up", "_down", "_gain", "_loss")
+    return smoothed(df, *moves(period)).withColumn(f"rsi_{period}", strength()).drop("_gain", "_loss")
 
 
 def true_range() -> Column:
@@ -51,16 +102,31 @@ def true_range() -> Column:
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
-def atr(df: DataFrame, span: int = 14) -> DataFrame:
-    return smooth(df.withColumn("_range", true_range()), "_range", 2 / (span + 1), f"atr_{span}").drop("_range")
+def atr(df: DataFrame, n: int = 14) -> DataFrame:
+    return smoothed(df, Smoothing(true_range(), 2 / (n + 1), f"atr_{n}"))
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    rows = ema(ema(df, fast, out="_fast"), slow, out="_slow").withColumn("macd_line", F.col("_fast") - F.col("_slow"))
-    rows = ema(rows, signal, "macd_line", "macd_signal")
+    return _signal(smoothed(df, span(fast, "_fast"), span(slow, "_slow")).withColumn("macd_line", F.col("_fast") - F.col("_slow")), signal)
+
+
+def _signal(rows: DataFrame, signal: int) -> DataFrame:
+    rows = smoothed(rows, span(signal, "macd_signal", "macd_line"))
     return rows.withColumn("macd_hist", F.col("macd_line") - F.col("macd_signal")).drop("_fast", "_slow")
 
 
+#: What `every` adds.
+MEANS = ["ema_20", "ema_50", "ema_200", "atr_14", "rsi_14", "macd_line", "macd_signal", "macd_hist"]
+
+
+def every(df: DataFrame) -> DataFrame:
+    """All means of the catalogue with their usual lengths, in two steps, as the signal is a mean of means."""
+    asked = [*[span(n) for n in (20, 50, 200)], Smoothing(true_range(), 2 / 15, "atr_14"), *moves(), span(12, "_fast"), span(26, "_slow")]
+    rows = smoothed(df, *asked)
+    rows = rows.select(*[c for c in rows.columns if c not in ("_gain", "_loss")], strength().alias("rsi_14"), (F.col("_fast") - F.col("_slow")).alias("macd_line"))
+    return _signal(rows, 9)
+
+
 def bollinger(df: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:
     mean, spread = full(F.avg("close"), "close", n), full(F.stddev_samp("close"), "close", n)
     return df.withColumns({"bbands_mid": mean, "bbands_upper": mean + width * spread, "bbands_lower": mean - width * spread})
