@@ -152,6 +152,18 @@ def report_text(report: DataFrame) -> DataFrame:
     return report.select("bar_date", "rank", line.alias("line"))
 
 
+_HEAD = [("symbol", 14), ("pattern", 22), ("direction", 9), ("bull", -6), ("bear", -6), ("conf", -6), ("tier", -6), ("signal", 6), ("strength", 9), ("entry", -9), ("stop", -9), ("risk", -6)]
+
+
+def report_page(report: DataFrame) -> DataFrame:
+    """The lines of a report with a title and a header for each day, at ranks -1 and 0."""
+    names = " ".join(name.ljust(n) if n > 0 else name.rjust(-n) for name, n in _HEAD)
+    days = report.select("bar_date").distinct()
+    title = F.struct(F.lit(-1).alias("rank"), F.concat(F.lit("Signals of "), F.date_format("bar_date", "yyyy-MM-dd")).alias("line"))
+    head = F.struct(F.lit(0).alias("rank"), F.lit(names).alias("line"))
+    return days.select("bar_date", F.inline(F.array(title, head))).unionByName(report_text(report))
+
+
 def eod_summary(found: DataFrame, top_n: int = DEFAULT.top_n) -> DataFrame:
     """Counts of each day: all signals, rejected ones, those of each class, and the tiers of the report's rows."""
     order = Window.partitionBy("bar_date").orderBy(F.col("reject_signal").cast("int"), F.desc("confidence_value"), "symbol")

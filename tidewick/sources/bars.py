@@ -60,11 +60,6 @@ def write_bars(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
     bars.repartition("symbol").write.mode(mode).partitionBy("symbol").parquet(path)
 
 
-def read_signals(spark: SparkSession, folder: str) -> DataFrame:
-    """All reports of a folder, with their dates."""
-    return spark.read.option("header", True).option("inferSchema", True).csv(f"{folder}/*_signals.csv")
-
-
 def ordered_distinct(rows: DataFrame, column: str, *order: str) -> DataFrame:
     """Each value once, with its place by first occurrence in `order`. One row per value is ranked, over range partitions."""
     firsts = rows.groupBy(column).agg(F.min(F.struct(*order)).alias("_first"))
