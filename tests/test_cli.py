@@ -11,6 +11,7 @@ from tidewick import cli
 from tidewick.operators import backtest, clean, model, signals
 from tidewick.plans import registry
 from tidewick.sources import bars as source
+from tidewick.sources import checked
 
 
 def csv_folder(folder, days=460):
@@ -45,10 +46,11 @@ def test_command_line_end_to_end(spark, tmp_path):
     assert {x.symbol: x.n_rows for x in source.summary(loaded).collect()} == {"AA.NS": 460, "BB.NS": 460}
     run("preprocess", "--bars", at("bars"), "--out", at("clean"))
     run("features", "--bars", at("clean"), "--out", at("features"))
-    run("train", "--features", at("features"), "--out", at("model"))
+    run("train", "--features", at("features"), "--out", at("model"), "--rounds", "3")
     run("evaluate", "--features", at("features"), "--model", at("model"), "--out", at("judged"))
     (one,) = figures(at("judged/metrics"))
     assert one["n"] > 20 and 0 <= one["accuracy"] <= 1
+    assert len(figures(at("judged/importances"))) == 20 and [x["place"] for x in figures(at("judged/attributions"))][:1] == [1]
     run("predict", "--bars", at("clean"), "--model", at("model"), "--out", at("predicted"))
     assert {x["symbol"] for x in figures(at("predicted"))} == {"AA.NS", "BB.NS"}
     run("signals", "--bars", at("clean"), "--model", at("model"), "--out", at("found"))
@@ -58,6 +60,37 @@ def test_command_line_end_to_end(spark, tmp_path):
     done = spark.read.parquet(at("trades"))
     assert done.count() == spark.read.option("header", True).csv(at("trades_csv")).count()
     assert sum(x["total_trades"] for x in figures(at("trades_summary"))) == done.count()
+    pages = [r.value for r in spark.read.text(at("found/text")).collect()]
+    assert any(x.startswith("Signals of 20") for x in pages)
+    back = checked.read_reports(spark, at("found/report"), ["symbol", "bar_date", "rank", "confidence_value", "signal"])
+    report = signals.daily_report(found)
+    pick = lambda df: sorted((r.symbol, r.bar_date, r.rank, round(r.confidence_value, 6), r.signal) for r in df.collect())
+    assert pick(back) == pick(report)
+
+
+def test_one_command_runs_all_and_keeps_what_is_there(spark, tmp_path):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    csv_folder(raw)
+    (raw / "DD.csv").write_text("Date,Open\n2024-01-01,1\n")
+    argv = ["run", "--raw", str(raw), "--out", str(tmp_path / "work"), "--min-days", "100", "--rounds", "2", "--most-open", "1"]
+    cli.main(argv, spark)
+    assert [x["reason"] for x in figures(tmp_path / "work/bars_bad")] == ["no column high, low, close, volume"]
+    done = spark.read.parquet(str(tmp_path / "work/trades")).collect()
+    spans = sorted((x.entry_date, x.exit_date) for x in done)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_what_the_chain_keeps(spark, tmp_path, monkeypatch):
+    called = []
+    for verb in ("load", "preprocess", "features", "train", "evaluate", "signals", "backtest"):
+        monkeypatch.setattr(cli.Job, verb, lambda self, *paths, v=verb: called.append(v) or os.makedirs(paths[-1], exist_ok=True))
+    every = ["load", "preprocess", "features", "train", "evaluate", "signals", "backtest"]
+    argv = ["run", "--raw", "raw", "--out", str(tmp_path / "work")]
+    for more, left_out in (["--skip-fetch"], []), ([], ["train"]), (["--skip-fetch"], ["load", "train"]), (["--skip-fetch", "--retrain"], ["load"]):
+        called.clear()
+        cli.main([*argv, *more], spark)
+        assert called == [v for v in every if v not in left_out], more
 
 
 def test_direction_falls_back_to_the_number(spark):
@@ -104,4 +137,4 @@ def test_equity_starts_at_the_capital_for_each_run(spark):
 
 def test_sql_is_text_for_registered_queries():
     assert all(isinstance(v, str) for v in registry.ORACLES.values()) and set(registry.ORACLES) <= set(registry.QUERIES)
-    assert set(registry.QUERIES) - set(registry.ORACLES) == {"model_predict"}
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"model_predict", "model_evaluate", "model_classes", "model_named", "model_signals", "model_attributions", "model_importances"}

@@ -22,11 +22,12 @@ PATTERN = [f"pat_{n}" for n in patterns.NAMES] + [
     "harami_low_volume", "pattern_bullish_score", "pattern_bearish_score",
 ]
 COLUMNS = PRICE + TREND + VOLATILITY + GAP + VOLUME + MOMENTUM + LEVELS + PATTERN
-#: Inputs that are 0 or 1 (or a small count) and are never scaled.
-BINARY = [c for c in COLUMNS if c.startswith((
-    "pat_", "gap_up", "gap_down", "rsi_over", "volatility_", "higher_", "lower_lows", "volume_spike", "volume_trend", "breakout_",
-    "candle_direction", "pattern_direction_num", "pattern_candle_count", "macd_crossover",
-))]
+#: Inputs of a few values each, which are never scaled. Fixed values.
+FEW_VALUES = [
+    "candle_direction", "higher_highs", "lower_lows", "volatility_expansion", "volatility_contraction", "gap_up", "gap_down", "volume_spike", "volume_trend", "rsi_oversold", "rsi_overbought",
+    "macd_crossover", "breakout_strength", "pattern_direction_num", "pattern_candle_count",
+]
+BINARY = [c for c in COLUMNS if c in FEW_VALUES or c.startswith("pat_")]
 INTEGERS = set(BINARY) | {"candle_direction", "macd_crossover", "pattern_direction_num", "pattern_candle_count"} | set(PATTERN[19:28])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 
+#: Confidences from which a signal is of the tier HIGH or MEDIUM, and below which it is rejected.
 HIGH, MEDIUM, LEAST = 0.70, 0.55, 0.50
 
 
@@ -97,6 +98,7 @@ def stoploss(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def rejection(rows: DataFrame) -> DataFrame:
+    """Adds the reasons why a signal is rejected. Their texts are fixed values, as users read them in reports."""
     reasons = [
         F.when(F.col("candle_too_small"), "candle range < 1% of close (too small)"),
         F.when(F.col("candle_too_large"), "candle range > 10% of close (likely news / circuit)"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import backtest, boosting, clean, features, indicators, model, patterns, signals
 from ..sources import bars as source
+from ..sources import checked
 from ..sources.shared import folder, stored
 from ..streaming import bars as live
 from .oracle import clipped, r, recent, sql
@@ -291,3 +292,33 @@ query("features_last_bar", sql("scored", f"""SELECT f.symbol, f.bar_date, round(
 query("signal_defaults", sql("sig", "SELECT symbol, bar_date, signal, round(entry_price * 0.98::DOUBLE, 4) + 0.0 AS stoploss, 'LOW' AS confidence_score, 0.0::DOUBLE AS confidence_value, 'none' AS pattern_detected, 0.0::DOUBLE AS pattern_strength FROM si"))(
     lambda s, d: backtest.with_defaults(found_signals(s, d).select(*KEY, "signal", "entry_price")).drop("entry_price"))
 query("equity_points", sql("curve", "SELECT CAST(seq AS INT) AS seq, signal_date, round(value, 4) + 0.0 AS portfolio_after, value >= 1000000 AS above FROM cv"))(lambda s, d: backtest.equity_points(backtest.portfolio(done_trades(s, d))))
+
+
+# files written and read again
+
+
+@query("report_round_trip", sql("sig", f"SELECT symbol, bar_date, CAST(place AS INT) AS rank, {', '.join(_REPORT)}, {r('confidence_value', 'entry_price', 'stoploss', 'risk_pct')} FROM rp"))
+def report_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily report as it is read back from the CSV files that it was written to."""
+    columns = [*KEY, "rank", *_REPORT, "confidence_value", "entry_price", "stoploss", "risk_pct"]
+    path = folder(spark, "report") + "/files"
+    source.write_report(signals.daily_report(found_signals(spark, sf_dir)).select(*columns), path)
+    return checked.read_reports(spark, path, columns)
+
+
+def mixed_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All bars as CSV files of two kinds of header, some values unreadable or missing: what is read, and what is set aside."""
+    path, rows = folder(spark, "mixed"), stored(bars(spark, sf_dir))
+    text = rows.select("symbol", "bar_date", *[F.col(c).cast("string").alias(c) for c in BAR[2:]])
+    odd = text.withColumns({"close": F.when(F.col("volume").cast("long") % 11 == 0, "n/a").otherwise(F.col("close")), "open": F.when(F.col("volume").cast("long") % 7 == 0, "").otherwise(F.col("open"))})
+    one = odd.where("symbol < 'N'").select(F.col("symbol").alias("Symbol"), F.col("bar_date").alias("Date"), *[F.col(c).alias(c.title()) for c in BAR[2:]])
+    two = odd.where("symbol >= 'N'").select(F.col("volume").alias(" VOLUME "), *[F.col(c).alias(c.upper()) for c in ("close", "low", "high", "open")], F.lit("a, b").alias("Note"), "symbol", F.col("bar_date").alias("date"))
+    for name, part in (("one", one), ("two", two)):
+        part.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{path}/{name}")
+    return checked.read_csv(spark, [f"{path}/one", f"{path}/two"], checked.BAR_COLUMNS | {"symbol": "string"}, [*checked.BAR_NEEDS, "symbol"])
+
+
+query("mixed_csv", sql("b", f"SELECT {BAR_SQL} FROM b WHERE volume % 11 <> 0 AND volume % 7 <> 0"))(lambda s, d: mixed_files(s, d)[0].select("symbol", F.col("date").alias("bar_date"), *BAR[2:]))
+query("csv_set_aside", sql("b", """SELECT concat_ws('; ', CASE WHEN volume % 11 = 0 THEN 'close isn''t a double' END, CASE WHEN volume % 7 = 0 THEN 'open is missing' END) AS reason, count(*) AS n
+  FROM b WHERE volume % 11 = 0 OR volume % 7 = 0 GROUP BY 1"""))(lambda s, d: mixed_files(s, d)[1].groupBy("reason").agg(F.count("*").alias("n")))
+query("model_importances")(lambda s, d: s.createDataFrame(model.importances(fitted(s, d), 20), "feature string, weight double"))
