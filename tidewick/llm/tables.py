@@ -3,26 +3,16 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import folder, releasing, shared_dir, stored, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["Scratch", "folder", "releasing", "settled", "shared_dir", "stored", "table", "written"]
 
 
-@contextmanager
-def releasing(spark: SparkSession) -> Iterator[None]:
-    """Within it, an action's shuffle files go when the action ends, as what it made is in reliable storage by then."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -32,17 +22,6 @@ def settled(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """`df` computed once and written as a compressed table in the shared folder; for wide results that are read often."""
-    return written(df, folder(df.sparkSession, "stored") + "/table")
-
-
-def written(df: DataFrame, path: str) -> DataFrame:
-    with releasing(df.sparkSession):
-        df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class Scratch:
     """Tables between the steps of one operator, in a folder of their own that goes when its result is kept."""
 
@@ -58,29 +37,3 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         return out
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one, which the driver deletes when it ends."""
-    made = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(made)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    system.mkdirs(path)
-    system.deleteOnExit(path)
-    return made
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir of the session.
-
-    Where that is unset, a local session (as in tests) takes a folder below its warehouse; any other one raises
-    ValueError, as a folder of one machine would be of no use to the others.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where)
-    return where
