@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op4_url_reputation": url_reputation.OP4_SQL,
+    "op7_feistel_sharding": sharding.OP7_SQL,
     "op11_merkle_manifest": merkle.OP11_SQL,
     "op12_bloom_spelling": spelling.OP12_SQL,
 }

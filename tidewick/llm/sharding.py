@@ -102,3 +102,26 @@ def op7(spark, sf_dir: str) -> DataFrame:
     )
     out = shard_rows(docs, ["doc_id", "text_crc32", "size"])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _network_sql(source: str) -> str:
+    """SQL of one pass of the network over `source` (pos, x, b, ...): rows with y, the image of x."""
+    sql = f"SELECT *, x >> b AS l, x & m AS r FROM (SELECT *, (1::UBIGINT << b) - 1::UBIGINT AS m FROM {source})"
+    for r in range(ROUNDS):
+        key = (7 * 0x2545F491 + r * 0x9E3779B1 + 1) & 0xFFFFFFFFFFFF
+        first = f"CAST((r::UHUGEINT + {key}::UHUGEINT) * {0x9E3779B97F4A7C15}::UHUGEINT % 18446744073709551616::UHUGEINT AS UBIGINT)"
+        second = f"CAST(xor(s, s >> 29)::UHUGEINT * {0xBF58476D1CE4E5B9}::UHUGEINT % 18446744073709551616::UHUGEINT AS UBIGINT)"
+        sql = f"SELECT * EXCLUDE (l, r, s, t), r AS l, xor(l, xor(t, t >> 32) & m) AS r FROM (SELECT *, {second} AS t FROM (SELECT *, {first} AS s FROM ({sql})))"
+    return f"SELECT * EXCLUDE (l, r, m), (l << b) | r AS y FROM ({sql})"
+
+
+#: The same law in SQL: ranks, the network with cycle walking as a recursion, and checksums byte by byte.
+OP7_SQL = f"""WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i))),
+raw AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, flatten(list_transform(list_transform(string_split(coalesce(text, ''), ''), lambda c: unicode(c)::BIGINT),
+  lambda u: CASE WHEN u < 0 THEN [] WHEN u < 128 THEN [u] WHEN u < 2048 THEN [192 + (u >> 6), 128 + (u & 63)] WHEN u < 65536 THEN [224 + (u >> 12), 128 + ((u >> 6) & 63), 128 + (u & 63)]
+    ELSE [240 + (u >> 18), 128 + ((u >> 12) & 63), 128 + ((u >> 6) & 63), 128 + (u & 63)] END)) AS bytes FROM documents),
+d AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32 FROM raw, tab),
+n AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS pos, count(*) OVER () AS n FROM d),
+w AS (SELECT pos, n, y FROM ({_network_sql("(SELECT pos, n, pos::UBIGINT AS x, greatest(1, (floor(log2(greatest(n - 1, 1)))::INT + 2) // 2)::UBIGINT AS b FROM n)")})
+  UNION ALL SELECT pos, n, y FROM ({_network_sql("(SELECT pos, n, y AS x, greatest(1, (floor(log2(greatest(n - 1, 1)))::INT + 2) // 2)::UBIGINT AS b FROM w WHERE y >= n)")}))
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(y % 24 AS INT) AS shard, CAST(y // 24 AS BIGINT) AS slot, NULL::INT AS grown_shard FROM n JOIN w USING (pos) WHERE y < w.n"""
