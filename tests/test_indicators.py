@@ -56,3 +56,21 @@ def test_registry_imports_without_text_operators():
     from tidewick.plans import registry
 
     assert len(registry.QUERIES) > 70 and set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+def test_all_means_share_four_sorts(spark):
+    import datetime as dt
+    import random
+
+    from tidewick.operators import features
+
+    r, day = random.Random(4), dt.date(2020, 1, 1)
+    rows = [(s, day + dt.timedelta(k), *(100 + r.random() for _ in range(4)), r.randint(1, 99)) for s in ("a", "b") for k in range(700)]
+    df = spark.createDataFrame(rows, "symbol string, bar_date date, open double, high double, low double, close double, volume long")
+    plan = features.wide(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") <= 4 and plan.count("Exchange ") == 1
+    one = indicators.every(df)
+    each = indicators.macd(indicators.rsi(indicators.atr(indicators.ema(indicators.ema(indicators.ema(df, 20), 50), 200))))
+    pick = lambda x: sorted(map(tuple, x.select("symbol", "bar_date", "ema_20", "ema_50", "ema_200", "atr_14", "rsi_14", "macd_line", "macd_signal", "macd_hist").collect()))
+    for x, y in zip(pick(one), pick(each), strict=True):
+        assert x[:2] == y[:2] and all((a is None and b is None) or abs(a - b) < 1e-9 * max(1, abs(b)) for a, b in zip(x[2:], y[2:], strict=True))
