@@ -692,3 +692,35 @@ def test_similar_passages_are_recalled(spark):
     found = substrings.repeated_passages(docs(spark, rows + rows[:4]))
     got = {(x.doc_id, x.source_id) for x in found.collect()}
     assert len(got & want) >= 0.95 * len(want) and not got - want and found.count() == found.distinct().count()
+
+
+def test_very_long_texts(spark):
+    """Texts of 40,000 words beside short ones: near copies, passages, quality figures and packing see all of them."""
+    long = prose(40_000, 4000).split()
+    near = long.copy()
+    near[20_000] = "changed"
+    passage = prose(60, 4001)
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[:39_000]) + " " + prose(5, 4002)), (4, prose(30, 4003) + " " + passage), (5, prose(39_000, 4004) + " " + passage + " " + prose(500, 4005))]
+    found = {r.doc_id: r for r in minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert [found[i].component_id for i in range(1, 6)] == [1, 1, 1, 4, 5] and found[1].n_shingles == 39_996
+    spans = {(r.doc_id, r.source_id): (r.start_word, r.end_word) for r in substrings.repeated_passages(docs(spark, rows[3:])).collect()}
+    assert spans[5, 4][0] <= 39_000 + 2 and spans[5, 4][1] >= 39_060 - 2
+    figures = {r.doc_id: r for r in quality.quality(docs(spark, rows), spark.createDataFrame([(1,)], "doc_id long")).collect()}
+    assert figures[1].n_words == 40_000 and figures[1].word_chars == 240_000 and figures[5].n_words == 39_560
+    pieces = packing.pack(docs(spark, rows[:1])).collect()
+    assert sum(r.length for r in pieces) == len(encoded([rows[0][1]])[0]) + 1 and len(pieces) == -(-sum(r.length for r in pieces) // 1024)
+
+
+def test_near_duplicates_of_repeated_rows(spark):
+    text = prose(50, 4100)
+    rows = [(4, text), (4, text), (2, text), (9, None), (9, None)]
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs(spark, rows)).collect())
+    assert got == Counter({(4, 2, False): 2, (2, 2, True): 1, (9, 9, True): 2})
+
+
+def test_urls_of_empty_tables_and_repeated_rows(spark):
+    pages = spark.createDataFrame([(1, "http://bad.biz/1", "x"), (1, "http://bad.biz/1", "y"), (None, None, "z")], "page_id long, url string, host string")
+    outcomes = spark.createDataFrame([("http://bad.biz/x", 1)] * 40, "url string, bad int")
+    got = Counter((r.page_id, r.host, r.verdict) for r in url_reputation.judge_urls(pages, outcomes).collect())
+    assert sum(got.values()) == 3 and got[1, "bad.biz", "block"] + got[1, "bad.biz", "allow"] == 2 and got[None, "", "allow"] == 1
+    assert url_reputation.judge_urls(pages.where("false"), outcomes).collect() == []
