@@ -21,7 +21,7 @@ CACHE = 1_500_000
 #: Words that are sent to the tokenizer as one text.
 TOGETHER = 300
 #: Bytes of texts to encode at once.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
 _SLOT_BITS = 22
 
 

@@ -9,16 +9,25 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows that pass to a Python worker at once. Spark's own 10,000 are 50 MB of pairs of texts, in the worker and beside the JVM's heap.
+BATCH_ROWS = 1000
+
+
 @contextmanager
 def releasing(spark: SparkSession) -> Iterator[None]:
-    """Within it, an action's shuffle files go when the action ends, as what it made is in reliable storage by then."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+    """Within it, an action's shuffle files go when the action ends, as what it made is in reliable storage by then.
+
+    Batches of rows for Python workers have at most BATCH_ROWS rows there.
+    """
+    files, rows = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = {files: spark.conf.get(files, "false"), rows: spark.conf.get(rows)}
+    spark.conf.set(files, "true")
+    spark.conf.set(rows, str(min(int(old[rows]), BATCH_ROWS) if int(old[rows]) > 0 else BATCH_ROWS))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 def shared_dir(spark: SparkSession) -> str:
