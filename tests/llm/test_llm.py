@@ -737,3 +737,18 @@ def test_rows_for_workers_come_in_bounded_batches(spark):
     got = [r["n"] for r in stored(spark.range(0, 2500, 1, 1).mapInArrow(sizes, "n long")).collect()]
     assert sorted(got) == [500, 1000, 1000]
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_windows_are_computed_once(spark, monkeypatch):
+    d = docs(spark, [(i, prose(80, 40) + " " + prose(60, i)) for i in range(8)])
+    once, made = substrings.windows(d).count(), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    plain = substrings.windows
+    monkeypatch.setattr(substrings, "windows", lambda *a: plain(*a).mapInArrow(counted, "key long, doc_id long, spot long"))
+    assert substrings.repeated_passages(d).select("doc_id").distinct().count() == 7
+    assert made.value == once > 0

@@ -56,11 +56,25 @@ def _sliding_min(v: np.ndarray, t: int) -> np.ndarray:
     return np.minimum(back[: n - t + 1], ahead[t - 1 : n])
 
 
+def _smaller(rank: np.ndarray, of: np.ndarray, step: int) -> np.ndarray:
+    """For the places `of`, the nearest place before (step -1) or behind (step 1) with a smaller rank.
+
+    All between a place and where it points to is larger, so one that points to a larger place may go on to where that
+    one points to; chains halve each round.
+    """
+    to = np.arange(len(rank)) + step
+    far = of
+    while len(far):
+        far = far[rank[to[far]] > rank[far]]
+        to[far] = to[to[far]]
+    return to[of]
+
+
 def compact_windows(v: np.ndarray, bounds: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """l, c, r of all compact windows of t tokens at least, for hash values v of texts with the given bounds.
 
     A token that is least in some t tokens heads a subtree of that size. The tokens that bound its subtree head larger
-    subtrees themselves, so a stack over these few tokens builds the tree.
+    subtrees themselves, so the nearest smaller ones among these few tokens give the tree.
     """
     if len(v) < t:
         return (np.zeros(0, np.int64),) * 3
@@ -75,18 +89,12 @@ def compact_windows(v: np.ndarray, bounds: np.ndarray, t: int) -> tuple[np.ndarr
         return (np.zeros(0, np.int64),) * 3
     heads = heads[np.concatenate([[True], heads[1:] != heads[:-1]])]
     text = np.searchsorted(bounds, heads, "right") - 1
-    low, high = bounds[text].tolist(), (bounds[text + 1] - 1).tolist()
-    rank, at = keyed[heads].tolist(), heads.tolist()
-    left, right, stack, of = list(low), list(high), [], -1
-    for k, mine in enumerate(rank):
-        if low[k] != of:
-            stack, of = [], low[k]
-        while stack and rank[stack[-1]] > mine:
-            right[stack.pop()] = at[k] - 1
-        if stack:
-            left[k] = at[stack[-1]] + 1
-        stack.append(k)
-    return np.array(left), heads, np.array(right)
+    # one place of rank 0 before the heads of each text, and one behind the last: no search passes it
+    slot = np.arange(len(heads)) + np.cumsum(np.concatenate([[True], text[1:] != text[:-1]]))
+    rank, at, edge = np.zeros(slot[-1] + 2, np.uint64), np.zeros(slot[-1] + 2, np.int64), np.ones(slot[-1] + 2, bool)
+    rank[slot], at[slot], edge[slot] = keyed[heads], heads, False
+    before, behind = _smaller(rank, slot, -1), _smaller(rank, slot, 1)
+    return np.where(edge[before], bounds[text], at[before] + 1), heads, np.where(edge[behind], bounds[text + 1], at[behind]) - 1
 
 
 def windows(docs: DataFrame, min_words: int = MIN_WORDS, hashes: int = HASHES) -> DataFrame:
@@ -190,8 +198,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, hashes: int =
     t = min_words - SHINGLE + 1
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     scratch = Scratch(docs.sparkSession)
-    # read twice: computing the windows again costs less than keeping them
-    found = windows(texts, min_words, hashes)
+    found = scratch(windows(texts, min_words, hashes))  # read twice
     # what a join adds to its rows is a table before: so Spark can split the task of a signature that very many texts have
     shared = found.groupBy("key").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("most"), (F.count("*") > 2).alias("wide")).where("source_id < most").select("key", "source_id", "wide")
     near = scratch(found.join(scratch(shared), "key"))
