@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidewick.llm import fingerprints, merkle, spelling
+from tidewick.llm.tables import setting
 
 KINDS = "doc_id long, text string, lang string, source string, n_chars long, path string, rank int, edit string"
 
@@ -275,3 +277,23 @@ def test_fingerprints_of_documents_and_those_that_follow(spark, tmp_path):
     texts = docs(spark, rows)
     both = texts.select("doc_id", fingerprints.fingerprint(F.col("text")).alias("f")).select("doc_id", "f", fingerprints.likeness(F.col("f"), F.lit(None).cast("string")).alias("none"), fingerprints.likeness(F.col("f"), F.col("f")).alias("own"))
     assert {(r.doc_id, r.f, r.none, r.own) for r in both.collect()} == {(r[0], r[3], None, 1.0) for r in plain_following(rows)}
+
+
+def test_parsing_takes_little_memory():
+    long = prose(300_000, 90)
+    texts = [long[k : k + 4000] for k in range(0, len(long), 4000)]
+    own = [(i, t, s) for i, (t, s) in enumerate(zip(texts, fingerprints.sketches(pa.array(texts)), strict=True))]
+    tracemalloc.start()
+    fingerprints._compared(own, own[1:] + own[:1])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 25_000_000
+
+
+def test_ends_of_partitions_meet_in_few_tasks(spark, tmp_path):
+    rows = [(i, prose(1 + i % 5, 70 + i % 7), "s") for i in range(400)]
+    with setting(spark, {"spark.sql.shuffle.partitions": "80", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        fingerprints.with_following(docs(spark, rows)).write.parquet(f"{tmp_path}/found")
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "4096"
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/found").collect()), key=str) == plain_following(rows)
+    assert len(list(tmp_path.glob("found/part-*"))) < 20

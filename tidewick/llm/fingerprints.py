@@ -21,15 +21,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .tables import Scratch, table
+from .tables import Scratch, setting, table
 
 #: Names of this level (three or so words) and above are sampled; of the levels below only where there are fewer than
 #: FEW names, so that short texts have some too.
 LEVEL, FEW = 3, 12
 #: Hashes of a fingerprint, 32 bits each.
 SAMPLE = 64
-#: Bytes of texts that are parsed at once.
-SLICE_BYTES = 1_000_000
+#: Bytes of texts that are parsed at once. Parsing takes 43 times as many for a while.
+SLICE_BYTES = 250_000
+#: Rows that the JVM reads at once. Spark's own 4,096 are 13 MB of text in one array for each task, and the heap grows by such.
+READ_ROWS = 512
+#: Ends of partitions that a task compares with the first documents of the next ones.
+ENDS = 100
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20250817))
@@ -250,7 +254,8 @@ def with_following(docs: DataFrame) -> DataFrame:
         if last:
             yield batch([(last[0], None, None, None, None, None, None, part, first[1], packed(first[2]), last[1])])
 
-    found = keep(laid.mapInArrow(compare, f"{_FOUND}, {_EDGE}"))
+    with setting(docs.sparkSession, {"spark.sql.parquet.columnarReaderBatchSize": str(READ_ROWS)}):
+        found = keep(laid.mapInArrow(compare, f"{_FOUND}, {_EDGE}"))
     # one row for each partition: its last document waits for the first one of the next partition
     edges = found.where("part is not null")
     parts = edges.select("part")
@@ -258,9 +263,10 @@ def with_following(docs: DataFrame) -> DataFrame:
     after = parts.select("part", F.coalesce(F.lead("part").over(one), F.first("part").over(one)).alias("next"))
     firsts = edges.select(F.col("part").alias("next"), "first_text", F.col("first_print").alias("next_print"))
     met = edges.select("part", "doc_id", "last_text").join(after, "part").join(firsts, "next").select("doc_id", "last_text", "first_text", "next_print")
+    met = met.coalesce(-(-partitions // ENDS))  # else as many tasks and files of a row each as there are partitions
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in batches:
+        for some in tokens.slices(batches, "last_text", SLICE_BYTES):
             for row in some.to_pylist():
                 own = row["doc_id"], row["last_text"], sketches(pa.array([row["last_text"]]))[0]
                 yield batch([(*r, None, None, None, None) for r in _compared([own], [(None, row["first_text"], unpacked(row["next_print"]))])])

@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.shared import folder, releasing, shared_dir, stored, written
+from ..sources.shared import folder, releasing, setting, shared_dir, stored, written
 
-__all__ = ["Scratch", "folder", "releasing", "settled", "shared_dir", "stored", "table", "written"]
+__all__ = ["Scratch", "folder", "releasing", "setting", "settled", "shared_dir", "stored", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

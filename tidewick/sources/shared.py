@@ -13,21 +13,29 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 1000
 
 
+@contextmanager
+def setting(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Within it, the session has these settings."""
+    old = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @contextmanager
 def releasing(spark: SparkSession) -> Iterator[None]:
     """Within it, an action's shuffle files go when the action ends, as what it made is in reliable storage by then.
 
     Batches of rows for Python workers have at most BATCH_ROWS rows there.
     """
-    files, rows = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = {files: spark.conf.get(files, "false"), rows: spark.conf.get(rows)}
-    spark.conf.set(files, "true")
-    spark.conf.set(rows, str(min(int(old[rows]), BATCH_ROWS) if int(old[rows]) > 0 else BATCH_ROWS))
-    try:
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = int(spark.conf.get(rows))
+    with setting(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", rows: str(min(own, BATCH_ROWS) if own > 0 else BATCH_ROWS)}):
         yield
-    finally:
-        for k, v in old.items():
-            spark.conf.set(k, v)
 
 
 def shared_dir(spark: SparkSession) -> str:
