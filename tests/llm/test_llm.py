@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewick.llm import decontamination, html_text, minhash, packing, quality, sharding, substrings, token_files, tokens, toxicity, url_reputation
-from tidewick.llm.encoding import Encoder
+from tidewick.llm.encoding import Encoder, encoder
 from tidewick.llm.tables import stored
 
 rng = np.random.default_rng(7)
@@ -752,3 +752,19 @@ def test_windows_are_computed_once(spark, monkeypatch):
     monkeypatch.setattr(substrings, "windows", lambda *a: plain(*a).mapInArrow(counted, "key long, doc_id long, spot long"))
     assert substrings.repeated_passages(d).select("doc_id").distinct().count() == 7
     assert made.value == once > 0
+
+
+def test_workers_let_the_encoder_go_for_other_operators(spark):
+    def left(batches):
+        for part in tokens.slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array([encoder.cache_info().currsize] * part.num_rows, pa.int32())], ["n"])
+
+    def kept(batches):
+        for part in tokens.slices(batches, "text", keep="encoder"):
+            yield pa.RecordBatch.from_arrays([pa.array([encoder.cache_info().currsize] * part.num_rows, pa.int32())], ["n"])
+
+    d = docs(spark, [(i, prose(50, i)) for i in range(64)]).repartition(4)
+    rows = packing.pack(d).count()
+    assert any(r["n"] for r in d.select("text").mapInArrow(kept, "n int").collect())  # its own tasks find it again
+    assert [r["n"] for r in d.select("text").mapInArrow(left, "n int").collect()] == [0] * 64
+    assert packing.pack(d).count() == rows  # and make it anew

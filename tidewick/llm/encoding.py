@@ -170,5 +170,15 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(name: str) -> Encoder:
-    """The worker's encoder for a public tokenizer's file."""
+    """The worker's encoder for a public tokenizer's file; it lasts until a task of another operator slices texts (tokens.KEPT)."""
     return Encoder(name)
+
+
+def release() -> None:
+    """Lets go of the worker's encoders: up to 100 MB of words each, and as much that allocations have left free."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        tokens.spare()
+
+
+tokens.KEPT["encoder"] = release

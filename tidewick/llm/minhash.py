@@ -159,7 +159,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     split = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("key")
     rest = settled(placed.join(settled(split), "key").select("rep", "comp").distinct())
     pairs = prefix_pairs(rest, some, n, percent).join(found.select("a", "b"), ["a", "b"], "left_anti")
-    more = settled(confirmed(pairs, some, n, percent).where("linked"))
+    more = stored(confirmed(pairs, some, n, percent).where("linked"))  # no files for the many partitions without a row
     if not more.isEmpty():
         comp = components(found.where("linked").union(more))
     ids = classes.select("f1", "f2", "n_shingles", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))

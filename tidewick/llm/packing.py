@@ -170,7 +170,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, name: str
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, seen = encoder(name), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for some in tokens.slices(batches, "text", SLICE_BYTES):
+        for some in tokens.slices(batches, "text", SLICE_BYTES, keep="encoder"):
             rows = []
             for doc, ids in zip(some.column("doc_id").to_pylist(), own.ended(some.column("text"), end), strict=True):
                 first = (len(ids) - 1) % capacity + 1
@@ -194,7 +194,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, name: str =
     row; columns other than doc_id and text are ignored. An empty table gives no rows.
     """
     cut = settled(pieces(docs, capacity, end, name))
-    tally = settled(cut.groupBy("length", "part").agg(F.count("*").alias("n")))
+    tally = cut.groupBy("length", "part").agg(F.count("*").alias("n"))  # counted twice, not kept: a file for each partition costs more
     counts = {r["length"]: r["n"] for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `capacity` rows at most
     where = places(plan(counts, capacity))
 

@@ -207,7 +207,7 @@ def write_token_files(docs: DataFrame, folder: str, end: int = END, name: str =
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, context, out = encoder(name), TaskContext.get(), None
         path = f"{folder}/shard-{context.partitionId():06d}-{context.taskAttemptId()}.bin"
-        for part in tokens.slices(batches, "text", SLICE_BYTES):
+        for part in tokens.slices(batches, "text", SLICE_BYTES, keep="encoder"):
             out = out or ShardWriter(path, own.type.itemsize)
             out.add(part.column("doc_id"), own.ended(part.column("text"), end))
         if out:

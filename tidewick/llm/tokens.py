@@ -7,13 +7,16 @@ however long single texts are (one text longer than the bound forms a slice of i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1_000_000
+#: By name, how a worker lets go of what it keeps from task to task.
+KEPT: dict[str, Callable[[], None]] = {}
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -41,8 +44,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in record batches of at most `limit` bytes of `column` each (one row at least)."""
+def spare() -> None:
+    """Gives memory that is free in this process back to the system; what is in use stays."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, keep: str = "") -> Iterator[pa.RecordBatch]:
+    """The same rows in record batches of at most `limit` bytes of `column` each (one row at least).
+
+    A worker lives on after a task, so what tasks of another operator have left in KEPT goes first, all but `keep`.
+    """
+    for name in KEPT.keys() - {keep}:
+        KEPT[name]()
     for batch in batches:
         if not batch.num_rows:
             continue
